@@ -19,11 +19,16 @@ MEASURES = {"seed": "int", "fold": "int", "accuracy": "double", "n": "bigint", "
 MAX_LAYOUTS = 500
 
 
+def _decoded(path: Column) -> Column:
+    # file_path is URL-encoded, but keeps plus signs as they are
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     # Many small files: files are packed into tasks by size, and large ones split.
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"),
+        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"),
                 F.col("_metadata.file_block_start").alias("block"))
         .withColumn("line", F.monotonically_increasing_id())
     )
