@@ -23,9 +23,9 @@ ROWS_PER_SHARD = 8192
 
 
 def draw_rows(rows: DataFrame, replicates: int, *, by: Sequence[str], id: str, seed=42) -> DataFrame:
-    """Each drawn row with `reps`, the replicates that drew it (once per draw)."""
+    """(by, id) of each drawn row with `reps`, the replicates that drew it (once per draw)."""
     by = list(by)
-    ranked = digest_rank(rows, [id], seed=seed, group=by, rank="_slot", total="_n")
+    ranked = digest_rank(rows.select(*by, id), [id], seed=seed, group=by, rank="_slot", total="_n")
     draws = ranked.select(*by, "_slot", "_n").select(
         *by, "_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     # A slot is drawn about once per replicate, so its list has about that length.
@@ -49,7 +49,8 @@ def replicate_metrics(rows: DataFrame, replicates: int, *, by: Sequence[str], cl
     keys = [*by, cluster]
     sizes = lookup_side(rows.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_shard)).cast("int").alias("shards")))
-    drawn = draw_rows(rows.select(*keys, id, vector), replicates, by=by, id=id, seed=seed)
+    # Draws are made on ids alone; the vectors join once.
+    drawn = rows.select(*keys, id, vector).join(draw_rows(rows, replicates, by=by, id=id, seed=seed), [*by, id])
     sharded = settle(drawn.join(sizes, keys).select(
         *keys, F.pmod(F.xxhash64(id), "shards").cast("int").alias("shard"), F.col(vector).alias("x"), "reps"))
     cell = [*keys, "shard"]

@@ -19,9 +19,9 @@ def parallel_report(items: DataFrame, reference: str | None = None, *, key: Sequ
     The reference is the first language by name unless given.
     """
     base = F.lit(reference) if reference is not None else items.agg(F.min(lang)).scalar()
-    keyed = items.select(lang, *key).distinct().withColumn("_base", base)
+    keyed = items.select(lang, *key).withColumn("_base", base)
     is_base = F.col(lang) == F.col("_base")
-    # The size of the reference and the overlap of each language with it.
+    # One shuffle by item; the languages that have an item are a short set.
     marks = keyed.groupBy(*key).agg(
         F.max(is_base).alias("in_base"), F.collect_set(lang).alias("langs"))
     per_lang = marks.select("in_base", F.explode("langs").alias(lang)).groupBy(lang).agg(
@@ -43,12 +43,12 @@ def _split_of(r: Column, f: Column, train: Column, val: Column, test: Column) ->
         F.when(F.floor(r / test) == f, "test").when(rest < val, "val").when(rest < val + train, "train"))
 
 
-def assign_fold_splits(
+def fold_plan(
     keys: DataFrame, key: Sequence[str] = ITEM, *, n_splits: int = FOLD_SPLITS["n_splits"],
     train: int | None = None, val: int | None = None, test: int | None = None,
     val_share: int | None = None, seed=FOLD_SEED,
 ) -> DataFrame:
-    """(key, fold, split) for every fold; test blocks tile the item set.
+    """(key, places): the (fold, split) pairs of each item; test blocks tile the item set.
 
     Items are ranked by digest of (seed, key), so the result depends neither on
     input order nor on language. Give the three sizes, or `val_share` (validation
@@ -68,15 +68,24 @@ def assign_fold_splits(
     message = F.concat_ws(" ", F.lit("fold sizes do not fit the number of items:"), n, F.lit("items, test"), te,
                           F.lit("train"), tr, F.lit("val"), va)
     ranked = ranked.withColumn("_r", sure(F.col("_r"), fits, message, "bigint"))
-    folds = ranked.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(n_splits)])))
     names = F.create_map(*[F.lit(x) for pair in SPLIT_NAMES.items() for x in pair])
-    return folds.select(*key, "fold", F.try_element_at(
-        names, _split_of(F.col("_r"), F.col("fold"), tr, va, te)).alias("split"))
+    places = F.array(*[F.struct(
+        F.lit(f).alias("fold"),
+        F.try_element_at(names, _split_of(F.col("_r"), F.lit(f), tr, va, te)).alias("split")) for f in range(n_splits)])
+    return ranked.select(*key, places.alias("places"))
 
 
-def fold_rows(records: DataFrame, assignment: DataFrame, key: Sequence[str] = ITEM) -> DataFrame:
-    """Each record once per fold with its split, the same in every language."""
-    return records.join(assignment, list(key))
+def assign_fold_splits(keys: DataFrame, key: Sequence[str] = ITEM, **geometry) -> DataFrame:
+    """(key, fold, split) for every fold; see `fold_plan`."""
+    return fold_plan(keys, key, **geometry).select(*key, F.inline("places"))
+
+
+def fold_rows(records: DataFrame, plan: DataFrame, key: Sequence[str] = ITEM) -> DataFrame:
+    """Each record once per fold with its split, the same in every language.
+
+    Joined before the folds are opened, so an item moves once.
+    """
+    return records.join(plan, list(key)).select(*records.columns, F.inline("places"))
 
 
 def task_ids(rows: DataFrame, langs: Sequence[str] | None = None, lang: str = "lang") -> DataFrame:

@@ -10,13 +10,14 @@ KEY = ("method", "seed", "fold", "target_lang")
 
 
 def duplicate_results(rows: DataFrame, run: str = "run_name") -> DataFrame:
-    """Keys reported by several rows, with the runs that report them."""
+    """Keys reported by several rows: a row per key and run that reports it."""
     keys = [k for k in KEY if k in rows.columns]
-    # Copies of one key may be many; the set of run names is what the report holds.
-    names = rows.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("k"))
-    return names.groupBy(*keys).agg(
-        F.sum("k").alias("n_rows"), F.array_join(F.array_sort(F.collect_set(run)), ",").alias("runs")
-    ).where(F.col("n_rows") > 1)
+    per_run = rows.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("n_rows"))
+    total = F.sum("n_rows").alias("n_total")
+    doubled = per_run.groupBy(*keys).agg(total).where("n_total > 1")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
+    return per_run.alias("p").join(doubled.alias("d"), same).select(
+        *[f"p.{k}" for k in keys], f"p.{run}", "p.n_rows", "d.n_total")
 
 
 def incomplete_seeds(table: DataFrame, cell: Sequence[str]) -> DataFrame:

@@ -123,7 +123,8 @@ def davies_bouldin_of(table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def davies_bouldin(rows: DataFrame, *, by: Sequence[str], cluster: str, vector: str = "embedding") -> DataFrame:
     """Davies-Bouldin index per group: centroids first, then spreads around them."""
-    means = lookup_side(centroids(rows, by=by, cluster=cluster, vector=vector), limit=20_000)
+    means = lookup_side(
+        centroids(rows, by=by, cluster=cluster, vector=vector), row_bytes=F.size("centroid") * 8 + 128)
     spreads = rows.join(means, [*by, cluster]).groupBy(*by, cluster).agg(
         F.avg(distance(F.col(vector), F.col("centroid"))).alias("spread"), F.first("centroid").alias("centroid"))
     return davies_bouldin_of(spreads, by)
@@ -131,6 +132,10 @@ def davies_bouldin(rows: DataFrame, *, by: Sequence[str], cluster: str, vector:
 
 # ---- silhouette, Manhattan
 
+# Gaps (rows times clusters) computed together: 4 million doubles.
+PART_CELLS = 4_000_000
+
+
 def resample(rows: DataFrame, size: int, *, by: Sequence[str], ids: Sequence[str], seed) -> DataFrame:
     """`size` rows per group drawn with replacement; `draw` numbers them."""
     from ..functions.draws import draw_int
@@ -200,10 +205,15 @@ def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id
         *by, F.col(id).alias("id"), "c", "k", F.posexplode(vector).alias("dim", "x"))
     order = [*by, "dim", "x", "id"]
     laid = tall.repartitionByRange(partitions, *order) if partitions else tall.repartitionByRange(*order)
-    laid = settle(laid.withColumn("part", F.spark_partition_id()))
+    # Parts follow the order and are small enough that one gap per cluster and row fits.
+    widest = sizes.agg(F.max("k")).first()[0] or 1
+    part_rows = max(1000, PART_CELLS // widest)
+    laid = settle(laid.sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "part", F.shiftleft(F.shiftright("_row", 33), 33) + F.floor(
+            F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) / part_rows)).drop("_row"))
     keys = [*by, "dim"]
     per_part = laid.groupBy(*keys, "part", "c", "k").agg(F.count(F.lit(1)).alias("cnt"), F.sum("x").alias("total"))
-    offset_schema = (f"part int, before_n array<double>, before_s array<double>, all_n array<double>, "
+    offset_schema = (f"part bigint, before_n array<double>, before_s array<double>, all_n array<double>, "
                      f"all_s array<double>, {ddl(laid, keys)}")
     offsets = per_part.groupBy(*keys).applyInPandas(lambda pdf: _offsets(pdf, keys), offset_schema)
 

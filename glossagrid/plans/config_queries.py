@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import configs as C, quality as Q
-from ..session import scratch_path
+from ..session import scratch_path, settle, spread
 from ..streaming import rollup as S
 from . import bindings as B
 from .registry import query, view
@@ -30,12 +30,11 @@ def _documents(spark, d):
     })
     # The ratio is a number in even documents and text in odd ones, under one key.
     doc = F.replace(doc, F.lit("encoder_text"), F.lit("encoder_ratio"))
-    return B.table(spark, d, "events").select(F.col("event_id").alias("run"), "user_id", "event_type", doc.alias("doc"))
+    return spread(B.table(spark, d, "events")).select(F.col("event_id").alias("run"), "user_id", doc.alias("doc"))
 
 
-def _view(spark, d):
-    ids = ["run", "user_id"]
-    return C.config_view(C.flatten_documents(_documents(spark, d), ids=ids, depth=5), ids=ids)
+def _view(docs, ids):
+    return C.config_view(C.flatten_documents(docs, ids=ids, depth=5), ids=ids)
 
 
 view("ev", """
@@ -75,17 +74,16 @@ view("drift", """
 
 @query("flatten_config", "SELECT run, user_id, key, value FROM kv", "ev kv")
 def flatten_config(spark, d):
-    return _view(spark, d)
+    return _view(_documents(spark, d), ["run", "user_id"])
 
 
 def _ran_and_unit(spark, d):
-    flat = _view(spark, d)
+    docs = _documents(spark, d)
     events = B.table(spark, d, "events").select(F.col("event_id").alias("run"), "user_id")
-    units = events.groupBy("user_id").agg(F.min("run").alias("unit"))
-    # The unit of a user, repeated for each of its runs.
-    unit_rows = flat.join(units, (flat["run"] == units["unit"]) & (flat["user_id"] == units["user_id"]), "left_semi").select(
-        "user_id", "key", "value")
-    return flat.drop("user_id"), events.join(unit_rows, "user_id").select("run", "key", "value")
+    units = events.groupBy("user_id").agg(F.min("run").alias("run")).select("run")
+    # The unit of a user is opened once and then repeated for each of its runs.
+    unit_rows = _view(docs.join(units, "run", "left_semi"), ["user_id"])
+    return _view(docs, ["run"]), events.join(unit_rows, "user_id").select("run", "key", "value")
 
 
 @query("config_diff", "SELECT run, key, ran FROM drift", "ev unit_of pairs drift")
@@ -113,7 +111,7 @@ SELECT run, 'peft.encoder_ratio' AS key, CASE WHEN run % 2 = 0 THEN CAST(k % 3 A
 FROM ev WHERE run % 5 = 0 AND k % 3 <> 1""", "ev")
 def config_selfcheck(spark, d):
     # Entries of every fifth run override one key; where the run did not follow, it shows.
-    ran, unit = _ran_and_unit(spark, d)
+    ran, unit = (settle(rows) for rows in _ran_and_unit(spark, d))
     entries = B.table(spark, d, "events").where(F.col("event_id") % 5 == 0).select(
         F.col("event_id").alias("run"), F.create_map(F.lit("peft.encoder_ratio"), F.lit("1")).alias("overrides"))
     return C.config_selfcheck(ran, unit, C.overrides_rows(entries), C.config_diff(ran, unit))

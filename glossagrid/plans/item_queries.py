@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CHAT_LAYOUTS
 from ..functions.draws import draw_int
 from ..operators import folds, prompts, ranking, tokens
+from ..session import spread
 from . import bindings as B
 from .registry import query, view
 from .result_queries import rounded
@@ -113,8 +114,7 @@ view("folded", """
        "parallel_items folded")
 def fold_split(spark, d):
     items = B.parallel_items(spark, d)
-    assignment = folds.assign_fold_splits(items, n_splits=5, val_share=10, seed=11)
-    return folds.fold_rows(items, assignment)
+    return folds.fold_rows(items, folds.fold_plan(items, n_splits=5, val_share=10, seed=11))
 
 
 @query("concat_with_task_ids", """
@@ -129,7 +129,7 @@ view("tokenized", r"""
 
 
 def _tokenized(spark, d, **options):
-    return tokens.tokenize(B.table(spark, d, "documents"), tokens.pattern_tokenizer(), max_length=1024, **options)
+    return tokens.tokenize(spread(B.table(spark, d, "documents")), tokens.pattern_tokenizer(), max_length=1024, **options)
 
 
 @query("tokenize_lengths", """
@@ -168,7 +168,7 @@ def _vocabulary(spark, d):
     code = F.when(F.col("lang") == "de", "de_Cyrl").when(F.col("lang") == "es", "es").otherwise(
         F.concat("lang", F.lit("_Latn")))
     return tokens.vocabulary_by_script(
-        B.table(spark, d, "documents").withColumn("lang", code), tokens.pattern_tokenizer())
+        spread(B.table(spark, d, "documents")).withColumn("lang", code), tokens.pattern_tokenizer())
 
 
 @query("vocab_by_script", 'SELECT token, "group" FROM vocab', "vocab")

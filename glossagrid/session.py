@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Rows of a lookup side that may be broadcast once counted.
-BROADCAST_ROWS = 200_000
+# Measured size up to which a lookup side may be broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,10 +44,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A join side computed once and broadcast only if its counted size allows it.
+def lookup_side(df: DataFrame, row_bytes: Column | int = 128, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A join side computed once and broadcast only if its measured size allows it.
 
-    Beyond the limit the plain (shuffled, skew-split) join is left to Spark.
+    `row_bytes` estimates the size of a row. Beyond the limit the plain join is
+    left to Spark, which shuffles both sides and splits skewed keys.
     """
     settled = settle(df)
-    return F.broadcast(settled) if settled.count() <= limit else settled
+    row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    size = settled.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(settled) if size <= limit else settled
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input on all cores, for work that is heavy per row.
+
+    Inputs with at least as many splits as cores (any large table) pass through.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,21 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.checks import DataProblem, refuse
 from ..operators.prompts import remap_splits
-from ..session import settle
+from ..session import lookup_side, settle
 
 PARTS = ("lang", "fold", "split")
 
 
-def _spread(rows: DataFrame, parts: Sequence[str], rows_per_file: int) -> DataFrame:
-    """Rows laid out by partition value; a large partition is cut into several files."""
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in parts]), F.lit(64))
-    return rows.repartition(*parts, salt)
-
-
 def write_partitioned(rows: DataFrame, path: str, parts: Sequence[str] = PARTS, *, mode: str = "overwrite",
                       rows_per_file: int = 1_000_000) -> None:
-    """One directory per partition value; hot partitions are spread over 64 tasks."""
-    _spread(rows, parts, rows_per_file).write.mode(mode).partitionBy(*parts).option(
+    """One directory per partition value.
+
+    Rows are rebalanced by partition value: Spark joins small ones in a task and
+    cuts a hot one over several tasks and files by measured size.
+    """
+    rows.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).option(
         "maxRecordsPerFile", rows_per_file).parquet(path)
 
 
@@ -78,7 +76,7 @@ def append_missing(rows: DataFrame, path: str, parts: Sequence[str] = PARTS) ->
     texts = {p: F.col(p).cast("string") for p in parts}
     fresh = rows.withColumns(texts)
     if there:
-        fresh = fresh.join(discover_partitions(spark, path, parts), list(parts), "left_anti")
+        fresh = fresh.join(lookup_side(discover_partitions(spark, path, parts)), list(parts), "left_anti")
     # Few rows: the partition keys about to be written.
     new = fresh.groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows"))
     new = settle(new)
