@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..constants import TOPIC_LABELS
 from ..functions import text as X
@@ -38,7 +38,7 @@ def reframe_cloze(records: DataFrame, *, seed, item: str = "item", keep: Sequenc
 
 
 def question_ids(records: DataFrame, *, group: Sequence[str] = ("lang", "split"),
-                 order: Sequence[str | Column] = ("link", "question_number")) -> DataFrame:
+                 order: Sequence[str] = ("link", "question_number")) -> DataFrame:
     """0-based `question_id` by item order inside language and split."""
     return position(records, order, group=group, rank="question_id")
 

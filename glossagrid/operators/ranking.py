@@ -89,19 +89,30 @@ def keep_drawn(
 
 def position(
     df: DataFrame,
-    order: Sequence[str | Column],
+    order: Sequence[str],
     *,
     group: Sequence[str] = (),
+    descending: Sequence[str] = (),
     rank: str = "rank",
     partitions: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row by `order` inside its group.
 
     `order` must end in a column that makes rows unique; large groups are then
-    spread over many range partitions.
+    spread over many range partitions. Only the group and order columns are laid
+    out and written; other columns join the positions by that unique key.
     """
-    by = [*group, *order]
-    laid = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    key = [*group, *order]
+    placed = _placed(df.select(*key), order, group, descending, rank, partitions)
+    if set(df.columns) == set(key):
+        return placed
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]
+    return df.alias("w").join(placed.alias("p"), same).select(*[f"w.{c}" for c in df.columns], f"p.{rank}")
+
+
+def _placed(keys: DataFrame, order, group, descending, rank, partitions) -> DataFrame:
+    by = [*group, *[F.desc(o) if o in descending else F.asc(o) for o in order]]
+    laid = keys.repartitionByRange(partitions, *by) if partitions else keys.repartitionByRange(*by)
     laid = settle(laid.sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
     part = F.shiftright("_row", 33)
     # One row per partition of the laid-out table.
@@ -118,7 +129,9 @@ def position(
     if not group:
         return placed
     firsts = lookup_side(placed.groupBy(*group).agg(F.min(rank).alias("_first")))
-    return placed.join(firsts, list(group)).withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
+    return placed.alias("a").join(firsts.alias("f"), same).select(
+        *[f"a.{c}" for c in keys.columns], (F.col(f"a.{rank}") - F.col("f._first")).alias(rank))
 
 
 def head_of_groups(

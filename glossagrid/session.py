@@ -35,13 +35,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there.
+    """Write the rows as a table in the shared folder and go on from there.
 
-    Used where later steps must see exactly the same rows and partitions, also
-    after an executor is lost.
+    Used where later steps read the same rows more than once, or must see exactly
+    the same rows after an executor is lost. The table is columnar, so each step
+    reads only its columns, and Spark knows its true size.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_side(df: DataFrame, row_bytes: Column | int = 128, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -6,9 +6,6 @@ from glossagrid.functions.checks import DataProblem
 from glossagrid.operators import folds, prompts, tokens
 from glossagrid.constants import TOPIC_LABELS
 
-FTP = "P: p\nQ: q\nA: 1\nB: 2\nC: 3\nD: 4\nAnswer：\n"
-
-
 def _mcqa(spark, question, correct):
     return spark.createDataFrame(
         [("x", "l", 1, "p ", question, "1", "2", "3", "4", correct)],
