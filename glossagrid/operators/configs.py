@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (
     CONFIG_DEFAULTS, CONFIG_IGNORED, CONFIG_RENAMES, CONFIG_SECTIONS, LENGTH_GROUPING_KEY, PACKED_ARGS_KEY,
 )
+from ..session import settle
 from .ranking import position
 
 ABSENT = "<absent>"
@@ -128,7 +129,7 @@ def config_variants(runs: DataFrame, drift: DataFrame, *, run: str = "run", meth
     variants = recipes.groupBy(method, "signature").agg(
         F.min(run).alias("first_run"), F.count(F.lit(1)).alias("n_runs"),
         F.array_join(F.array_sort(F.collect_set(fold)), ",").alias("folds"))
-    numbered = position(variants, ["first_run"], group=[method], rank="_v")
+    numbered = position(settle(variants), ["first_run"], group=[method], rank="_v")
     top = numbered.groupBy(method).agg(F.max_by("_v", F.struct("n_runs", -F.col("_v"))).alias("_top"))
     return numbered.join(top, method).select(
         method, (F.col("_v") + 1).alias("variant"), "first_run", "n_runs", "folds",
@@ -175,9 +176,10 @@ def grid_coverage(expected: DataFrame, runs: DataFrame, *, cell: Sequence[str],
 
     A missing cell is offered the most common recipe of its method.
     """
-    ran = runs.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.size(F.collect_set(recipe)).alias("n_recipes"))
-    counts = runs.groupBy(method, recipe).agg(F.count(F.lit(1)).alias("k"))
+    # Runs are counted once per cell and recipe; both summaries start from there.
+    per_recipe = runs.groupBy(*cell, recipe).agg(F.count(F.lit(1)).alias("k"))
+    ran = per_recipe.groupBy(*cell).agg(F.sum("k").alias("n_runs"), F.count(recipe).alias("n_recipes"))
+    counts = per_recipe.groupBy(method, recipe).agg(F.sum("k").alias("k"))
     usual = counts.groupBy(method).agg(F.max_by(recipe, F.struct("k", recipe)).alias("usual_recipe"))
     both = expected.select(*cell).distinct().withColumn("_e", F.lit(True)).join(ran, list(cell), "full_outer")
     status = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import FOLD_SEED, FOLD_SPLITS, SPLIT_NAMES
 from ..functions.checks import DataProblem, refuse, sure
@@ -18,16 +18,16 @@ def parallel_report(items: DataFrame, reference: str | None = None, *, key: Sequ
 
     The reference is the first language by name unless given.
     """
-    base = F.lit(reference) if reference is not None else items.agg(F.min(lang)).scalar()
-    keyed = items.select(lang, *key).withColumn("_base", base)
-    is_base = F.col(lang) == F.col("_base")
+    if reference is None:
+        reference = items.agg(F.min(lang)).first()[0]
     # One shuffle by item; the languages that have an item are a short set.
-    marks = keyed.groupBy(*key).agg(
-        F.max(is_base).alias("in_base"), F.collect_set(lang).alias("langs"))
-    per_lang = marks.select("in_base", F.explode("langs").alias(lang)).groupBy(lang).agg(
+    marks = items.groupBy(*key).agg(F.collect_set(lang).alias("langs"))
+    per_lang = marks.select(
+        F.array_contains("langs", reference).alias("in_base"), F.explode("langs").alias(lang)).groupBy(lang).agg(
         F.count_if("in_base").alias("shared"), F.count_if(~F.col("in_base")).alias("n_extra"))
-    size = marks.agg(F.count_if("in_base")).scalar()
-    missing = size - F.col("shared")
+    # The reference shares all its items with itself, which is its size (a row per language here).
+    size = F.max(F.when(F.col(lang) == reference, F.col("shared"))).over(W.partitionBy())
+    missing = F.coalesce(size, F.lit(0)) - F.col("shared")
     return per_lang.select(
         lang, missing.alias("n_missing"), "n_extra", ((missing == 0) & (F.col("n_extra") == 0)).alias("ok"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import settle
 
 KEY = ("method", "seed", "fold", "target_lang")
 
@@ -22,6 +24,7 @@ def duplicate_results(rows: DataFrame, run: str = "run_name") -> DataFrame:
 
 def incomplete_seeds(table: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Cells with fewer seeds than the fullest cell."""
+    table = settle(table)             # read twice
     full = table.agg(F.max("n_seeds")).scalar()
     return table.select(*cell, "n_seeds", full.alias("max_seeds")).where(F.col("n_seeds") < F.col("max_seeds"))
 
@@ -29,7 +32,8 @@ def incomplete_seeds(table: DataFrame, cell: Sequence[str]) -> DataFrame:
 def incomplete_items(long: DataFrame) -> DataFrame:
     """Languages with fewer items than the fullest language (incomplete folds)."""
     per_lang = long.groupBy("target_lang").agg(F.max("n_items").alias("n_items"))
-    full = per_lang.agg(F.max("n_items")).scalar()
+    # A row per language here.
+    full = F.max("n_items").over(W.partitionBy())
     return per_lang.withColumn("max_items", full).where(F.col("n_items") != F.col("max_items"))
 
 
@@ -45,7 +49,8 @@ def baseline_spread(table: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 def backbones(rows: DataFrame) -> DataFrame:
     """Distinct backbones and whether there is exactly one, as there must be."""
     found = rows.dropna(subset=["llm"]).groupBy("llm").agg(F.count(F.lit(1)).alias("n_rows"))
-    return found.withColumn("ok", found.agg(F.count(F.lit(1))).scalar() == 1)
+    # A row per backbone here.
+    return found.withColumn("ok", F.count(F.lit(1)).over(W.partitionBy()) == 1)
 
 
 def split_sizes(rows: DataFrame, expected: Mapping[str, int], lang: str = "lang", split: str = "split") -> DataFrame:

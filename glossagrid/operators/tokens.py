@@ -90,8 +90,8 @@ def vocabulary_by_script(rows: DataFrame, tokenizer: Tokenizer, *, lang: str = "
     script = vocabulary_script(F.col(lang), latin_apart)
     used = rows.select(script.alias("script"), F.explode(tokens).alias("token"))
     owner = F.when(F.min("script") == F.max("script"), F.min("script")).otherwise("Mixed")
-    # min and max combine on the map side, so no token moves more than once per task.
-    return used.groupBy("token").agg(owner.alias("group"))
+    # Uses collapse to distinct pairs in hash aggregation before they are compared.
+    return used.distinct().groupBy("token").agg(owner.alias("group"))
 
 
 def lookup_embeddings(vocabulary: DataFrame, embeddings: DataFrame, *, token: str = "token_id", skip_mixed: bool = False) -> DataFrame:

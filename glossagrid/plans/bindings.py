@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.draws import draw_int
 from ..functions.names import embedding_key
+from ..session import settle
 from .registry import view
 
 
@@ -162,7 +163,7 @@ view("dimension", """
 
 def source_tables(spark, sf_dir) -> DataFrame:
     """Language tables of five source groups (regions), without their own languages."""
-    from ..operators.tables import add_perf, performance_groups, pool_zero_shot
+    from ..operators.tables import pool_zero_shot, with_performance
 
     region = table(spark, sf_dir, "region")
     keys = {"source_key": (F.col("l_partkey") % 5).cast("int"), "method": F.col("l_returnflag"),
@@ -173,7 +174,8 @@ def source_tables(spark, sf_dir) -> DataFrame:
     long = cells.join(own, ["source_group", "target_lang"], "left_anti").withColumn(
         "acc", F.col("hits") / F.col("items")).groupBy("source_group", "target_lang", "method").agg(
         F.avg("acc").alias("mean"), F.stddev_samp("acc").alias("std"), F.count(F.lit(1)).alias("k"))
-    base = pool_zero_shot(zero_shot_rows(spark, sf_dir))
+    base = with_performance(pool_zero_shot(zero_shot_rows(spark, sf_dir))).select(
+        "target_lang", "perf", F.col("mean_acc").alias("zero_shot_acc"))
 
     def of(method, column):
         return F.max(F.when(F.col("method") == method, F.col(column)))
@@ -185,8 +187,8 @@ def source_tables(spark, sf_dir) -> DataFrame:
     seen = seen_langs(spark, sf_dir).select(F.col("lang").alias("target_lang"), F.lit(1).alias("seen")).unionByName(
         low_langs(spark, sf_dir).select(F.col("lang").alias("target_lang"), F.lit(-1).alias("seen")))
     wide = wide.join(seen, "target_lang", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    wide = wide.join(base.select("target_lang", F.col("mean_acc").alias("zero_shot_acc")), "target_lang")
-    return add_perf(wide, performance_groups(base)).withColumn("grid", F.lit("grid1"))
+    # Language tables are stored results, one per source group.
+    return settle(wide.join(base, "target_lang").withColumn("grid", F.lit("grid1")))
 
 
 view("base", """

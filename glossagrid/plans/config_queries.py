@@ -145,7 +145,7 @@ FROM (
   FROM grid_cells c)
 WHERE status IS NOT NULL""", "grid_cells")
 def grid_coverage(spark, d):
-    runs = _runs(spark, d)
+    runs = settle(_runs(spark, d))
     # Method R was planned on fold 1 only.
     matrix = C.axes_product(runs, ["method", "seed"]).withColumn("pinned_fold", F.when(F.col("method") == "R", 1))
     expected = C.expand_matrix(matrix, C.axes_product(runs, ["source", "fold"]))
