@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw_int
-from ..session import lookup_side, settle
+from ..session import keyed, lookup_side, settle
 from .ranking import digest_rank
 from .vectors import _as_vectors, _dispersion_ratio, davies_bouldin_of, ddl
 
@@ -67,7 +67,7 @@ def replicate_metrics(rows: DataFrame, replicates: int, *, by: Sequence[str], cl
             out[k] = pdf[k].iloc[0]
         return out
 
-    partial = sharded.groupBy(*cell).applyInPandas(sums, f"rep int, n bigint, packed array<double>, {ddl(sharded, keys)}")
+    partial = keyed(sharded, cell).applyInPandas(sums, f"rep int, n bigint, packed array<double>, {ddl(sharded, keys)}")
     tall = settle(partial.select(*keys, "rep", "n", F.posexplode("packed").alias("dim", "s")).groupBy(
         *keys, "rep", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
 
@@ -95,7 +95,7 @@ def replicate_metrics(rows: DataFrame, replicates: int, *, by: Sequence[str], cl
             out[k] = pdf[k].iloc[0]
         return out
 
-    spread = sharded.groupBy(*cell).cogroup(everywhere.groupBy(*cell)).applyInPandas(
+    spread = keyed(sharded, cell).cogroup(keyed(everywhere, cell)).applyInPandas(
         spreads, f"rep int, total double, {ddl(sharded, keys)}").groupBy(*keys, "rep").agg(F.sum("total").alias("total"))
     table = means.join(spread, [*keys, "rep"]).select(
         *keys, "rep", (F.col("total") / F.col("n")).alias("spread"), "centroid")

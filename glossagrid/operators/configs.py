@@ -29,18 +29,19 @@ def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "d
     Lists and empty maps are values. Maps nested deeper than `depth` fail the job.
     """
     spark = docs.sparkSession
-    rows = docs.select(*ids, F.lit("").alias("key"), F.parse_json(document).alias("v"))
+    rows = docs.select(*ids, F.lit("").alias("key"), F.parse_json(document).alias("v"), F.lit(True).alias("_map"))
     for _ in range(depth):
         kind = F.schema_of_variant("v")
-        rows = rows.withColumn("_map", kind.startswith("OBJECT<") & (kind != "OBJECT<>"))
-        # A map opens into its entries; anything else stays as one row.
+        # A map opens into its entries; anything else stays as one row and is not looked at again.
+        rows = rows.withColumn("_map", F.when(
+            F.col("_map"), kind.startswith("OBJECT<") & (kind != "OBJECT<>")).otherwise(False))
         opened = F.when(F.col("_map"), F.col("v"))
         rows = rows.withColumn("_open", opened)
         rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_k", "_v"))
         path = F.when(F.col("key") == "", F.col("_k")).otherwise(F.concat_ws(".", "key", "_k"))
         rows = rows.select(
             *ids, F.when(F.col("_map"), path).otherwise(F.col("key")).alias("key"),
-            F.when(F.col("_map"), F.col("_v")).otherwise(F.col("v")).alias("v"))
+            F.when(F.col("_map"), F.col("_v")).otherwise(F.col("v")).alias("v"), "_map")
     rows = rows.select(*ids, "key", F.to_json("v").alias("value"), F.schema_of_variant("v").alias("_kind"))
     too_deep = F.col("_kind").startswith("OBJECT<") & (F.col("value") != "{}")
     # A decimal without fraction keeps its point, so 0.0 and 0 stay apart.

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.checks import DataProblem
-from ..session import lookup_side, settle
+from ..session import keyed, lookup_side, settle
 from .ranking import digest_rank, head_of_groups, keep_drawn, position
 
 
@@ -118,7 +118,7 @@ def davies_bouldin_of(table: DataFrame, by: Sequence[str]) -> DataFrame:
         out["davies_bouldin"] = value
         return out
 
-    return table.groupBy(*by).applyInPandas(measure, f"{ddl(table, by)}, davies_bouldin double")
+    return keyed(table, by).applyInPandas(measure, f"{ddl(table, by)}, davies_bouldin double")
 
 
 def davies_bouldin(rows: DataFrame, *, by: Sequence[str], cluster: str, vector: str = "embedding") -> DataFrame:
@@ -215,7 +215,7 @@ def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id
     per_part = laid.groupBy(*keys, "part", "c", "k").agg(F.count(F.lit(1)).alias("cnt"), F.sum("x").alias("total"))
     offset_schema = (f"part bigint, before_n array<double>, before_s array<double>, all_n array<double>, "
                      f"all_s array<double>, {ddl(laid, keys)}")
-    offsets = per_part.groupBy(*keys).applyInPandas(lambda pdf: _offsets(pdf, keys), offset_schema)
+    offsets = keyed(per_part, keys).applyInPandas(lambda pdf: _offsets(pdf, keys), offset_schema)
 
     def gaps(rows_pdf: pd.DataFrame, offset_pdf: pd.DataFrame) -> pd.DataFrame:
         rows_pdf = rows_pdf.sort_values(["x", "id"])
@@ -224,7 +224,7 @@ def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id
         return out
 
     cell = [*keys, "part"]
-    per_dim = laid.groupBy(*cell).cogroup(offsets.groupBy(*cell)).applyInPandas(
+    per_dim = keyed(laid, cell).cogroup(keyed(offsets, cell)).applyInPandas(
         gaps, f"{ddl(laid, [*by, 'id', 'c'])}, gaps array<double>")
     # One array per dimension of a vector.
     total = F.reduce(

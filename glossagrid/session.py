@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F
 
 # Measured size up to which a lookup side may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -58,6 +59,16 @@ def lookup_side(df: DataFrame, row_bytes: Column | int = 128, limit: int = BROAD
     return F.broadcast(settled) if size <= limit else settled
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """groupBy whose Python groups go over all shuffle partitions.
+
+    Adaptive execution joins partitions by their bytes, but such groups are heavy
+    by their computation.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input on all cores, for work that is heavy per row.
 
