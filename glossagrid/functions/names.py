@@ -26,9 +26,14 @@ def source_label(source: Column) -> Column:
     return F.when(source.endswith("_high"), F.lit("high-perf")).otherwise(source)
 
 
+def table_path(path: Column) -> Column:
+    """Path of a table: part files stand for their folder, `key=` prefixes drop out."""
+    return F.regexp_replace(F.regexp_replace(path, r"/part-[^/]*$", ""), r"/[^/=]+=", "/")
+
+
 def table_folder(path: Column) -> Column:
-    """Name of the directory that holds a file (a `key=` prefix is dropped)."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), r"^[^=]*=", "")
+    """Name of the directory that holds a table."""
+    return F.element_at(F.split(path, "/"), -2)
 
 
 def grid_of(folder: Column) -> Column:

@@ -14,6 +14,8 @@ KEY = ("method", "seed", "fold", "target_lang")
 def duplicate_results(rows: DataFrame, run: str = "run_name") -> DataFrame:
     """Keys reported by several rows: a row per key and run that reports it."""
     keys = [k for k in KEY if k in rows.columns]
+    if run not in rows.columns:
+        rows = rows.withColumn(run, F.lit("?"))
     per_run = rows.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("n_rows"))
     total = F.sum("n_rows").alias("n_total")
     doubled = per_run.groupBy(*keys).agg(total).where("n_total > 1")

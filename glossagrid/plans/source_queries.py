@@ -56,9 +56,9 @@ def scan_with_path_columns(spark, d):
     tables = B.source_tables(spark, d)
     # Each language table, and a baseline folder that the scan must skip.
     folders = F.array(F.concat_ws(".", "grid", "source_group"), F.concat(F.col("grid"), F.lit(".zero")))
-    tables.withColumn("folder", F.explode(folders)).drop("grid", "source_group").write.partitionBy("folder").option(
-        "header", "true").csv(root)
-    rows = R.scan_tables(spark, root, patterns=FILES)
+    tables.withColumn("folder", F.explode(folders)).withColumn("table", F.lit("lang_table.csv")).drop(
+        "grid", "source_group").write.partitionBy("folder", "table").option("header", "true").csv(root)
+    rows = R.scan_tables(spark, root)
     return rounded(rows.select(
         "grid", "source_group", "target_lang", "seen", "perf", "A_acc", "A_std", "n_seeds"), "A_acc", "A_std")
 

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..constants import LEGACY_RENAMES, RESULT_FILES, RESULT_RENAMES
+from ..constants import LEGACY_RENAMES, RESULT_FILES, RESULT_RENAMES, VALIDATION_FILES
 from ..functions.checks import DataProblem, need_columns, null_if_nan
-from ..functions.names import grid_of, method_of_run, source_of, table_folder
+from ..functions.names import grid_of, method_of_run, source_of, table_folder, table_path
 from ..session import lookup_side
 
 REQUIRED = ("method", "seed", "target_lang", "accuracy", "n")
@@ -106,7 +106,7 @@ def collect_results(spark: SparkSession, path: str, *, patterns: Sequence[str] =
     return normalize(read_by_header(spark, path, patterns), backbone, required)
 
 
-def collect_validation(spark: SparkSession, path: str, *, patterns: Sequence[str]) -> DataFrame:
+def collect_validation(spark: SparkSession, path: str, *, patterns: Sequence[str] = VALIDATION_FILES) -> DataFrame:
     """Every run's validation rows; `accuracy` becomes `best_val_acc`."""
     rows = read_by_header(spark, path, patterns)
     if "best_val_acc" not in rows.columns and "accuracy" in rows.columns:
@@ -116,12 +116,14 @@ def collect_validation(spark: SparkSession, path: str, *, patterns: Sequence[str
 
 
 def scan_tables(spark: SparkSession, root: str, *, grids: Sequence[str] | None = None,
-                patterns: Sequence[str] = ("lang_table.csv",), strict: bool = True) -> DataFrame:
+                table: str = "lang_table.csv", strict: bool = True) -> DataFrame:
     """Per-source tables from `grid.source` folders with both parts as columns.
 
-    `.zero` folders hold baselines and are skipped; a source in two grids is an error.
+    A table is a file or a folder of part files. `.zero` folders hold baselines and
+    are skipped; a source in two grids is an error.
     """
-    rows = read_by_header(spark, root, patterns)
+    rows = read_by_header(spark, root, (table, "part-*.csv")).withColumn("path", table_path(F.col("path")))
+    rows = rows.where(F.col("path").endswith(f"/{table}"))
     folder = table_folder(F.col("path"))
     rows = rows.withColumn("grid", grid_of(folder)).withColumn("source_group", source_of(folder))
     rows = rows.where((F.col("source_group") != "zero") & (F.col("grid") != ""))

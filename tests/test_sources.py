@@ -44,7 +44,7 @@ def test_missing_files_columns_and_backbone(spark, tmp_path):
 def test_validation_files_take_the_latest_run(spark, tmp_path):
     for stamp, acc in (("20260101_000000", 0.4), ("20260102_000000", 0.6)):
         _write(tmp_path / f"{stamp}_spt" / "eval_validation_after_train.csv", f"method,seed,lr,accuracy\nspt,10,0.1,{acc}\n")
-    rows = R.collect_validation(spark, str(tmp_path), patterns=["eval_validation_after_train.csv"])
+    rows = R.collect_validation(spark, str(tmp_path))
     table = T.search_table(rows, order=["path", "block", "line"])
     assert [r["mean_val_acc"] for r in table.collect()] == [0.6]
 
