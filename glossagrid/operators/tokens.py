@@ -89,8 +89,8 @@ def vocabulary_by_script(rows: DataFrame, tokenizer: Tokenizer, *, lang: str = "
         tokens = F.slice(tokens, 1, max_tokens)
     script = vocabulary_script(F.col(lang), latin_apart)
     used = rows.select(script.alias("script"), F.explode(tokens).alias("token"))
-    owner = F.when(F.min("script") == F.max("script"), F.min("script")).otherwise("Mixed")
-    # Uses collapse to distinct pairs in hash aggregation before they are compared.
+    owner = F.when(F.count(F.lit(1)) == 1, F.min("script")).otherwise("Mixed")
+    # Uses collapse to distinct pairs in hash aggregation before scripts are counted.
     return used.distinct().groupBy("token").agg(owner.alias("group"))
 
 
