@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .constants import CHAT_LAYOUTS, FOLD_SEED, FOLD_SPLITS
 from .functions import names as N
 from .operators import bootstrap, folds, langsets, prompts, quality, tables, vectors
+from .session import settle
 from .sources import datasets, embeddings, results
 
 
-def _csv(table: DataFrame, path: str, *order: str) -> None:
-    """A small result table as one CSV file with a header, and on the screen."""
+def _csv(table: DataFrame, path: str, *order: str) -> DataFrame:
+    """A small result table, computed once: as one CSV file with a header and on the screen."""
+    table = settle(table)
     table.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
     table.orderBy(*order).show(400, truncate=False)
+    return table
 
 
 def _groups(spark: SparkSession, path: str | None) -> DataFrame:
@@ -36,7 +39,8 @@ def _groups(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def lang_table(spark, a) -> None:
-    rows = results.collect_results(spark, a.path, backbone=a.llm)
+    # Read from text once; the checks and the table then read columns.
+    rows = settle(results.collect_results(spark, a.path, backbone=a.llm))
     zero_shot = None
     if a.zero_shot_path:
         zero_shot = results.collect_results(
@@ -46,7 +50,7 @@ def lang_table(spark, a) -> None:
     table = tables.result_table(
         rows, _groups(spark, a.groups), low_groups=low, zero_shot=zero_shot, seeds=seeds, high_frac=a.high_frac,
         low_frac=a.low_frac, key=a.key, value=a.value)
-    _csv(table, f"{a.out_prefix or a.path + '/lang_table'}.csv", table.columns[0])
+    table = _csv(table, f"{a.out_prefix or a.path + '/lang_table'}.csv", table.columns[0])
     if "n_items" in table.columns:
         quality.incomplete_items(table).show(400, truncate=False)
 
@@ -55,7 +59,7 @@ def search_table(spark, a) -> None:
     table = tables.search_table(
         results.collect_validation(spark, a.path), a.group_by, order=["path", "block", "line"])
     cell = ["method", "fold", *([a.group_by] if a.group_by else [])]
-    _csv(table, a.out or f"{a.path}/lr_search_table.csv", *cell)
+    table = _csv(table, a.out or f"{a.path}/lr_search_table.csv", *cell)
     quality.incomplete_seeds(table, cell).show(400, truncate=False)
     if a.group_by:
         tables.best_by_group(table.withColumn(a.group_by, F.col(a.group_by).cast("double")), a.group_by).show(400)
@@ -65,10 +69,10 @@ def target_source_table(spark, a) -> None:
     groups = _groups(spark, a.groups)
     exclude = langsets.langs_of(groups, a.exclude_group) if a.exclude_group else None
     label = {"joshi5": "j5", "": "excluded"}.get(a.exclude_group, a.exclude_group)
-    scanned = results.scan_tables(spark, a.root, grids=a.run_group, table=a.table_name)
+    scanned = settle(results.scan_tables(spark, a.root, grids=a.run_group, table=a.table_name))
     table = tables.target_source_table(
         scanned, flavour=a.target_groups, exclude=exclude, excluded=label, sizes=langsets.source_sizes(groups))
-    _csv(table, a.out or f"{a.root}/{a.run_group[0]}.target_source_table.csv", "target_rank", "source_rank")
+    table = _csv(table, a.out or f"{a.root}/{a.run_group[0]}.target_source_table.csv", "target_rank", "source_rank")
     if "zero_shot_acc" in table.columns:
         quality.baseline_spread(table).show(400, truncate=False)
 
@@ -106,10 +110,8 @@ def cluster_quality(spark, a) -> None:
         N.layer_of_key(key).alias("layer"), method.alias("method"),
         (N.script_of(label) if a.group_by == "script" else label).alias("cluster"),
         F.col("embedding").cast("array<double>").alias("embedding")).dropna(subset=["method"])
-    # Vectors are told apart by content; equal copies are numbered.
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
-    from .session import settle
-    rows = settle(rows)
+    # Numbered and written once, so that every step sees the same numbers.
+    rows = settle(rows.withColumn("id", F.monotonically_increasing_id()))
     by = ["layer", "method"]
     quality_rows = vectors.cluster_quality(rows, by=by, cluster="cluster", id="id", sample=a.silhouette_sample)
     table = vectors.method_diff(quality_rows, by=["layer"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (
     CONFIG_DEFAULTS, CONFIG_IGNORED, CONFIG_RENAMES, CONFIG_SECTIONS, LENGTH_GROUPING_KEY, PACKED_ARGS_KEY,
 )
+from ..functions.joins import match_keys
 from ..session import settle
 from .ranking import position
 
@@ -182,7 +183,8 @@ def grid_coverage(expected: DataFrame, runs: DataFrame, *, cell: Sequence[str],
     ran = per_recipe.groupBy(*cell).agg(F.sum("k").alias("n_runs"), F.count(recipe).alias("n_recipes"))
     counts = per_recipe.groupBy(method, recipe).agg(F.sum("k").alias("k"))
     usual = counts.groupBy(method).agg(F.max_by(recipe, F.struct("k", recipe)).alias("usual_recipe"))
-    both = expected.select(*cell).distinct().withColumn("_e", F.lit(True)).join(ran, list(cell), "full_outer")
+    # Unfolded runs have a null fold, which matches a null fold.
+    both = match_keys(expected.select(*cell).distinct().withColumn("_e", F.lit(True)), ran, cell, "full_outer")
     status = (
         F.when(F.col("n_runs").isNull(), "missing").when(F.col("_e").isNull(), "extra")
         .when(F.col("n_recipes") > 1, "several_recipes"))

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import settle
+from ..functions.joins import match_keys
+from ..session import lookup_side, settle
 
 KEY = ("method", "seed", "fold", "target_lang")
 
@@ -19,9 +20,7 @@ def duplicate_results(rows: DataFrame, run: str = "run_name") -> DataFrame:
     per_run = rows.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("n_rows"))
     total = F.sum("n_rows").alias("n_total")
     doubled = per_run.groupBy(*keys).agg(total).where("n_total > 1")
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
-    return per_run.alias("p").join(doubled.alias("d"), same).select(
-        *[f"p.{k}" for k in keys], f"p.{run}", "p.n_rows", "d.n_total")
+    return match_keys(per_run, doubled, keys)
 
 
 def incomplete_seeds(table: DataFrame, cell: Sequence[str]) -> DataFrame:
@@ -73,7 +72,8 @@ def entry_violations(entries: DataFrame, groups: DataFrame) -> DataFrame:
     tune_only (bool), adapter.
     """
     known = groups.select(F.col("group").alias("source_group")).distinct().withColumn("_known", F.lit(True))
-    e = entries.join(known, "source_group", "left")
+    # Many entries may have no group; a broadcast keeps them where they are.
+    e = entries.join(lookup_side(known), "source_group", "left")
     tuned = F.coalesce(F.col("separate_test"), F.lit(False)) | F.coalesce(F.col("tune_only"), F.lit(False))
     adapted = F.coalesce(F.col("adapter"), F.lit("")) != ""
     shapes = (

@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import BUCKET_DIGITS, bucket_of, digest
+from ..functions.joins import match_keys
 from ..session import lookup_side, settle
 
 _DIG, _BUC, _CNT, _START, _TOTAL = "_digest", "_bucket", "_count", "_start", "_total"
@@ -50,7 +51,7 @@ def digest_rank(
     # Without group columns there are at most 16**digits start rows.
     starts = lookup_side(starts) if group else F.broadcast(starts)
     inside = W.partitionBy(*group, _BUC).orderBy(_DIG, *ids)
-    ranked = tagged.join(starts, [*group, _BUC]).withColumn(
+    ranked = match_keys(tagged, starts, [*group, _BUC]).withColumn(
         rank, F.col(_START) + F.row_number().over(inside) - 1
     )
     if total:
@@ -77,7 +78,7 @@ def keep_drawn(
         *group, _BUC, _CNT, (quota(F.col(_TOTAL)) - F.col(_START)).alias("_room")
     ).where(F.col("_room") > 0)
     room = lookup_side(room)
-    open_rows = tagged.join(room, [*group, _BUC])
+    open_rows = match_keys(tagged, room, [*group, _BUC])
     whole = open_rows.where(F.col("_room") >= F.col(_CNT))
     edge = (
         open_rows.where(F.col("_room") < F.col(_CNT))
@@ -106,8 +107,7 @@ def position(
     placed = _placed(df.select(*key), order, group, descending, rank, partitions)
     if set(df.columns) == set(key):
         return placed
-    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]
-    return df.alias("w").join(placed.alias("p"), same).select(*[f"w.{c}" for c in df.columns], f"p.{rank}")
+    return match_keys(df, placed, key).select(*df.columns, rank)
 
 
 def _placed(keys: DataFrame, order, group, descending, rank, partitions) -> DataFrame:
@@ -129,9 +129,7 @@ def _placed(keys: DataFrame, order, group, descending, rank, partitions) -> Data
     if not group:
         return placed
     firsts = lookup_side(placed.groupBy(*group).agg(F.min(rank).alias("_first")))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
-    return placed.alias("a").join(firsts.alias("f"), same).select(
-        *[f"a.{c}" for c in keys.columns], (F.col(f"a.{rank}") - F.col("f._first")).alias(rank))
+    return match_keys(placed, firsts, group).select(*keys.columns, (F.col(rank) - F.col("_first")).alias(rank))
 
 
 def head_of_groups(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.checks import DataProblem, refuse
+from ..functions.joins import match_keys
 from ..operators.prompts import remap_splits
 from ..session import lookup_side, settle
 
@@ -33,7 +34,7 @@ def verify_written(rows: DataFrame, path: str, parts: Sequence[str] = PARTS) ->
     written = rows.sparkSession.read.parquet(path)
     expected = partition_counts(rows, parts).withColumnRenamed("n_rows", "n_expected")
     found = partition_counts(written, parts).withColumnRenamed("n_rows", "n_written")
-    both = expected.join(found, list(parts), "full_outer")
+    both = match_keys(expected, found, parts, "full_outer")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_expected", "n_written")}
     return both.withColumns(counts).withColumn("ok", F.col("n_expected") == F.col("n_written"))
 
@@ -76,7 +77,7 @@ def append_missing(rows: DataFrame, path: str, parts: Sequence[str] = PARTS) ->
     texts = {p: F.col(p).cast("string") for p in parts}
     fresh = rows.withColumns(texts)
     if there:
-        fresh = fresh.join(lookup_side(discover_partitions(spark, path, parts)), list(parts), "left_anti")
+        fresh = match_keys(fresh, lookup_side(discover_partitions(spark, path, parts)), parts, "left_anti")
     # Few rows: the partition keys about to be written.
     new = fresh.groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows"))
     new = settle(new)

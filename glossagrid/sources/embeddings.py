@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import lookup_side
+
 
 def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key", "embedding")
@@ -29,7 +31,7 @@ def merge_shards(first: DataFrame, second: DataFrame, *, key: str = "key", row:
     # A store has few keys beside its rows.
     keys = both.groupBy(key).agg(F.min("shard").alias("_first"))
     order = keys.select(key, (F.row_number().over(W.orderBy("_first", key)) - 1).alias("key_order"))
-    return both.join(order, key)
+    return both.join(lookup_side(order), key)
 
 
 def select_embeddings(store: DataFrame, *, labels: Sequence[str] | DataFrame | None = None, model: str | None = None,

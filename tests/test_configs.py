@@ -72,6 +72,12 @@ def test_coverage_reports_missing_extra_and_several(spark):
                    ("xpe", 0): ("missing", 0, "v1"), ("xpe", 1): ("extra", 1, None)}
 
 
+def test_unfolded_cells_match(spark):
+    runs = spark.createDataFrame([("spt", None, "v1")], "method string, fold int, recipe string")
+    expected = runs.select("method", "fold")
+    assert C.grid_coverage(expected, runs, cell=["method", "fold"]).count() == 0
+
+
 def test_tracking_takes_the_first_hit(spark):
     runs = spark.createDataFrame([("u1", 1), ("u2", 2)], "uuid4 string, run int")
     log = spark.createDataFrame([("u1", "b", 2), ("u1", "a", 1)], "uuid4 string, path string, v int")

@@ -99,6 +99,15 @@ def test_second_append_writes_nothing(spark, tmp_path):
     assert spark.read.parquet(root).count() == 120
 
 
+def test_rows_without_a_fold_round_trip_and_are_not_written_twice(spark, tmp_path):
+    root = str(tmp_path / "data")
+    rows = _dataset(spark).withColumn("fold", F.when(F.col("fold") == 1, 1))
+    assert D.write_verified(rows, root).where("fold is null and ok").count() == 6
+    assert D.append_missing(rows, root).count() == 0
+    unfolded = folds.select_partition(spark.read.parquet(root), lang="de")
+    assert unfolded.count() == 20
+
+
 def test_prepare_and_manifest(spark, tmp_path):
     root = str(tmp_path / "data")
     D.write_partitioned(_dataset(spark), root)

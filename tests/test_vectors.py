@@ -174,6 +174,13 @@ def test_position_and_heads_equal_one_sort(spark):
     assert set(heads["id"]) == set(full["id"])
 
 
+def test_rows_of_a_null_group_are_ranked_and_sampled(spark):
+    rows = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "g").alias("g"))
+    assert sorted(K.digest_rank(rows, ["id"], seed=1, group=["g"], rank="r").where("g is null").toPandas()["r"]) == list(range(25))
+    assert K.position(rows, ["id"], group=["g"]).where("g is null").count() == 25
+    assert V.sample_per_group(rows, 0.2, group=["g"], ids=["id"], seed=1).where("g is null").count() == 5
+
+
 def test_draws_are_uniform(spark):
     u = spark.range(4000).select(draws.draw_unit("s", "id").alias("u")).toPandas()["u"]
     assert 0.47 < u.mean() < 0.53 and u.between(0, 1, inclusive="left").all()
