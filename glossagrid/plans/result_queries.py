@@ -293,20 +293,19 @@ def target_source_table_seen(spark, d):
     return _target_source(spark, d, "seen")
 
 
-@query("align_runs", """
-PIVOT (SELECT target_lang, 'run' || method || (CASE WHEN fold > 0 THEN '#' || (fold + 1) ELSE '' END) AS run, round(accuracy, 6) AS accuracy
-       FROM (SELECT l_returnflag AS method, CAST(l_orderkey % 3 AS INTEGER) AS fold, n_name AS target_lang,
-                    CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) / count(*) AS accuracy
-             FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL))
-ON run IN ('runA', 'runA#2', 'runA#3', 'runN', 'runN#2', 'runN#3', 'runR', 'runR#2', 'runR#3')
-USING first(accuracy) GROUP BY target_lang""")
+_RUN_COLUMNS = {f"run{m}{s}": (m, f) for m in METHODS for f, s in enumerate(("", "#2", "#3"))}
+
+
+@query("align_runs", "SELECT target_lang, " + ", ".join(
+    f"max(accuracy) FILTER (method = '{m}' AND fold = {f}) AS \"{name}\"" for name, (m, f) in _RUN_COLUMNS.items()) + """
+FROM (SELECT method, fold, target_lang, round(sum(accuracy * n) / sum(n), 6) AS accuracy FROM result_rows GROUP BY ALL)
+GROUP BY target_lang""", "result_rows")
 def align_runs(spark, d):
     pooled = T.pool_folds(B.result_rows(spark, d).withColumn("seed", F.col("fold")))
     rows = pooled.select(
         F.concat(F.lit("run"), "method").alias("run_name"), F.concat(F.lit("2026010"), "seed").alias("path"),
         "target_lang", F.round("acc", 6).alias("accuracy"))
-    columns = [f"run{m}{s}" for m in METHODS for s in ("", "#2", "#3")]
-    return T.align_runs(rows, columns=columns, strict=False)
+    return T.align_runs(rows, columns=list(_RUN_COLUMNS), strict=False)
 
 
 @query("check_unique", """
