@@ -1,0 +1,182 @@
+"""Native operators against brute force: shards, sketches, secrets."""
+
+import hashlib
+import random
+import re
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from glossagrid.llm import fingerprints, secrets, sharding
+from glossagrid.llm.queries import QUERIES
+from tests.llm.conftest import SMALL
+
+
+def slots_are_gapless(rows):
+    held = defaultdict(list)
+    for r in rows:
+        held[r.shard].append(r.slot)
+    return all(sorted(s) == list(range(len(s))) for s in held.values())
+
+
+def test_shards_of_documents(spark, small):
+    rows = QUERIES["op6_sampled_splitters"](spark, SMALL).collect()
+    assert len(rows) == len(small) and slots_are_gapless(rows)
+    sizes = Counter()
+    for r in rows:
+        data = small[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+        sizes[r.shard] += r.size
+    assert set(sizes) <= set(range(8))
+    most = max(r.size for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * most
+    homes = defaultdict(set)
+    for r in rows:
+        homes[small[r.doc_id]].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())
+
+
+@pytest.mark.parametrize("hot", [0, 7000])
+def test_hot_keys_are_subdivided_and_others_stay_whole(spark, hot):
+    r = random.Random(3)
+    rows = [(i, r.getrandbits(60) if i >= hot else 5, r.randint(1, 90)) for i in range(20_000)]
+    rows += [(20_000 + i, rows[-1 - i % 500][1], 10) for i in range(1000)]
+    out = sharding.shard_by_size(spark.createDataFrame(rows, "id long, k long, s long"), 8, "k", "s").collect()
+    sizes, homes = Counter(), defaultdict(set)
+    for x in out:
+        sizes[x.shard] += x.s
+        homes[x.k].add(x.shard)
+    assert len(out) == 21_000 and slots_are_gapless(out)
+    assert max(sizes.values()) < 1.03 * min(sizes.values())
+    assert all(len(h) == 1 for k, h in homes.items() if k != 5)
+
+
+def test_odd_rows_in_shards(spark, odd_docs, no_docs):
+    sized = lambda d: d.withColumn("key", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
+    rows = sharding.shard_by_size(sized(odd_docs), 8, "key", "size").collect()
+    assert len(rows) == odd_docs.count() and slots_are_gapless(rows)
+    assert sharding.shard_by_size(sized(no_docs), 8, "key", "size").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 64, 100])
+def test_locate_counts_splitters(spark, n):
+    cuts = sorted(random.Random(n).sample(range(1000), n))
+    rows = spark.range(-5, 1005).select("id", sharding.locate(F.col("id"), cuts).alias("at")).collect()
+    assert all(r["at"] == sum(c <= r.id for c in cuts) for r in rows)
+
+
+def edits(texts):
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        text, after = texts[i], texts[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        yield i, text[:len(text) - half] + after[:half], order[(k + 1) % len(order)]
+
+
+def test_fingerprints_of_documents(spark, small):
+    rows = {r.doc_id: r for r in QUERIES["op4_threshold_sketch"](spark, SMALL).collect()}
+    assert len(rows) == len(small)
+
+    def shingles(text):
+        w = re.findall(r"[^ \t-\r]+", text.lower())
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    gaps = []
+    for i, edited, after in edits(small):
+        r = rows[i]
+        assert r.n_chars == len(small[i]) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = shingles(small[i]), shingles(edited), shingles(small[after])
+        if len(a) > 300:
+            gaps.append(abs(r.near_edited - len(a & b) / len(a | b)))
+        if a == c:
+            assert r.near_next == 1
+        held = {tuple(x.fingerprint.split(",")): 0 for x in rows.values() if small[x.doc_id] == small[i]}
+        assert len(held) == 1
+    assert sum(gaps) / len(gaps) < 0.06
+
+
+def test_sketches_merge_and_measure_containment(spark):
+    long = " ".join(f"w{i}" for i in range(6000))
+    part = " ".join(f"w{i}" for i in range(1000, 2000))
+    df = spark.createDataFrame([(long, part)], "a string, b string")
+    a, b = (fingerprints.sketch(fingerprints.words_of(F.col(c))) for c in "ab")
+    row = df.select(a.alias("a"), b.alias("b")).select(
+        fingerprints.containment(F.col("b"), F.col("a")).alias("in_a"), fingerprints.containment(F.col("a"), F.col("b")).alias("in_b")).first()
+    assert row.in_a > 0.99 and abs(row.in_b - 1 / 6) < 0.05
+
+
+def test_odd_rows_in_fingerprints(spark, odd_docs, no_docs):
+    rows = fingerprints.fingerprint_edits(odd_docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_docs.collect())
+    by = {r.doc_id: r for r in rows}
+    assert by[2].sketch == by[3].sketch == by[4].sketch == [] and by[2].text == ""
+    assert by[5].sketch == by[6].sketch and by[9].edited == "one"
+    assert fingerprints.fingerprint_edits(no_docs).count() == 0
+    one = fingerprints.fingerprint_edits(odd_docs.where("doc_id = 1")).collect()
+    assert len(one) == 1 and one[0].sketch == one[0].next_sketch
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_of(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+def test_secrets_of_documents(spark, small):
+    rows = QUERIES["op5_randomness_battery"](spark, SMALL).collect()
+    assert len(rows) == len(small)
+    for r in rows:
+        base = base_of(small[r.doc_id])
+        assert r.base_sha256 == digest(base) and r.n_assign == sum(k == 0 for _, k, _ in base)
+        texts = {f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base}
+        assert texts <= set(r.spans.split(",")) | ({""} if not base else set())
+
+
+def test_planted_secrets(spark):
+    r = random.Random(5)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    b64 = string.ascii_letters + string.digits
+    texts = {}
+    for i in range(60):
+        texts[i] = f"é😀 here {pick(b64, 40)} and text, AKIA{pick(string.ascii_uppercase + string.digits, 16)}xyz PASSWORD: '{pick(b64, 8)}' {pick('0123456789abcdef', 32)}."
+        texts[100 + i] = f"Plain prose with internationalisation-and-deinstitutionalisation, {'ab' * 20} token: x secret = tok and /usr/share/locale/de/messages {'a' * 40}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scanned = secrets.scan(df)
+    rows = {x.doc_id: x for x in secrets.with_spans(scanned, secrets.discovery_bin(scanned)).collect()}
+    hits = 0
+    for i, text in texts.items():
+        assert [tuple(s) for s in rows[i].base] == base_of(text)
+        extra = [text[s.start:s.end] for s in rows[i].spans if s.kind == 3]
+        if i < 100:
+            hits += any(len(x) == 40 for x in extra)
+        else:
+            assert not extra
+    assert hits >= 57
+    clean = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    for i, text in texts.items():
+        want, at = "", 0
+        for s in rows[i].spans:
+            if s.end > at:
+                want += (text[at:s.start] + "[SECRET]") if s.start >= at else ""
+                at = s.end
+        assert clean[i] == want + text[at:]
+
+
+def test_odd_rows_in_secrets(spark, odd_docs, no_docs):
+    out = secrets.redact(odd_docs).collect()
+    assert len(out) == odd_docs.count() and out[0].asDict().keys() == odd_docs.first().asDict().keys()
+    assert {r.doc_id: r.text for r in out}[7] == "é😀 [SECRET]\" x" and {r.doc_id: r.text for r in out}[2] is None
+    assert secrets.redact(no_docs).count() == 0
+    scanned = secrets.scan(no_docs)
+    assert secrets.with_spans(scanned, secrets.discovery_bin(scanned)).count() == 0
