@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import struct
+from array import array
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 END_ID = 1
@@ -36,6 +37,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level models use for bytes: printable ones as they are, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordIds(dict):
     """Ids of blank-free words as little-endian unsigned 32-bit bytes, filled on demand.
 
@@ -49,14 +57,37 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._model, self._bytes = self.tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        # ASCII letters fold alone, and letters never join a closing mark: such words are known ones or new pieces.
+        letters, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+        if not letters.isalpha():
+            packed = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        elif mark:
+            packed = self[letters] + self[mark]
+        elif not word.isascii():
+            packed = self._letters(word)
+        elif word.islower():
+            packed = self._packed([x.id for x in self._model(word)])
+        else:
+            packed = self[word.lower()]
         if len(word) <= 64:
             self[word] = packed
         return packed
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Latin-1 letters are in normal form and fold alone: one piece for the model."""
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return self._packed([x.id for x in self._model(word.lower().encode().decode("latin-1").translate(self._bytes))])
+
     def encode(self, text: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
@@ -71,3 +102,30 @@ def word_ids(path: str) -> WordIds:
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
     return _WORD_IDS[path]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words as bytes; a full cache starts anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of the text's words: ASCII letters lower-cased, split at ASCII blanks."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        words = (text or "").encode().lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_WORD_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """One cache per worker process."""
+    return _WORD_HASHES

@@ -37,9 +37,8 @@ SHARD_IDS = 1 << 22
 def pack_block(ids: np.ndarray, compress) -> tuple[int, list[bytes]]:
     """Bit width and compressed planes of one block of u32 ids."""
     width = int(ids.max()).bit_length() if len(ids) else 0
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return width, [compress(p.tobytes()) for p in planes]
+    bits = [(ids >> np.uint32(k)).astype(np.uint8) & 1 for k in range(width)]
+    return width, [compress(np.packbits(b, bitorder="little").tobytes()) for b in bits]
 
 
 def unpack_block(n: int, planes: list[bytes]) -> np.ndarray:

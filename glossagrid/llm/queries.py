@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bitplanes, fingerprints, packing, secrets, sharding
+from . import bitplanes, fingerprints, lshforest, packing, secrets, sharding
 from .base import default_tokenizer, table, whole
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,8 @@ def op10_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer())
     return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"),
                          F.crc32("ids").alias("ids_crc32"), "sequence_id", F.col("offset").cast("bigint").alias("offset"))
+
+
+@query
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
