@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bitplanes, fingerprints, lshforest, packing, secrets, sharding
+from . import bitplanes, fingerprints, lshforest, packing, secrets, sharding, templates
 from .base import default_tokenizer, table, whole
 
 QUERIES, ORACLES = {}, {}
@@ -32,8 +32,7 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scanned = settle(scanned.select("doc_id", "base", "candidates"))
     found = secrets.with_spans(scanned, secrets.discovery_bin(scanned))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-             for k, name in enumerate(secrets.KINDS[:3])]
+    count = [secrets.count_kind(F.col("base"), k).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *count, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
                         secrets.span_text(F.col("spans")).alias("spans"))
 
@@ -66,3 +65,8 @@ def op10_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -86,6 +86,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(0, assigned), _spans(1, matches(text, ACCESS)), _spans(2, matches(text, HEX))))
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def _erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 (rational approximation, error below 2e-7)."""
     t = 1 / (1 + 0.3275911 * x)
@@ -170,7 +174,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def discovery_bin(scanned: DataFrame) -> int:
     """Lowest bin that passes Benjamini-Hochberg over all candidates of the table."""
-    each = scanned.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
+    # An inner explode would be turned into a filter below it and scan the texts twice.
+    each = scanned.select(F.explode_outer("candidates").alias("c")).where("c IS NOT NULL")
     # At most MOST_BINS + 1 rows.
     counts = {r.bin: (r.n, r.m) for r in each.groupBy("c.bin").agg(
         F.count_if(F.col("c.p_random") >= ACCEPT).alias("n"), F.count("*").alias("m")).collect()}

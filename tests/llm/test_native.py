@@ -138,7 +138,8 @@ def test_secrets_of_documents(spark, small):
     assert len(rows) == len(small)
     for r in rows:
         base = base_of(small[r.doc_id])
-        assert r.base_sha256 == digest(base) and r.n_assign == sum(k == 0 for _, k, _ in base)
+        assert r.base_sha256 == digest(base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
         texts = {f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base}
         assert texts <= set(r.spans.split(",")) | ({""} if not base else set())
 
@@ -153,10 +154,12 @@ def test_planted_secrets(spark):
         texts[100 + i] = f"Plain prose with internationalisation-and-deinstitutionalisation, {'ab' * 20} token: x secret = tok and /usr/share/locale/de/messages {'a' * 40}"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     scanned = secrets.scan(df)
-    rows = {x.doc_id: x for x in secrets.with_spans(scanned, secrets.discovery_bin(scanned)).collect()}
+    found = secrets.with_spans(scanned, secrets.discovery_bin(scanned))
+    rows = {x.doc_id: x for x in found.select("*", *[secrets.count_kind(F.col("base"), k).alias(f"n{k}") for k in range(3)]).collect()}
     hits = 0
     for i, text in texts.items():
         assert [tuple(s) for s in rows[i].base] == base_of(text)
+        assert [rows[i][f"n{k}"] for k in range(3)] == [sum(x == k for _, x, _ in base_of(text)) for k in range(3)]
         extra = [text[s.start:s.end] for s in rows[i].spans if s.kind == 3]
         if i < 100:
             hits += any(len(x) == 40 for x in extra)
