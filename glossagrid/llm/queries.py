@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bitplanes, fingerprints, lshforest, packing, secrets, sharding, templates
-from .base import default_tokenizer, table, whole
+from . import bitplanes, bytenet, fingerprints, lshforest, packing, secrets, sharding, templates, toxicity
+from .base import default_tokenizer, fold, table, whole
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,3 +70,19 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = bytenet.score_documents(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
