@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bitplanes, bytenet, fingerprints, lshforest, packing, secrets, sharding, templates, toxicity
+from . import bitplanes, bytenet, fingerprints, lshforest, packing, pitmanyor, secrets, sharding, templates, toxicity
 from .base import default_tokenizer, fold, table, whole
 
 QUERIES, ORACLES = {}, {}
@@ -86,3 +86,10 @@ def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bytenet.score_documents(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10) == 0
+    scored = pitmanyor.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
