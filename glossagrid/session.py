@@ -50,10 +50,11 @@ def settle(df: DataFrame) -> DataFrame:
 
     Used where later steps read the same rows more than once, or must see exactly
     the same rows after an executor is lost. The table is columnar, so each step
-    reads only its columns, and Spark knows its true size.
+    reads only its columns, and Spark knows its true size. Zstandard, as the default
+    codec keeps direct buffers of every small file until the next collection.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
