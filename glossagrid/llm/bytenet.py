@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EX
     # Bounded: at most `examples` times TRAIN_CHUNKS chunks.
     drawn = sorted(rows.select("doc_id", "label", picked_chunks("text").alias("held")).collect(), key=lambda r: r.doc_id)
     net, base = None, (sum(r.label for r in drawn) / len(drawn) if drawn else 0.5)
-    if 0 < base < 1:
+    if drawn and 0 < base < 1:
         net = ByteNet().fit([[np.frombuffer(c, "<u2") for c in r.held] for r in drawn], [r.label for r in drawn])
 
     @F.pandas_udf("double")

@@ -3,11 +3,11 @@
 Every set of word shingles gets 128 minima. Each of 16 trees orders the sets by its
 own sequence of 8 minima; in that order, sets with long common prefixes stand
 together. Candidates are the neighbours in the order (up to `NEAR` before) that share
-at least 4 minima, and the first set of each run of equal prefixes at every
-depth from 4 to 8. A sparse region is thus compared whole, a crowded one only at
-the depth that separates it, without all pairs. A link of similarity 0.85 shares 4
-minima in some tree but for 7 in a million; the components join what further
-neighbours link.
+the least depth, and the first set of each run of equal prefixes at every depth
+from there to 8. A sparse region is thus compared whole, a crowded one only at
+the depth that separates it, without all pairs. The least depth is the largest that
+some tree shows for all but about 1 in 100,000 links of the asked similarity
+(4 for 0.85, 3 for 0.8); the components join what further neighbours link.
 
 Candidates of hopeless size ratio or estimate are dropped, and every link is
 confirmed on the full sets. Equal sets are one class from the start. Confirmation
@@ -36,13 +36,18 @@ from .components import components
 MINIMA = 128
 TREES = 16
 DEPTH = 8
-SHARED = 4
+MISSED = 1.1e-5
 NEAR = 16
 BITS_AGREE = 96  # of 128 lowest bits: a link of similarity 0.85 has 118 +- 3.
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def least_depth(percent: int) -> int:
+    fits = [d for d in range(1, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED]
+    return max(fits, default=1)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle."""
     if not len(words):
@@ -136,7 +141,7 @@ class Walk:
     """Goes along a sorted order, keeping the last rows and the first row of each run."""
 
     def __init__(self, percent: int):
-        self.percent, self.kept = percent, None
+        self.percent, self.least, self.kept = percent, least_depth(percent), None
         self.leaders: dict[int, tuple] = {}
 
     def step(self, keys: np.ndarray, rep, n, b0, b1):
@@ -148,13 +153,13 @@ class Walk:
         same = np.zeros((len(words), DEPTH + 1), bool)  # same[i, d]: row i shares tree and d minima with row i - 1
         if len(words) > 1:
             equal = np.logical_and.accumulate(words[1:] == words[:-1], axis=1)
-            for d in range(SHARED, DEPTH + 1):
+            for d in range(self.least, DEPTH + 1):
                 same[1:, d] = equal[:, 4 * d]
         rows, others = [], []
-        run = same[:, SHARED].copy()  # row i shares the prefix with each of the `back` rows before it
+        run = same[:, self.least].copy()  # row i shares the prefix with each of the `back` rows before it
         for back in range(1, NEAR + 1):
             if back > 1:
-                run[back - 1:] &= same[:len(words) - back + 1, SHARED]
+                run[back - 1:] &= same[:len(words) - back + 1, self.least]
             at = np.flatnonzero(run)
             at = at[at >= first]
             if not len(at):
@@ -162,7 +167,7 @@ class Walk:
             rows.append(at)
             others.append(at - back)
         found = [self._pairs(joined, np.concatenate(rows), tuple(c[np.concatenate(others)] for c in joined[1:]))] if rows else []
-        for d in range(SHARED, DEPTH + 1):
+        for d in range(self.least, DEPTH + 1):
             starts = np.where(same[:, d], 0, np.arange(len(words)))
             starts = np.maximum.accumulate(starts)
             at = np.arange(first, len(words))
@@ -303,3 +308,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id. Rows without id stay."""
+    found = near_duplicates(docs, width, percent)
+    gone = settle(found.where(~F.col("kept")).select("doc_id").distinct())
+    left = docs.join(lookup_side(gone, 16), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = settle(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.head(1):
+        return left
+    again = lookup_side(again, 16)
+    once = left.join(again, "doc_id", "left_anti").select(*left.columns)
+    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*left.columns).dropDuplicates(["doc_id"]))
