@@ -18,18 +18,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .constants import CHAT_LAYOUTS, FOLD_SEED, FOLD_SPLITS
 from .functions import names as N
 from .operators import bootstrap, folds, langsets, prompts, quality, tables, vectors
-from .session import settle
+from .session import drop_scratch, settle
 from .sources import datasets, embeddings, results
 
 
+SHOWN = 20
+
+
 def _csv(table: DataFrame, path: str, *order: str) -> DataFrame:
-    """A small result table, computed once: as one CSV file with a header and on the screen."""
+    """A result table, computed once: whole as CSV with a header, its first rows on the screen."""
     table = settle(table)
-    table.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
-    table.orderBy(*order).show(400, truncate=False)
+    ordered = table.orderBy(*order) if order else table
+    ordered.write.mode("overwrite").option("header", "true").csv(path)
+    print(path)
+    ordered.show(SHOWN, truncate=False)
     return table
 
 
+def _beside(path: str, report: str) -> str:
+    return f"{path.removesuffix('.csv')}.{report}.csv"
+
+
 def _groups(spark: SparkSession, path: str | None) -> DataFrame:
     groups = langsets.published_groups(spark)
     if path:
@@ -50,31 +59,35 @@ def lang_table(spark, a) -> None:
     table = tables.result_table(
         rows, _groups(spark, a.groups), low_groups=low, zero_shot=zero_shot, seeds=seeds, high_frac=a.high_frac,
         low_frac=a.low_frac, key=a.key, value=a.value)
-    table = _csv(table, f"{a.out_prefix or a.path + '/lang_table'}.csv", table.columns[0])
+    out = f"{a.out_prefix or a.path + '/lang_table'}.csv"
+    table = _csv(table, out, table.columns[0])
     if "n_items" in table.columns:
-        quality.incomplete_items(table).show(400, truncate=False)
+        _csv(quality.incomplete_items(table), _beside(out, "incomplete_items"))
 
 
 def search_table(spark, a) -> None:
     table = tables.search_table(
         results.collect_validation(spark, a.path), a.group_by, order=["path", "block", "line"])
     cell = ["method", "fold", *([a.group_by] if a.group_by else [])]
-    table = _csv(table, a.out or f"{a.path}/lr_search_table.csv", *cell)
-    quality.incomplete_seeds(table, cell).show(400, truncate=False)
+    out = a.out or f"{a.path}/lr_search_table.csv"
+    table = _csv(table, out, *cell)
+    _csv(quality.incomplete_seeds(table, cell), _beside(out, "incomplete_seeds"))
     if a.group_by:
-        tables.best_by_group(table.withColumn(a.group_by, F.col(a.group_by).cast("double")), a.group_by).show(400)
+        best = tables.best_by_group(table.withColumn(a.group_by, F.col(a.group_by).cast("double")), a.group_by)
+        _csv(best, _beside(out, "best"))
 
 
 def target_source_table(spark, a) -> None:
     groups = _groups(spark, a.groups)
-    exclude = langsets.langs_of(groups, a.exclude_group) if a.exclude_group else None
+    exclude = langsets.present(groups, a.exclude_group) if a.exclude_group else None
     label = {"joshi5": "j5", "": "excluded"}.get(a.exclude_group, a.exclude_group)
     scanned = settle(results.scan_tables(spark, a.root, grids=a.run_group, table=a.table_name))
     table = tables.target_source_table(
         scanned, flavour=a.target_groups, exclude=exclude, excluded=label, sizes=langsets.source_sizes(groups))
-    table = _csv(table, a.out or f"{a.root}/{a.run_group[0]}.target_source_table.csv", "target_rank", "source_rank")
+    out = a.out or f"{a.root}/{a.run_group[0]}.target_source_table.csv"
+    table = _csv(table, out, "target_rank", "source_rank")
     if "zero_shot_acc" in table.columns:
-        quality.baseline_spread(table).show(400, truncate=False)
+        _csv(quality.baseline_spread(table), _beside(out, "baseline_spread"))
 
 
 def reframe_mcqa(spark, a) -> None:
@@ -82,24 +95,25 @@ def reframe_mcqa(spark, a) -> None:
     keep = [c for c in ("lang", "split", "link", "question_number") if c in rows.columns]
     out = prompts.reframe_mcqa(rows, keep)
     parts = [c for c in ("lang", "split") if c in keep]
-    out = prompts.question_ids(out, group=parts)
-    datasets.write_verified(out, a.out, parts).show(1000)
+    _csv(prompts.bad_prompts(out), _beside(a.out, "rejected"))
+    out = prompts.question_ids(out.where(F.col("text").isNotNull() & F.col("answer_label").isNotNull()), group=parts)
+    _csv(datasets.write_verified(out, a.out, parts), _beside(a.out, "written"))
 
 
 def split_folds(spark, a) -> None:
     rows = spark.read.parquet(a.src).drop("split", "fold")
     report = folds.parallel_report(rows)
-    report.where(~F.col("ok")).show(1000)
+    _csv(report.where(~F.col("ok")), _beside(a.out, "not_parallel"))
     plan = folds.fold_plan(
         rows.join(report.where("ok").select("lang"), "lang", "left_semi"), n_splits=a.n_splits, train=a.train,
         val=a.val, test=a.test, seed=a.seed)
-    datasets.write_verified(folds.fold_rows(folds.drop_unparallel(rows, report), plan), a.out).show(1000)
+    _csv(datasets.write_verified(folds.fold_rows(folds.drop_unparallel(rows, report), plan), a.out), _beside(a.out, "written"))
 
 
 def wrap_chat(spark, a) -> None:
     rows = spark.read.parquet(a.src)
     parts = [c for c in datasets.PARTS if c in rows.columns]
-    datasets.append_missing(prompts.chat_wrap(rows, a.template), a.out, parts).show(1000)
+    _csv(datasets.append_missing(prompts.chat_wrap(rows, a.template), a.out, parts), _beside(a.out, "written"))
 
 
 def cluster_quality(spark, a) -> None:
@@ -174,7 +188,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(SparkSession.builder.getOrCreate(), args)
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        args.run(spark, args)
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

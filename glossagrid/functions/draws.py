@@ -18,10 +18,13 @@ def bucket_of(digest_col: Column, digits: int = BUCKET_DIGITS) -> Column:
 
 
 def draw_int(seed, *parts) -> Column:
-    """Integer in [0, 2**32) read from the first eight hex digits of the digest."""
-    return F.conv(F.substring(digest(seed, *parts), 1, 8), 16, 10).cast("bigint")
+    """Integer in [0, 2**60) read from the first fifteen hex digits of the digest.
+
+    Taken modulo any group size, so large a range leaves no slot out and no bias to speak of.
+    """
+    return F.conv(F.substring(digest(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_unit(seed, *parts) -> Column:
     """Draw in [0, 1)."""
-    return draw_int(seed, *parts) / F.lit(4294967296.0)
+    return draw_int(seed, *parts) / F.lit(float(1 << 60))

@@ -22,10 +22,15 @@ def letter_at(number: Column, letters: Column) -> Column:
     return F.when(number >= 1, F.try_element_at(letters, number))
 
 
+def _joined(mark: str, *parts: Column) -> Column:
+    """Parts with a mark between them; null if any part is."""
+    return F.concat(parts[0], *[x for part in parts[1:] for x in (F.lit(mark), part)])
+
+
 def mcqa_prompt(passage: Column, question: Column, answers: list[Column]) -> Column:
     lines = [F.concat(F.lit("P: "), passage), F.concat(F.lit("Q: "), strip(question))]
     lines += [F.concat(F.lit(f"{letter}: "), a) for letter, a in zip(ANSWER_LETTERS, answers)]
-    return F.concat_ws("\n", *lines, F.lit(ANSWER_CUE))
+    return _joined("\n", *lines, F.lit(ANSWER_CUE))
 
 
 def mcqa_label(correct: Column) -> Column:
@@ -40,7 +45,7 @@ def drawn_letters(seed, item: Column) -> Column:
 
 def cloze_prompt(sentences: list[Column], endings: list[Column], letters: Column) -> Column:
     choices = [F.concat(F.element_at(letters, i + 1), F.lit(": "), e) for i, e in enumerate(endings)]
-    return F.concat(F.concat_ws("\n", *sentences), F.lit("\n\n"), F.concat_ws("\n", *choices, F.lit(ANSWER_CUE)))
+    return F.concat(_joined("\n", *sentences), F.lit("\n\n"), _joined("\n", *choices, F.lit(ANSWER_CUE)))
 
 
 def chat_text(text: Column, layout: str) -> Column:

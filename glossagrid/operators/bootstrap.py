@@ -1,45 +1,44 @@
-"""Bootstrap of cluster metrics: n-of-n resamples as weights, intervals and tests.
+"""Bootstrap of cluster metrics: Poisson weights in place of drawn rows, intervals and tests.
 
-Draws come from digests, so a replicate is the same wherever it is computed.
-Vectors stay in place: each row carries the list of replicates that drew it, rows
-are sharded inside their cluster, and only sums per (replicate, cluster) move.
+In a resample of n out of n rows each row occurs about Poisson(1) times. Every row gets
+its count for each replicate from a digest of (group, replicate, id), so no
+draw is ever a row of its own, nothing is ranked, and a replicate is the same
+wherever it is computed. Rows are sharded inside their cluster, and only sums per
+(replicate, cluster) move.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.draws import draw_int
+from ..functions.draws import draw_unit
 from ..session import keyed, lookup_side, settle
-from .ranking import digest_rank
-from .vectors import _as_vectors, _dispersion_ratio, davies_bouldin_of, ddl
+from .vectors import _as_vectors, _between, _dispersion_ratio, davies_bouldin_of, ddl
 
-# Rows of one cluster handled together in a task.
-ROWS_PER_SHARD = 8192
+# Rows of one cluster handled together in a task, and in one step of it.
+ROWS_PER_SHARD = 32768
+ROWS_PER_STEP = 2048
+# P(count <= k) of a Poisson(1) count; larger counts have less than 1e-9.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
 
-def draw_rows(rows: DataFrame, replicates: int, *, by: Sequence[str], id: str, seed=42) -> DataFrame:
-    """(by, id) of each drawn row with `reps`, the replicates that drew it (once per draw)."""
-    by = list(by)
-    ranked = digest_rank(rows.select(*by, id), [id], seed=seed, group=by, rank="_slot", total="_n")
-    draws = ranked.select(*by, "_slot", "_n").select(
-        *by, "_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    # A slot is drawn about once per replicate, so its list has about that length.
-    drawn = draws.select(*by, (draw_int(seed, *by, "rep", "_slot") % F.col("_n")).alias("_slot"), "rep").groupBy(
-        *by, "_slot").agg(F.collect_list("rep").alias("reps"))
-    return ranked.drop("_n").join(drawn, [*by, "_slot"]).drop("_slot")
+def replicate_weights(rows: DataFrame, replicates: int, *, by: Sequence[str], id: str, seed=42) -> DataFrame:
+    """The rows with `w`: how often each replicate holds the row."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda rep: draw_unit(seed, *by, rep, id))
+    counts = F.transform(draws, lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0)).cast("tinyint"))
+    return rows.withColumn("w", counts)
 
 
-def _weights(reps: pd.Series, replicates: int) -> np.ndarray:
-    """(replicates, rows) counts of draws."""
-    lengths = reps.str.len().to_numpy()
-    rep = np.concatenate(reps.to_numpy())
-    row = np.repeat(np.arange(len(reps)), lengths)
-    return np.bincount(rep * len(reps) + row, minlength=replicates * len(reps)).reshape(replicates, -1).astype(float)
+def _steps(pdf: pd.DataFrame):
+    """Vectors and weights (rows by replicates) of a shard, a bounded number of rows at a time."""
+    for at in range(0, len(pdf), ROWS_PER_STEP):
+        part = pdf.iloc[at:at + ROWS_PER_STEP]
+        yield np.stack(part["x"].to_numpy()), np.stack(part["w"].to_numpy()).astype(float)
 
 
 def replicate_metrics(rows: DataFrame, replicates: int, *, by: Sequence[str], cluster: str, id: str,
@@ -49,59 +48,65 @@ def replicate_metrics(rows: DataFrame, replicates: int, *, by: Sequence[str], cl
     keys = [*by, cluster]
     sizes = lookup_side(rows.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_shard)).cast("int").alias("shards")))
-    # Draws are made on ids alone; the vectors join once.
-    drawn = rows.select(*keys, id, vector).join(draw_rows(rows, replicates, by=by, id=id, seed=seed), [*by, id])
-    sharded = settle(drawn.join(sizes, keys).select(
-        *keys, F.pmod(F.xxhash64(id), "shards").cast("int").alias("shard"), F.col(vector).alias("x"), "reps"))
+    weighted = replicate_weights(rows.select(*keys, id, vector), replicates, by=by, id=id, seed=seed)
+    sharded = settle(weighted.join(sizes, keys).select(
+        *keys, F.pmod(F.xxhash64(id), "shards").cast("int").alias("shard"), F.col(vector).alias("x"), "w"))
     cell = [*keys, "shard"]
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_numpy())
-        w = _weights(pdf["reps"], replicates)
-        n = w.sum(axis=1)
+        n, total = np.zeros(replicates), 0.0
+        for x, w in _steps(pdf):
+            n += w.sum(axis=0)
+            total = total + w.T @ x
         used = np.flatnonzero(n)
-        # Position 0 holds the summed squared norms, the rest the summed vectors.
-        packed = np.column_stack([w @ (x ** 2).sum(axis=1), w @ x])[used]
-        out = pd.DataFrame({"rep": used, "n": n[used].astype(int), "packed": list(packed)})
+        out = pd.DataFrame({"rep": used, "n": n[used].astype(int), "packed": list(total[used])})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out
 
     partial = keyed(sharded, cell).applyInPandas(sums, f"rep int, n bigint, packed array<double>, {ddl(sharded, keys)}")
-    tall = settle(partial.select(*keys, "rep", "n", F.posexplode("packed").alias("dim", "s")).groupBy(
-        *keys, "rep", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
-
-    norms = tall.where("dim = 0").groupBy(*by, "rep").agg(
-        F.sum("s").alias("q"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    dims = tall.where("dim > 0").groupBy(*by, "rep", "dim").agg(
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"), F.sum("s").alias("s"), F.sum("n").alias("m")).groupBy(
-        *by, "rep").agg(F.sum("a").alias("a"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("t"))
-    ch = norms.join(dims, [*by, "rep"]).select(*by, "rep", _dispersion_ratio(
-        F.col("a") - F.col("t"), F.col("q") - F.col("a"), F.col("n"), F.col("k")).alias("calinski_harabasz"))
-
-    means = _as_vectors(
-        tall.where("dim > 0").withColumn("m", F.col("s") / F.col("n")), [*keys, "rep"], "m", "centroid")
+    tall = partial.select(*keys, "rep", "n", F.posexplode("packed").alias("dim", "s")).groupBy(*keys, "rep", "dim").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"))
+    means = settle(_as_vectors(tall.withColumn("m", F.col("s") / F.col("n")), [*keys, "rep"], "m", "centroid"))
+    # A shard holds far more rows than replicates, so the centroids sent to it are the smaller part.
     everywhere = means.join(sizes, keys).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
     def spreads(pdf: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or centers.empty:
-            return pd.DataFrame({"rep": [], "total": [], **{k: [] for k in keys}})
-        x = np.stack(pdf["x"].to_numpy())
-        w = _weights(pdf["reps"], replicates)
+            return pd.DataFrame({"rep": [], "total": [], "squares": [], **{k: [] for k in keys}})
         reps = centers["rep"].to_numpy()
-        total = [w[r] @ np.sqrt(((x - np.asarray(c)) ** 2).sum(axis=1)) for r, c in zip(reps, centers["centroid"])]
-        out = pd.DataFrame({"rep": reps, "total": total})
+        total, squares = np.zeros(len(reps)), np.zeros(len(reps))
+        for x, w in _steps(pdf):
+            for i, (rep, center) in enumerate(zip(reps, centers["centroid"])):
+                held = np.flatnonzero(w[:, rep])
+                away = ((x[held] - np.asarray(center)) ** 2).sum(axis=1)
+                squares[i] += w[held, rep] @ away
+                total[i] += w[held, rep] @ np.sqrt(away)
+        out = pd.DataFrame({"rep": reps, "total": total, "squares": squares})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out
 
-    spread = keyed(sharded, cell).cogroup(keyed(everywhere, cell)).applyInPandas(
-        spreads, f"rep int, total double, {ddl(sharded, keys)}").groupBy(*keys, "rep").agg(F.sum("total").alias("total"))
+    spread = settle(keyed(sharded, cell).cogroup(keyed(everywhere, cell)).applyInPandas(
+        spreads, f"rep int, total double, squares double, {ddl(sharded, keys)}").groupBy(*keys, "rep").agg(
+        F.sum("total").alias("total"), F.sum("squares").alias("squares")))
+    within = spread.groupBy(*by, "rep").agg(F.sum("squares").alias("within"))
+    counts = means.groupBy(*by, "rep").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    ch = within.join(_between(means, [*by, "rep"]), [*by, "rep"]).join(counts, [*by, "rep"]).select(*by, "rep", _dispersion_ratio(
+        F.col("b"), F.col("within"), F.col("n"), F.col("k")).alias("calinski_harabasz"))
     table = means.join(spread, [*keys, "rep"]).select(
         *keys, "rep", (F.col("total") / F.col("n")).alias("spread"), "centroid")
     return davies_bouldin_of(table, [*by, "rep"]).join(ch, [*by, "rep"])
 
 
+def mean_interval(rows: DataFrame, value: str, replicates: int, *, by: Sequence[str], id: str, seed=42) -> DataFrame:
+    """95 % interval and standard error of a mean; of an accuracy where `value` is 0 or 1."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, id, F.col(value).cast("double").alias("v"))
+    each = replicate_weights(known, replicates, by=by, id=id, seed=seed).select(*by, "v", F.posexplode("w").alias("rep", "w")).where("w > 0")
+    means = each.groupBy(*by, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("value"))
+    return means.groupBy(*by).agg(*_interval("value"))
+
+
 def _tall(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in
                       (("db", "davies_bouldin"), ("ch", "calinski_harabasz"))])

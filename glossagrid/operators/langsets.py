@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -14,20 +14,27 @@ Langs = Iterable[str] | DataFrame
 
 def published_groups(spark: SparkSession) -> DataFrame:
     """The stated source groups; add measured ones with `unionByName`."""
-    rows = [(g, lang, i) for g, text in SOURCE_GROUPS.items() for i, lang in enumerate(text.split())]
+    rows = [(g, lang, i) for g, langs in SOURCE_GROUPS.items() for i, lang in enumerate(langs)]
     return spark.createDataFrame(rows, "group string, lang string, ord int")
 
 
+def present(groups: DataFrame, name: str) -> DataFrame:
+    """Languages of a group that must exist: an absent or empty one would mark every language unseen."""
+    found = langs_of(groups, name)
+    if found.isEmpty():
+        raise DataProblem(f"group {name!r} has no languages; add it to the groups (see groups_from_dimension)")
+    return found
+
+
 def langs_of(groups: DataFrame, name: str) -> DataFrame:
     return groups.where(F.col("group") == name).select("lang").distinct()
 
 
 def seen_langs_of(groups: DataFrame, backbone: str) -> DataFrame:
-    """Languages a backbone saw in pretraining; an unknown backbone is an error."""
+    """Languages a backbone saw in pretraining; an unknown backbone or an absent group is an error."""
     if backbone not in SEEN_GROUP_OF_BACKBONE:
-        raise DataProblem(
-            f"no seen group for backbone {backbone!r}; known: {sorted(SEEN_GROUP_OF_BACKBONE)}")
-    return langs_of(groups, SEEN_GROUP_OF_BACKBONE[backbone])
+        raise DataProblem(f"backbone {backbone!r} has no group of seen languages, only {sorted(SEEN_GROUP_OF_BACKBONE)} have")
+    return present(groups, SEEN_GROUP_OF_BACKBONE[backbone])
 
 
 def low_langs_of(low_groups: DataFrame, backbone: str) -> DataFrame:
@@ -35,16 +42,20 @@ def low_langs_of(low_groups: DataFrame, backbone: str) -> DataFrame:
     return langs_of(low_groups, backbone)
 
 
-def groups_from_dimension(dimension: DataFrame) -> DataFrame:
-    """Groups a language dimension (code, class, xlmr, low_perf) implies."""
+def groups_from_dimension(dimension: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+    """Groups a language dimension (code, class, xlmr, low_perf) implies.
+
+    `names` renames them, for example {"seen": "xlmr_seen"} for the backbone they hold for.
+    """
+    names = names or {}
     tests = {
-        "class5": F.col("class") == 5,
-        "seen": F.col("xlmr") == 1,
-        "low_perf": F.col("low_perf") == 1,
+        names.get("class5", "class5"): F.col("class") == 5,
+        names.get("seen", "seen"): F.col("xlmr") == 1,
+        names.get("low_perf", "low_perf"): F.col("low_perf") == 1,
     }
-    names = F.array(*[F.when(ok, F.lit(name)) for name, ok in tests.items()])
+    implied = F.array(*[F.when(ok, F.lit(name)) for name, ok in tests.items()])
     rows = dimension.select(
-        F.explode(F.filter(names, lambda g: g.isNotNull())).alias("group"), F.col("code").alias("lang"))
+        F.explode(F.filter(implied, lambda g: g.isNotNull())).alias("group"), F.col("code").alias("lang"))
     # A group holds language codes, so its size is bounded by the dimension.
     order = W.partitionBy("group").orderBy("lang")
     return rows.select("group", "lang", (F.row_number().over(order) - 1).alias("ord"))

@@ -15,7 +15,8 @@ from .ranking import position
 def reframe_mcqa(records: DataFrame, keep: Sequence[str] = ("lang", "link", "question_number")) -> DataFrame:
     """Multiple-choice records to `text`, `answer_label` and the kept columns.
 
-    A record whose answer number is not 1 to 4 gets a null label (see `bad_labels`).
+    A record whose answer number is not 1 to 4 gets a null label, one with a null
+    field a null text (see `bad_prompts`).
     """
     answers = [F.col(f"mc_answer{i}") for i in range(1, 5)]
     return records.select(
@@ -27,6 +28,11 @@ def bad_labels(prompts: DataFrame) -> DataFrame:
     return prompts.where(F.col("answer_label").isNull())
 
 
+def bad_prompts(prompts: DataFrame) -> DataFrame:
+    """Prompts that lack a field of their text or a label, to be listed and left out."""
+    return prompts.where(F.col("text").isNull() | F.col("answer_label").isNull())
+
+
 def reframe_cloze(records: DataFrame, *, seed, item: str = "item", keep: Sequence[str] = ("lang",)) -> DataFrame:
     """Cloze records under two drawn letters; the same seed gives the same letters."""
     letters = X.drawn_letters(seed, F.col(item))

@@ -99,15 +99,11 @@ def position(
 ) -> DataFrame:
     """Add the 0-based position of each row by `order` inside its group.
 
-    `order` must end in a column that makes rows unique; large groups are then
-    spread over many range partitions. Only the group and order columns are laid
-    out and written; other columns join the positions by that unique key.
+    Large groups are spread over many range partitions. The rows themselves are laid
+    out, so each keeps one position also where keys repeat; which of equal keys
+    comes first is then open.
     """
-    key = [*group, *order]
-    placed = _placed(df.select(*key), order, group, descending, rank, partitions)
-    if set(df.columns) == set(key):
-        return placed
-    return match_keys(df, placed, key).select(*df.columns, rank)
+    return _placed(df, order, group, descending, rank, partitions)
 
 
 def _placed(keys: DataFrame, order, group, descending, rank, partitions) -> DataFrame:

@@ -53,24 +53,34 @@ def preview(rows: DataFrame, total: int, *, group: Sequence[str], order: Sequenc
 # ---- sums per cluster and dimension
 
 def _sums(rows: DataFrame, by: Sequence[str], cluster: str, vector: str) -> DataFrame:
-    """(by, cluster, dim): n, sum and sum of squares; combined on the map side."""
+    """(by, cluster, dim): n and sum; combined on the map side."""
     return rows.select(*by, cluster, F.posexplode(vector).alias("dim", "x")).groupBy(*by, cluster, "dim").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
 
 
 def _dispersion_ratio(between: Column, within: Column, n: Column, k: Column) -> Column:
-    return F.when(within <= 0, 1.0).otherwise((between / (k - 1)) / (within / (n - k)))
+    return F.when(within == 0, 1.0).otherwise(F.try_divide(F.try_divide(between, k - 1), F.try_divide(within, n - k)))
+
+
+def _between(means: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of n * |cluster mean - mean|^2 per group, from (by, n, centroid) rows."""
+    tall = means.select(*by, "n", F.posexplode("centroid").alias("_dim", "_m"))
+    middle = tall.groupBy(*by, "_dim").agg((F.sum(F.col("n") * F.col("_m")) / F.sum("n")).alias("_g"))
+    gap = F.col("_m") - F.col("_g")
+    return tall.join(middle, [*by, "_dim"]).groupBy(*by).agg(F.sum(F.col("n") * gap * gap).alias("b"))
 
 
 def calinski_harabasz(rows: DataFrame, *, by: Sequence[str], cluster: str, vector: str = "embedding") -> DataFrame:
-    """Between over within dispersion, each per degree of freedom; 1 if within is 0."""
-    sums = _sums(rows, by, cluster, vector)
-    per_dim = sums.groupBy(*by, "dim").agg(
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"), F.sum("q").alias("q"), F.sum("s").alias("s"),
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    totals = per_dim.groupBy(*by).agg(
-        F.sum(F.col("a") - F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("q") - F.col("a")).alias("w"),
-        F.max("n").alias("n_samples"), F.max("k").alias("n_clusters"))
+    """Between over within dispersion, each per degree of freedom; 1 if within is 0.
+
+    Both are sums of squared distances to means, so large coordinates do no harm.
+    """
+    by = list(by)
+    means = lookup_side(centroids(rows, by=by, cluster=cluster, vector=vector))
+    gap = distance(F.col(vector), F.col("centroid"))
+    within = rows.join(means, [*by, cluster]).select(*by, (gap * gap).alias("w")).groupBy(*by).agg(F.sum("w").alias("w"))
+    sizes = means.groupBy(*by).agg(F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("n_clusters"))
+    totals = within.join(_between(means, by), by).join(sizes, by)
     value = _dispersion_ratio(F.col("b"), F.col("w"), F.col("n_samples"), F.col("n_clusters"))
     return totals.select(*by, value.alias("calinski_harabasz"), "n_samples", "n_clusters")
 
@@ -123,11 +133,11 @@ def davies_bouldin_of(table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def davies_bouldin(rows: DataFrame, *, by: Sequence[str], cluster: str, vector: str = "embedding") -> DataFrame:
     """Davies-Bouldin index per group: centroids first, then spreads around them."""
-    means = lookup_side(
-        centroids(rows, by=by, cluster=cluster, vector=vector), row_bytes=F.size("centroid") * 8 + 128)
-    spreads = rows.join(means, [*by, cluster]).groupBy(*by, cluster).agg(
-        F.avg(distance(F.col(vector), F.col("centroid"))).alias("spread"), F.first("centroid").alias("centroid"))
-    return davies_bouldin_of(spreads, by)
+    keys = [*by, cluster]
+    means = lookup_side(centroids(rows, by=by, cluster=cluster, vector=vector))
+    away = rows.join(means, keys).select(*keys, distance(F.col(vector), F.col("centroid")).alias("away"))
+    spreads = away.groupBy(*keys).agg(F.avg("away").alias("spread"))
+    return davies_bouldin_of(spreads.join(means.select(*keys, "centroid"), keys), by)
 
 
 # ---- silhouette, Manhattan
@@ -142,7 +152,10 @@ def resample(rows: DataFrame, size: int, *, by: Sequence[str], ids: Sequence[str
 
     ranked = digest_rank(rows, ids, seed=seed, group=by, rank="_slot", total="_n")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("draw"))
+    # Numbers in two steps, so that no row holds an array of the whole sample.
+    step = 10_000
+    blocks = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(size - 1), F.lit(step))).alias("_at"))
+    draws = blocks.select(*by, "_n", F.explode(F.sequence("_at", F.least(F.col("_at") + step, F.lit(size)) - 1)).alias("draw"))
     draws = draws.withColumn("_slot", draw_int(seed, *by, "draw") % F.col("_n")).drop("_n")
     return draws.join(ranked.drop("_n"), [*by, "_slot"]).drop("_slot")
 
@@ -273,10 +286,10 @@ def method_diff(quality: DataFrame, *, by: Sequence[str], methods: Sequence[str]
 # ---- anchors and projection
 
 def group_medians(points: DataFrame, *, label: str, axes: Sequence[str], id: str, skip: Sequence[str] = ("Mixed",)) -> DataFrame:
-    """Exact median per label and axis; labels of any size are ranked in range partitions."""
+    """Exact median per label and axis over its known values; labels of any size are ranked in range partitions."""
     kept = points.where(~F.col(label).isin(list(skip)))
     axis = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("x")) for a in axes]))
-    tall = kept.select(label, id, axis.alias("p")).select(label, id, "p.axis", "p.x")
+    tall = kept.select(label, id, axis.alias("p")).select(label, id, "p.axis", "p.x").where("x IS NOT NULL AND NOT isnan(x)")
     placed = position(tall, ["x", id], group=[label, "axis"], rank="r")
     sizes = lookup_side(tall.groupBy(label, "axis").agg(F.count(F.lit(1)).alias("n")))
     middle = placed.join(sizes, [label, "axis"]).where(

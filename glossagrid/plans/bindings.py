@@ -325,10 +325,10 @@ def item_scores(spark, sf_dir) -> DataFrame:
 
 view("item_scores", """
   SELECT doc_id AS item, lang AS target_lang, ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS gold,
-         ('0x' || md5('score|' || doc_id || '|A')[1:8])::BIGINT % 16 AS score_a,
-         ('0x' || md5('score|' || doc_id || '|B')[1:8])::BIGINT % 16 AS score_b,
-         ('0x' || md5('score|' || doc_id || '|C')[1:8])::BIGINT % 16 AS score_c,
-         ('0x' || md5('score|' || doc_id || '|D')[1:8])::BIGINT % 16 AS score_d
+         ('0x' || md5('score|' || doc_id || '|A')[1:15])::BIGINT % 16 AS score_a,
+         ('0x' || md5('score|' || doc_id || '|B')[1:15])::BIGINT % 16 AS score_b,
+         ('0x' || md5('score|' || doc_id || '|C')[1:15])::BIGINT % 16 AS score_c,
+         ('0x' || md5('score|' || doc_id || '|D')[1:15])::BIGINT % 16 AS score_d
   FROM documents
 """)
 view("predicted", """

@@ -178,7 +178,7 @@ def vocab_by_script(spark, d):
 
 @query("token_embedding_lookup", """
 SELECT token, "group", token_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total
-FROM (SELECT *, ('0x' || md5('token|' || token)[1:8])::BIGINT % 600 AS token_id FROM vocab WHERE "group" <> 'Mixed')
+FROM (SELECT *, ('0x' || md5('token|' || token)[1:15])::BIGINT % 600 AS token_id FROM vocab WHERE "group" <> 'Mixed')
 JOIN embeddings ON vec_id = token_id""", "vocab")
 def token_embedding_lookup(spark, d):
     vocabulary = _vocabulary(spark, d).withColumn("token_id", draw_int("token", "token") % 600)

@@ -10,7 +10,7 @@ from .registry import query, view
 from .result_queries import rounded
 
 BY = ["layer", "method"]
-REPLICATES = 10
+REPLICATES = 1000
 
 
 def _rows(spark, d):
@@ -124,31 +124,22 @@ def method_diff(spark, d):
     return rounded(wide, *[f"{p}_{f}" for p in ("xpe", "spt", "diff") for f in _FIELDS])
 
 
-view("slots", """
-  SELECT layer, method, lang, embedding, row_number() OVER (PARTITION BY layer, method ORDER BY md5('42|' || vec_id)) - 1 AS slot,
-         count(*) OVER (PARTITION BY layer, method) AS n FROM emb
-""")
-view("drawn", f"""
-  SELECT t.rep, s.layer, s.method, s.lang, s.embedding
-  FROM (SELECT layer, method, rep, ('0x' || md5('42|' || layer || '|' || method || '|' || rep || '|' || slot)[1:8])::BIGINT % n AS slot
-        FROM slots, (SELECT unnest(range({REPLICATES})) AS rep)) t
-  JOIN slots s USING (layer, method, slot)
+view("weights", f"""
+  SELECT layer, method, lang, vec_id, embedding, rep, {" + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in S.POISSON)} AS w
+  FROM (SELECT *, ('0x' || md5('42|' || layer || '|' || method || '|' || rep || '|' || vec_id)[1:15])::BIGINT / 1152921504606846976.0::DOUBLE AS u
+        FROM emb, (SELECT unnest(range({REPLICATES})) AS rep))
 """)
+view("drawn", "SELECT * FROM weights WHERE w > 0")
 view("rmu", """
-  SELECT rep, layer, method, lang, dim, avg(x) AS m, count(*) AS n
-  FROM (SELECT rep, layer, method, lang, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM drawn) GROUP BY ALL
-""")
-view("rcoords", """
-  SELECT rep, layer, method, lang, row_number() OVER () AS draw, embedding FROM drawn
+  SELECT rep, layer, method, lang, dim, sum(w * x) / sum(w) AS m, sum(w) AS n
+  FROM (SELECT rep, layer, method, lang, w, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM drawn) GROUP BY ALL
 """)
-view("rtall", """
-  SELECT rep, layer, method, lang, draw, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM rcoords
+view("raway", """
+  SELECT d.rep, d.layer, d.method, d.lang, d.w, list_sum(list_transform(list_zip(d.embedding, c.center), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS sq
+  FROM drawn d JOIN (SELECT rep, layer, method, lang, list(m ORDER BY dim) AS center FROM rmu GROUP BY ALL) c USING (rep, layer, method, lang)
 """)
 view("rspread", """
-  SELECT rep, layer, method, lang, avg(dist) AS s
-  FROM (SELECT rep, layer, method, lang, draw, sqrt(sum((x - m) * (x - m))) AS dist
-        FROM rtall JOIN rmu USING (rep, layer, method, lang, dim) GROUP BY ALL)
-  GROUP BY ALL
+  SELECT rep, layer, method, lang, sum(w * sqrt(sq)) / sum(w) AS s, sum(w * sq) AS sq, sum(w) AS n FROM raway GROUP BY ALL
 """)
 view("rdb", """
   SELECT rep, layer, method, avg(worst) AS value
@@ -163,15 +154,14 @@ view("rdb", """
 """)
 view("rch", """
   SELECT rep, layer, method, (b / (k - 1)) / (w / (n - k)) AS value
-  FROM (SELECT rep, layer, method, sum((x - m) * (x - m)) AS w, sum((m - g) * (m - g)) AS b
-        FROM rtall JOIN rmu USING (rep, layer, method, lang, dim)
-        JOIN (SELECT rep, layer, method, dim, avg(x) AS g FROM rtall GROUP BY ALL) USING (rep, layer, method, dim) GROUP BY ALL)
-  JOIN (SELECT rep, layer, method, count(*) AS n, count(DISTINCT lang) AS k FROM drawn GROUP BY ALL) USING (rep, layer, method)
+  FROM (SELECT rep, layer, method, sum(n * (m - g) * (m - g)) AS b
+        FROM rmu JOIN (SELECT rep, layer, method, dim, sum(n * m) / sum(n) AS g FROM rmu GROUP BY ALL) USING (rep, layer, method, dim) GROUP BY ALL)
+  JOIN (SELECT rep, layer, method, sum(sq) AS w, sum(n) AS n, count(*) AS k FROM rspread GROUP BY ALL) USING (rep, layer, method)
 """)
 view("reps", """
   SELECT rep, layer, method, 'db' AS metric, value FROM rdb UNION ALL SELECT rep, layer, method, 'ch', value FROM rch
 """)
-REPLICATE_VIEWS = "emb slots drawn rmu rcoords rtall rspread rdb rch reps"
+REPLICATE_VIEWS = "emb weights drawn rmu raway rspread rdb rch reps"
 
 
 @query("bootstrap_ci", """

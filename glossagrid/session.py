@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F, types as T
 
 # Measured size up to which a lookup side may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -58,13 +58,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_side(df: DataFrame, row_bytes: Column | int = 128, limit: int = BROADCAST_BYTES) -> DataFrame:
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory: texts and arrays by their true lengths."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda a, x: a + _bytes(x, kind.elementType).cast("bigint")), F.lit(0)) + 24
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def lookup_side(df: DataFrame, row_bytes: Column | int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A join side computed once and broadcast only if its measured size allows it.
 
-    `row_bytes` estimates the size of a row. Beyond the limit the plain join is
-    left to Spark, which shuffles both sides and splits skewed keys.
+    The size is summed over the values of all rows, unless `row_bytes` states that of
+    a row. Beyond the limit the plain join is left to Spark, which shuffles both
+    sides and splits skewed keys.
     """
     settled = settle(df)
+    if row_bytes is None:
+        row_bytes = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in settled.schema.fields), F.lit(32))
     row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
     size = settled.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(settled) if size <= limit else settled

@@ -19,9 +19,8 @@ CELL = ("method", "seed", "fold", "target_lang")
 
 def latest_cells(rows: DataFrame, order: Sequence[str] = ("time_id", "path")) -> DataFrame:
     """The last reported accuracy and item count of each cell (batch or stream)."""
-    newest = F.max_by(F.struct("accuracy", "n", "llm"), F.struct(*order))
-    return rows.groupBy(*CELL).agg(newest.alias("_r"), F.max(F.struct(*order))[order[0]].alias("time_id")).select(
-        *CELL, "_r.*", "time_id")
+    newest = F.max_by(F.struct("accuracy", "n", "llm", *order), F.struct(*order))
+    return rows.groupBy(*CELL).agg(newest.alias("_r")).select(*CELL, "_r.*")
 
 
 def watch_results(spark: SparkSession, landing: str, schema: T.StructType, *, files_per_batch: int = 1000) -> DataFrame:
@@ -41,11 +40,16 @@ def start_rollup(rows: DataFrame, changes: str, checkpoint: str, **trigger):
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def current_cells(spark: SparkSession, changes: str) -> DataFrame:
-    """The newest stored change of each cell."""
+def current_cells(spark: SparkSession, changes: str, order: Sequence[str] = ("time_id", "path")) -> DataFrame:
+    """The change of the latest run of each cell, whenever it was stored.
+
+    Batch numbers only break ties: a late file of an older run, or a log started
+    anew from `compact`, does not replace a newer run.
+    """
     stored = spark.read.parquet(changes)
     fields = [c for c in stored.columns if c not in (*CELL, "batch")]
-    return stored.groupBy(*CELL).agg(F.max_by(F.struct(*fields), F.col("batch")).alias("_r")).select(*CELL, "_r.*")
+    newest = F.max_by(F.struct(*fields), F.struct(*order, "batch"))
+    return stored.groupBy(*CELL).agg(newest.alias("_r")).select(*CELL, "_r.*")
 
 
 def compact(spark: SparkSession, changes: str, target: str) -> None:

@@ -95,11 +95,12 @@ def test_degenerate_clusters(spark):
 def test_replicates_equal_metrics_of_the_drawn_rows(spark, shard):
     x, c = data(hot=True)
     rows = frame(spark, x, c)
-    drawn = S.draw_rows(rows, 6, by=["g"], id="id").toPandas()
-    assert sum(len(r) for r in drawn["reps"]) == 6 * len(x)
+    drawn = S.replicate_weights(rows, 6, by=["g"], id="id").toPandas().sort_values("id")
+    w = np.stack(drawn["w"].to_numpy())
+    assert abs(w.mean() - 1) < 0.1 and w.max() >= 3
     got = S.replicate_metrics(rows, 6, by=["g"], cluster="lang", id="id", rows_per_shard=shard).toPandas().set_index("rep")
     for rep in range(6):
-        at = np.concatenate([[i] * list(r).count(rep) for i, r in zip(drawn["id"], drawn["reps"])]).astype(int)
+        at = np.repeat(drawn["id"].to_numpy(), w[:, rep])
         assert got.loc[rep, "davies_bouldin"] == pytest.approx(db(x[at], c[at]))
         assert got.loc[rep, "calinski_harabasz"] == pytest.approx(ch(x[at], c[at]))
 
@@ -117,6 +118,37 @@ def test_interval_and_test_from_replicates(spark):
     assert turned["diff"] == -1.0 and turned["p"] == pytest.approx((1 + 1) / (3 + 1))
 
 
+def test_dispersion_of_large_coordinates(spark):
+    rng = np.random.default_rng(9)
+    c = np.repeat([0, 1], 200)
+    x = 1e5 + 1e-3 * (rng.normal(size=(400, 3)) + 0.8 * c[:, None])
+    rows = frame(spark, x, c)
+    got = V.calinski_harabasz(rows, by=["g"], cluster="lang").first()["calinski_harabasz"]
+    assert got == pytest.approx(ch(x - 1e5, c), rel=1e-6) and got > 10
+    rep = S.replicate_metrics(rows, 3, by=["g"], cluster="lang", id="id").toPandas()
+    assert (rep["calinski_harabasz"] > 10).all()
+
+
+def test_mean_interval_covers_the_mean(spark):
+    rows = spark.range(500).select("id", F.lit("g").alias("g"), (F.col("id") % 4 == 0).cast("int").alias("hit"))
+    r = S.mean_interval(rows, "hit", 200, by=["g"], id="id").first()
+    assert r["ci_l"] < 0.25 < r["ci_u"] and r["se"] == pytest.approx(np.sqrt(0.25 * 0.75 / 500), rel=0.2)
+
+
+def test_medians_skip_unknown_values(spark):
+    rows = [(i, "a", float(i) if i else None, float("nan") if i > 5 else 1.0) for i in range(6)] + [(10 + i, "a", None, None) for i in range(4)]
+    got = V.group_medians(spark.createDataFrame(rows, "id int, label string, x double, y double"), label="label", axes=["x", "y"], id="id").first()
+    assert (got["median_x"], got["median_y"]) == (3.0, 1.0)
+
+
+def test_repeated_keys_keep_their_rows(spark):
+    from glossagrid.operators.ranking import position
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 1, "x")], "g string, k int, v string")
+    got = position(rows, ["k"], group=["g"]).collect()
+    assert sorted((r["g"], r["rank"]) for r in got) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)] and sorted(r["v"] for r in got) == ["x", "x", "y", "z"]
+
+
 def test_medians_of_a_hot_group(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"id": range(501), "label": ["hot"] * 300 + ["b"] * 100 + ["Mixed"] * 101,
