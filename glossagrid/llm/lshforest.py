@@ -2,10 +2,10 @@
 
 Every set of word shingles gets 128 minima. Each of 16 trees orders the sets by its
 own sequence of 8 minima; in that order, sets with long common prefixes stand
-together. Candidates are the neighbours in the order (up to `NEAR` before) that share
-the least depth, and the first set of each run of equal prefixes at every depth
-from there to 8. A sparse region is thus compared whole, a crowded one only at
-the depth that separates it, without all pairs. The least depth is the largest that
+together. A run of sets that share the least depth is compared whole up to `NEAR` sets.
+Beyond, a set meets only the neighbours just before it, which share the longest
+prefix with it, and the first set of its run at three depths. So a sparse region is
+compared whole, a crowded one at the depth that separates it, without all pairs. The least depth is the largest that
 some tree shows for all but about 1 in 100,000 links of the asked similarity
 (4 for 0.85, 3 for 0.8); the components join what further neighbours link.
 
@@ -38,6 +38,7 @@ TREES = 16
 DEPTH = 8
 MISSED = 1.1e-5
 NEAR = 16
+CLOSE = 2
 BITS_AGREE = 96  # of 128 lowest bits: a link of similarity 0.85 has 118 +- 3.
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -156,18 +157,20 @@ class Walk:
             for d in range(self.least, DEPTH + 1):
                 same[1:, d] = equal[:, 4 * d]
         rows, others = [], []
+        place = np.arange(len(words))
+        early = place - np.maximum.accumulate(np.where(same[:, self.least], 0, place)) < NEAR
         run = same[:, self.least].copy()  # row i shares the prefix with each of the `back` rows before it
         for back in range(1, NEAR + 1):
             if back > 1:
                 run[back - 1:] &= same[:len(words) - back + 1, self.least]
-            at = np.flatnonzero(run)
+            at = np.flatnonzero(run & early if back > CLOSE else run)
             at = at[at >= first]
             if not len(at):
                 break
             rows.append(at)
             others.append(at - back)
         found = [self._pairs(joined, np.concatenate(rows), tuple(c[np.concatenate(others)] for c in joined[1:]))] if rows else []
-        for d in range(self.least, DEPTH + 1):
+        for d in sorted({self.least, (self.least + DEPTH) // 2, DEPTH}):
             starts = np.where(same[:, d], 0, np.arange(len(words)))
             starts = np.maximum.accumulate(starts)
             at = np.arange(first, len(words))
