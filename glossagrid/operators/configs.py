@@ -24,14 +24,28 @@ def _unquoted(value: Column) -> Column:
     return F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])
 
 
-def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "doc", depth: int = 8) -> DataFrame:
+def nesting(document: Column) -> Column:
+    """How many maps lie within one another in JSON text (maps in lists count too)."""
+    bare = F.regexp_replace(document, r'"(?:[^"\\]++|\\.)*+"', "")
+    steps = F.transform(F.split(F.regexp_replace(bare, r"[^{}]", ""), ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    return F.aggregate(steps, start, lambda s, x: F.struct(
+        (s["now"] + x).alias("now"), F.greatest(s["top"], s["now"] + x).alias("top")), lambda s: s["top"])
+
+
+def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "doc", depth: int | None = None,
+                      sections: Sequence[str] | None = None) -> DataFrame:
     """(ids, key, value) rows of nested JSON documents; keys are dotted paths.
 
-    Lists and empty maps are values. Maps nested deeper than `depth` fail the job.
+    Lists and empty maps are values. The depth is that of the deepest document,
+    unless given; maps nested deeper than a given one fail the job. With `sections`
+    other top-level keys are left out before they are opened.
     """
     spark = docs.sparkSession
+    if depth is None:
+        depth = docs.agg(F.max(nesting(F.col(document)))).first()[0] or 1
     rows = docs.select(*ids, F.lit("").alias("key"), F.parse_json(document).alias("v"), F.lit(True).alias("_map"))
-    for _ in range(depth):
+    for level in range(depth):
         kind = F.schema_of_variant("v")
         # A map opens into its entries; anything else stays as one row and is not looked at again.
         rows = rows.withColumn("_map", F.when(
@@ -43,6 +57,8 @@ def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "d
         rows = rows.select(
             *ids, F.when(F.col("_map"), path).otherwise(F.col("key")).alias("key"),
             F.when(F.col("_map"), F.col("_v")).otherwise(F.col("v")).alias("v"), "_map")
+        if level == 0 and sections is not None:
+            rows = rows.where(F.col("key").isin(list(sections)))
     rows = rows.select(*ids, "key", F.to_json("v").alias("value"), F.schema_of_variant("v").alias("_kind"))
     too_deep = F.col("_kind").startswith("OBJECT<") & (F.col("value") != "{}")
     # A decimal without fraction keeps its point, so 0.0 and 0 stay apart.
@@ -167,8 +183,11 @@ def expand_matrix(matrix: DataFrame, dispatched: DataFrame, *, fold: str = "fold
 def axes_product(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
     """All combinations of the values seen on each axis (each a short list)."""
     sets = rows.agg(*[F.collect_set(a).alias(a) for a in axes])
-    for a in axes:
+    for i, a in enumerate(axes):
         sets = sets.withColumn(a, F.explode(a))
+        if i < len(axes) - 1:
+            # One row so far: the product is opened on all cores.
+            sets = sets.repartition(rows.sparkSession.sparkContext.defaultParallelism, *axes[:i + 1])
     return sets
 
 

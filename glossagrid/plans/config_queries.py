@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import CONFIG_SECTIONS
 from ..operators import configs as C, quality as Q
 from ..session import scratch_path, settle, spread
 from ..streaming import rollup as S
@@ -34,7 +35,7 @@ def _documents(spark, d):
 
 
 def _view(docs, ids):
-    return C.config_view(C.flatten_documents(docs, ids=ids, depth=5), ids=ids)
+    return C.config_view(C.flatten_documents(docs, ids=ids, sections=CONFIG_SECTIONS), ids=ids)
 
 
 view("ev", """

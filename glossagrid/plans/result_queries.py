@@ -123,7 +123,7 @@ FROM (
 def lang_table(spark, d):
     wide = T.lang_table(
         B.result_rows(spark, d), seen=B.seen_langs(spark, d), low=B.low_langs(spark, d),
-        zero_shot=B.zero_shot_rows(spark, d), methods=METHODS, strict=False)
+        zero_shot=B.zero_shot_rows(spark, d))
     return rounded(wide, *[c for c in wide.columns if c.endswith(("_acc", "_std"))])
 
 
@@ -160,7 +160,7 @@ def restrict_langs(spark, d):
 SELECT method, seed, fold, target_lang, round(accuracy, 6) AS accuracy, n FROM result_rows WHERE seed IN (2, 4, 6)""",
        "result_rows")
 def restrict_seeds(spark, d):
-    return rounded(T.restrict_seeds(B.result_rows(spark, d), [2, 4, 6], strict=False).drop("llm"), "accuracy")
+    return rounded(T.restrict_seeds(B.result_rows(spark, d), [2, 4, 6]).drop("llm"), "accuracy")
 
 
 @query("exclude_sources", """
@@ -181,7 +181,7 @@ def known_languages(spark, d):
         "code", F.when(F.col("n_nationkey") % 5 == 0, F.concat("n_name", F.lit(".zip"))).otherwise(F.col("n_name")))
     rows = B.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.col("code").alias("lang"))
-    return L.known_languages(rows, B.dimension(spark, d), strict=False).select("c_custkey", "lang")
+    return L.known_languages(rows, B.dimension(spark, d)).select("c_custkey", "lang")
 
 
 @query("group_set_algebra", """
@@ -217,7 +217,7 @@ view("searched", """
 @query("dedup_reruns", """
 SELECT method, seed, fold, lr, path, round(best_val_acc, 6) AS best_val_acc FROM last_runs""", "valid_rows last_runs")
 def dedup_reruns(spark, d):
-    kept = T.dedup_reruns(B.valid_rows(spark, d), ["method", "lr", "fold", "seed"], swept="lr", strict=False)
+    kept = T.dedup_reruns(B.valid_rows(spark, d), ["method", "lr", "fold", "seed"], swept="lr")
     return rounded(kept, "best_val_acc")
 
 
@@ -225,7 +225,7 @@ def dedup_reruns(spark, d):
 SELECT method, lr, fold, n_seeds, round(mean_val_acc, 6) AS mean_val_acc, round(seed_std, 6) AS seed_std FROM searched""",
        "valid_rows last_runs searched")
 def lr_search_table(spark, d):
-    return rounded(T.search_table(B.valid_rows(spark, d), "lr", folded=True, strict=False), "mean_val_acc", "seed_std")
+    return rounded(T.search_table(B.valid_rows(spark, d), "lr"), "mean_val_acc", "seed_std")
 
 
 @query("best_by_group", """
@@ -234,7 +234,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY method, fold ORDER BY mean_val_a
       FROM (SELECT method, fold, lr, n_seeds, round(mean_val_acc, 6) AS mean_val_acc, seed_std FROM searched)) WHERE k = 1""",
        "valid_rows last_runs searched")
 def best_by_group(spark, d):
-    found = rounded(T.search_table(B.valid_rows(spark, d), "lr", folded=True, strict=False), "mean_val_acc")
+    found = rounded(T.search_table(B.valid_rows(spark, d), "lr"), "mean_val_acc")
     return rounded(T.best_by_group(found, "lr"), "seed_std")
 
 
@@ -303,9 +303,9 @@ GROUP BY target_lang""", "result_rows")
 def align_runs(spark, d):
     pooled = T.pool_folds(B.result_rows(spark, d).withColumn("seed", F.col("fold")))
     rows = pooled.select(
-        F.concat(F.lit("run"), "method").alias("run_name"), F.concat(F.lit("2026010"), "seed").alias("path"),
+        F.concat(F.lit("run"), "method").alias("run_name"), F.concat(F.lit("2026010"), "seed", "method").alias("path"),
         "target_lang", F.round("acc", 6).alias("accuracy"))
-    return T.align_runs(rows, columns=list(_RUN_COLUMNS), strict=False)
+    return T.align_runs(rows)
 
 
 @query("check_unique", """
@@ -331,7 +331,7 @@ WHERE n_seeds < (SELECT max(n_seeds) FROM thin)""", "valid_rows thin")
 def incomplete_seeds(spark, d):
     # Runs of seed 7 with a low score count as crashed, so their cells lack a seed.
     rows = B.valid_rows(spark, d).where(~((F.col("seed") == 7) & (F.col("best_val_acc") < 0.5)))
-    return Q.incomplete_seeds(T.search_table(rows, "lr", folded=True, strict=False), ["method", "lr", "fold"])
+    return Q.incomplete_seeds(T.search_table(rows, "lr"), ["method", "lr", "fold"])
 
 
 @query("incomplete_items", """

@@ -49,11 +49,24 @@ def write_verified(rows: DataFrame, path: str, parts: Sequence[str] = PARTS, str
 
 
 def discover_partitions(spark: SparkSession, path: str, parts: Sequence[str] = PARTS) -> DataFrame:
-    """Partition values that exist under a root; only directory names are read."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        raise DataProblem(f"dataset root does not exist: {path}")
-    return spark.read.parquet(path).select(*[F.col(p).cast("string").alias(p) for p in parts]).distinct()
+    """Partition values that exist under a root, read from folder names alone; empty folders count."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        raise DataProblem(f"no dataset folder at {path}")
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = [(root, ())]
+    # One listing per folder; a dataset has few of them beside its rows.
+    for part in parts:
+        below = []
+        for folder, values in found:
+            for status in store.listStatus(folder):
+                name, _, value = status.getPath().getName().partition("=")
+                if status.isDirectory() and name == part:
+                    value = unescape(value)
+                    below.append((status.getPath(), (*values, None if value == "__HIVE_DEFAULT_PARTITION__" else value)))
+        found = below
+    return spark.createDataFrame(sorted({v for _, v in found}, key=str), ", ".join(f"`{p}` string" for p in parts))
 
 
 def languages_with(partitions: DataFrame, *, exclude: Sequence[str] = (), **values) -> DataFrame:
@@ -100,19 +113,3 @@ def manifest(rows: DataFrame, *, header: Mapping[str, str] = {}, lang: str = "la
     listed = per_split.groupBy(F.col(lang).alias("config_name")).agg(
         F.to_json(F.array_sort(F.collect_list(entry))).alias("data_files"))
     return listed.withColumns({k: F.lit(v) for k, v in header.items()})
-
-
-def front_matter(table: DataFrame, *, license_id: str, languages: Sequence[str], tags: Sequence[str], name: str,
-                 tasks: Sequence[str] = ("multiple-choice", "text-generation")) -> str:
-    """The manifest as YAML front matter of a dataset card (one entry per language)."""
-    def listing(key, values):
-        return [f"{key}:", *[f"- {v}" for v in values]]
-
-    lines = ["---", f"license: {license_id}", *listing("language", languages), *listing("task_categories", tasks),
-             *listing("tags", tags), f"pretty_name: {name}", "configs:"]
-    files = F.from_json("data_files", "array<struct<split: string, path: string>>")
-    for row in table.select("config_name", files.alias("files")).orderBy("config_name").toLocalIterator():
-        lines += [f"- config_name: {row['config_name']}", "  data_files:"]
-        for f in row["files"]:
-            lines += [f"  - split: {f['split']}", f"    path: {f['path']}"]
-    return "\n".join([*lines, "---", ""])

@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..constants import LEGACY_RENAMES, RESULT_FILES, RESULT_RENAMES, VALIDATION_FILES
 from ..functions.checks import DataProblem, need_columns, null_if_nan
 from ..functions.names import grid_of, method_of_run, source_of, table_folder, table_path
-from ..session import lookup_side
+from ..session import lookup_side, settle
 
 REQUIRED = ("method", "seed", "target_lang", "accuracy", "n")
 ZERO_SHOT_REQUIRED = ("target_lang", "accuracy", "n")
 MEASURES = {"seed": "int", "fold": "int", "accuracy": "double", "n": "bigint", "best_val_acc": "double"}
-# A run layout is a header line; more distinct ones than this means wrong files.
-MAX_LAYOUTS = 500
 
 
 def _decoded(path: Column) -> Column:
@@ -24,48 +22,40 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    # Many small files: files are packed into tasks by size, and large ones split.
-    return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"),
-                F.col("_metadata.file_block_start").alias("block"))
-        .withColumn("line", F.monotonically_increasing_id())
-    )
-
-
 def read_by_header(spark: SparkSession, path: str, patterns: Sequence[str] = RESULT_FILES) -> DataFrame:
     """All rows of the matching files as text columns, plus path, block and line.
 
-    Spark binds CSV columns by position, so each distinct header gets its own
-    schema and the columns are then joined by name. (path, block, line) is the
-    order of rows: later path, later row. Quoted line breaks are not supported.
+    Spark binds CSV columns by position, so records are read once into numbered
+    cells and each file's first record then names them; there is no limit on the number of
+    layouts. Quoted line breaks belong to their cell: a file is one run and is
+    read by one task. (path, block, line) is the order of rows: later path, later row.
     """
     # Hadoop globs accept alternatives in braces.
     pattern = patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
-    lines = _lines(spark, path, pattern)
-    headers = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    headers = lookup_side(headers)
-    layouts = [r[0] for r in headers.select("header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if not layouts:
-        raise DataProblem(f"no {' / '.join(patterns)} found under {path}")
-    if len(layouts) > MAX_LAYOUTS:
-        raise DataProblem(f"more than {MAX_LAYOUTS} distinct headers under {path}")
-    rows = lines.join(headers, "path").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
-
-    def names(header: str) -> list[str]:
-        return [c.strip().strip('"') for c in header.split(",")]
-
-    # One column per name over all layouts; a name a layout lacks is null there.
-    everything = list(dict.fromkeys(n for h in layouts for n in names(h)))
-    parsed = {h: F.from_csv("value", ", ".join(f"`{n}` string" for n in names(h))) for h in layouts}
-    unified: Column | None = None
-    for h in layouts:
-        own = set(names(h))
-        fields = [(parsed[h][n] if n in own else F.lit(None).cast("string")).alias(n) for n in everything]
-        whole = F.struct(*fields)
-        unified = F.when(F.col("header") == h, whole) if unified is None else unified.when(F.col("header") == h, whole)
-    return rows.select("path", "block", "line", unified.alias("_r")).select("_r.*", "path", "block", "line")
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    first = spark.read.options(**options).text(path).where(F.col("_metadata.file_block_start") == 0).select(
+        "value", _decoded(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("line"))
+    first = first.groupBy("path").agg(F.min_by("value", "line").alias("value"))
+    named = settle(first.select("path", F.transform(F.split("value", ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")).alias("header")))
+    widest = named.agg(F.max(F.size("header"))).first()[0]
+    if widest is None:
+        raise DataProblem(f"nothing named {' / '.join(patterns)} lies under {path}")
+    # One column per name over all files; a name a file lacks is null there.
+    everything = [r[0] for r in named.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(
+        F.min("at").alias("at")).orderBy("at", "name").select("name").collect()]
+
+    schema = ", ".join(f"c{i} string" for i in range(widest))
+    cells = spark.read.options(**options).option("multiLine", "true").schema(schema).csv(path).select(
+        F.array(*[f"c{i}" for i in range(widest)]).alias("cells"), _decoded(F.col("_metadata.file_path")).alias("path"),
+        F.lit(0).cast("bigint").alias("block")).withColumn("line", F.monotonically_increasing_id())
+    rows = cells.join(lookup_side(named), "path")
+    own = F.slice("cells", F.lit(1), F.size("header"))
+    is_header = F.transform(own, lambda c: F.trim(F.coalesce(c, F.lit("")))) == F.col("header")
+    rows = rows.where(~is_header & F.exists("cells", lambda c: c.isNotNull()))
+    bound = F.map_from_arrays(F.array_distinct("header"), F.transform(
+        F.array_distinct("header"), lambda n: F.get(F.col("cells"), F.array_position(F.col("header"), n).cast("int") - 1)))
+    held = rows.select(bound.alias("_r"), "path", "block", "line")
+    return held.select(*[F.try_element_at("_r", F.lit(n)).alias(n) for n in everything], "path", "block", "line")
 
 
 def normalize(rows: DataFrame, backbone: str | None = None, required: Sequence[str] = REQUIRED,
@@ -73,7 +63,8 @@ def normalize(rows: DataFrame, backbone: str | None = None, required: Sequence[s
     """Column names, types and missing values of result rows made uniform.
 
     Legacy rows name their source group differently and carry the method only in
-    the run name. Rows without a backbone take `backbone`; without one they fail.
+    the run name. Where no file carries a backbone all rows take `backbone`, and
+    without one the call fails; rows of files that lack what others carry keep null.
     """
     if "src_tag" in rows.columns:
         new = LEGACY_RENAMES["src_tag"]

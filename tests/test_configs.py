@@ -108,3 +108,19 @@ def test_stream_keeps_the_latest_and_resumes(spark, tmp_path):
     assert sorted(map(tuple, batch.select(cols).collect())) == sorted(map(tuple, S.current_cells(spark, changes).select(cols).collect()))
     S.compact(spark, changes, str(tmp_path / "compact"))
     assert S.current_cells(spark, str(tmp_path / "compact")).count() == 3
+    # The log goes on from the compacted table; a late file of an older run does not win.
+    changes = str(tmp_path / "compact")
+    stale = S.latest_cells(spark.createDataFrame([("xpe", 1, 0, "a", 0.2, 100, "aya", "20260101_120000")], RES).withColumn("path", F.lit("q")))
+    stale.withColumn("batch", F.lit(5)).write.mode("append").partitionBy("batch").parquet(changes)
+    assert {(r["fold"], r["accuracy"]) for r in S.current_cells(spark, changes).collect()} == {(0, 0.8), (1, 0.5), (2, 0.5)}
+
+
+def test_documents_of_any_depth(spark):
+    doc = {"x": 1}
+    for i in range(12):
+        doc = {f"k{i}": doc}
+    text = json.dumps({"ds": doc, "other": {"y": "{{"}})
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "{}")], "run int, doc string")
+    rows = C.flatten_documents(docs, ids=["run"], sections=["ds"]).collect()
+    path = "ds." + ".".join(f"k{i}" for i in reversed(range(12))) + ".x"
+    assert [(r["run"], r["key"], r["value"]) for r in rows if r["run"] == 1] == [(1, path, "1")]

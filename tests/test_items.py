@@ -162,3 +162,14 @@ def test_strip_matches_python_on_every_blank(spark):
     blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     df = spark.createDataFrame([(b + "x" + b,) for b in blanks], "t string")
     assert {r[0] for r in df.select(X.strip(F.col("t"))).collect()} == {"x"}
+
+
+def test_null_fields_are_reported_and_not_dropped(spark):
+    rows = spark.createDataFrame(
+        [("de", "l", 1, "p", "q", "1", "2", "3", "4", "1"), ("de", "l", 2, None, "q", "1", None, "3", "4", "1"),
+         ("de", "l", 3, "p", "q", "1", "2", "3", "4", "9")],
+        "lang string, link string, question_number int, flores_passage string, question string, mc_answer1 string, "
+        "mc_answer2 string, mc_answer3 string, mc_answer4 string, correct_answer_num string")
+    out = prompts.reframe_mcqa(rows)
+    assert [r["text"] is None for r in out.orderBy("question_number").collect()] == [False, True, False]
+    assert [r["question_number"] for r in prompts.bad_prompts(out).orderBy("question_number").collect()] == [2, 3]

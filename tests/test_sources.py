@@ -31,7 +31,7 @@ def test_results_bind_by_name_over_differing_headers(spark, tmp_path):
 
 
 def test_missing_files_columns_and_backbone(spark, tmp_path):
-    with pytest.raises(DataProblem, match="no separate_test"):
+    with pytest.raises(DataProblem, match="nothing named separate_test"):
         R.collect_results(spark, str(tmp_path))
     _write(tmp_path / "r" / "test.csv", "method,metric_group,accuracy,n\nxpe,deu,0.5,3\n")
     with pytest.raises(DataProblem, match="llm"):
@@ -115,11 +115,29 @@ def test_prepare_and_manifest(spark, tmp_path):
     assert {r[0] for r in out.select("split").distinct().collect()} == {"validation"}
     with pytest.raises(DataProblem):
         D.prepare_dataset(spark, root, "de", {"dev": "validation"})
-    card = D.front_matter(D.manifest(_dataset(spark)), license_id="cc", languages=["de"], tags=["t"], name="N")
-    lines = card.split("\n")
-    assert lines[0] == "---" and lines[-2] == "---"
-    at = lines.index("- config_name: en")
-    assert lines[at + 1:at + 6] == ["  data_files:", "  - split: test", "    path: en/test-*", "  - split: train", "    path: en/train-*"]
+    listed = {r["config_name"]: r["data_files"] for r in D.manifest(_dataset(spark)).collect()}
+    assert '"path":"en/test-*"' in listed["en"] and '"path":"en/train-*"' in listed["en"]
+
+
+def test_many_layouts_and_quoted_line_breaks(spark, tmp_path):
+    for i in range(501):
+        folder = tmp_path / "runs" / f"r{i:03d}"
+        folder.mkdir(parents=True)
+        (folder / "test.csv").write_text(f'target_lang,"extra{i}",accuracy\n"two\nlines",x{i},0.5\nplain,,0.25\n')
+    rows = R.read_by_header(spark, str(tmp_path / "runs"))
+    got = rows.where("path like '%/r077/%'").orderBy("line").select("target_lang", "extra77", "accuracy", "extra76").collect()
+    assert [tuple(r) for r in got] == [("two\nlines", "x77", "0.5", None), ("plain", None, "0.25", None)]
+    assert rows.count() == 1002
+
+
+def test_empty_folders_are_discovered(spark, tmp_path):
+    root = str(tmp_path / "data")
+    D.write_partitioned(_dataset(spark), root)
+    (tmp_path / "data" / "lang=xx" / "fold=0" / "split=train").mkdir(parents=True)
+    found = D.discover_partitions(spark, root)
+    assert found.where("lang = 'xx'").count() == 1
+    plan = found._jdf.queryExecution().toString()
+    assert "FileScan" not in plan
 
 
 def test_metrics_map_discovers_metrics_and_saves(spark, tmp_path):
