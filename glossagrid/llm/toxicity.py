@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index, weighted votes.
 
-The vocabulary is the terms that differ most between the labels (chi-squared) among a
-bounded sample of labelled rows; document frequencies are counted over all
+The vocabulary is the terms that differ most between the labels (chi-squared and a rate
+at least doubled or halved) among a bounded sample of labelled rows; document frequencies are counted over all
 documents. The sample's vectors form an inverted index in blocks of examples: per
-term and block, the largest weight. A text visits blocks in the order of their upper
-bounds and stops when the k-th best cosine is no less than the next bound, so the k
-nearest examples are exact. Their votes, weighted by a power of the cosine and smoothed
+term and block, the largest weight. A text visits the blocks of the highest upper
+bounds, then only those whose bound reaches its k-th best cosine, so the k nearest
+examples are exact. Their votes, weighted by a power of the cosine and smoothed
 by the base rate, become a probability by a logistic curve fitted on the
 examples themselves, each without its own vote. The neighbours are the evidence.
 
@@ -30,8 +30,10 @@ EXAMPLES = 20_000  # bound of the labelled sample
 TERMS = 4096
 LEAST_DOCS = 5
 CHI_SQUARED = 20.0
+LIFT = 2.0
 NEAREST = 15
 BLOCK = 64
+FIRST_BLOCKS = 8
 POWER = 2
 SMOOTH = 0.5
 
@@ -50,7 +52,10 @@ def vocabulary(examples: DataFrame) -> list[str]:
     rate = ones / total
     expected = F.col("n") * rate
     chi = (F.col("a") - expected) ** 2 / (expected * (1 - rate) * (1 - F.col("n") / (total + 1)))
-    return [r.term for r in seen.where(chi >= CHI_SQUARED).orderBy(chi.desc(), "term").limit(TERMS).collect()]
+    # Common words pass any test in a large sample; a term must also shift the rate.
+    share = F.col("a") / F.col("n")
+    telling = (chi >= CHI_SQUARED) & ((share >= LIFT * rate) | (share <= rate / LIFT))
+    return [r.term for r in seen.where(telling).orderBy(chi.desc(), "term").limit(TERMS).collect()]
 
 
 def vectors(terms: list[str]):
@@ -93,30 +98,45 @@ class BlockMax:
         w = (1 + np.log(np.asarray(counts, np.float32))) * self.idf[np.asarray(terms, np.int64)]
         return (w / np.sqrt((w * w).sum())).astype(np.float32)
 
+    def _cosines(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks that share a term with the query, and their cosines."""
+        at = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        begin, end = self.begin[at], self.begin[at + 1]
+        length = end - begin
+        if not length.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        part = np.repeat(np.repeat(query, len(blocks)), length) * self.weight[place]
+        total = np.bincount(self.example[place], part, len(self.ids))
+        held = np.flatnonzero(total)
+        return held, total[held]
+
     def nearest(self, terms, counts, k: int = NEAREST, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine; ties go to the earlier example."""
+        """(examples, cosines) of the k nearest with a positive cosine; ties go to the earlier example.
+
+        The blocks of the highest bounds come first; then only those whose bound
+        reaches the k-th best cosine so far can hold a nearer example.
+        """
         if not len(terms) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        query = self.weigh(terms, counts)
-        terms = np.asarray(terms, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0)
+        query, terms = self.weigh(terms, counts), np.asarray(terms, np.int64)
         bound = query @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        step, at = 4, 0
-        while at < len(order) and (len(best) < k or bound[order[at]] >= cosine[k - 1] - 1e-5):
-            for block in order[at:at + step].tolist():
-                total = np.zeros(BLOCK, np.float32)
-                for t, q in zip(terms.tolist(), query.tolist()):
-                    a, z = self.begin[t * self.blocks + block], self.begin[t * self.blocks + block + 1]
-                    if z > a:
-                        total[self.example[a:z] - block * BLOCK] += q * self.weight[a:z]
-                held = np.flatnonzero(total > 0)
-                best, cosine = np.append(best, held + block * BLOCK), np.append(cosine, total[held])
+
+        def top(best, cosine):
             if skip is not None:
-                cosine, best = cosine[self.ids[best] != skip], best[self.ids[best] != skip]
-            top = np.lexsort((best, -np.round(cosine, 5)))[:k]
-            best, cosine, at, step = best[top], cosine[top], at + step, step * 2
+                best, cosine = best[self.ids[best] != skip], cosine[self.ids[best] != skip]
+            nearest = np.lexsort((best, -np.round(cosine, 5)))[:k]
+            return best[nearest], cosine[nearest]
+
+        best, cosine = top(*self._cosines(terms, query, order[:FIRST_BLOCKS]))
+        rest = order[FIRST_BLOCKS:]
+        if len(best) == k:
+            rest = rest[bound[rest] >= cosine[-1] - 1e-5]
+        if len(rest):
+            more, near = self._cosines(terms, query, rest)
+            best, cosine = top(np.append(best, more), np.append(cosine, near))
         return best, cosine
 
 
