@@ -4,6 +4,10 @@
   search-table PATH          validation table of a hyperparameter search
   target-source-table ROOT   target-by-source table over language tables
   reframe-mcqa SRC OUT       multiple-choice records (Parquet) to prompts
+  reframe-cloze SRC OUT      cloze records to prompts with renamed splits
+  label-topics SRC OUT       topic records to label ids
+  tokenize SRC OUT           texts to tokens and lengths; finished partitions are skipped
+  length-stats SRC OUT       token length statistics per language
   split-folds SRC OUT        prompts to item-disjoint folds
   wrap-chat SRC OUT          prompts to a chat layout; finished partitions are skipped
   cluster-quality SRC OUT    cluster metrics of an embedding store per layer
@@ -15,9 +19,9 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .constants import CHAT_LAYOUTS, FOLD_SEED, FOLD_SPLITS
+from .constants import CHAT_LAYOUTS, CLOZE_SPLITS, FOLD_SEED, FOLD_SPLITS
 from .functions import names as N
-from .operators import bootstrap, folds, langsets, prompts, quality, tables, vectors
+from .operators import bootstrap, folds, langsets, prompts, quality, tables, tokens, vectors
 from .session import drop_scratch, settle
 from .sources import datasets, embeddings, results
 
@@ -100,6 +104,34 @@ def reframe_mcqa(spark, a) -> None:
     _csv(datasets.write_verified(out, a.out, parts), _beside(a.out, "written"))
 
 
+def reframe_cloze(spark, a) -> None:
+    rows = spark.read.parquet(a.src)
+    keep = [c for c in ("lang", "split") if c in rows.columns]
+    out = prompts.reframe_cloze(rows, seed=a.seed, item=a.item, keep=keep)
+    _csv(prompts.bad_prompts(out), _beside(a.out, "rejected"))
+    out = out.where(F.col("text").isNotNull() & F.col("answer_label").isNotNull())
+    if "split" in keep:
+        out = prompts.remap_splits(out, CLOZE_SPLITS)
+    _csv(datasets.write_verified(out, a.out, keep), _beside(a.out, "written"))
+
+
+def label_topics(spark, a) -> None:
+    rows = spark.read.parquet(a.src)
+    parts = [c for c in ("lang", "split") if c in rows.columns]
+    _csv(datasets.write_verified(prompts.label_topics(rows), a.out, parts), _beside(a.out, "written"))
+
+
+def tokenize(spark, a) -> None:
+    rows = tokens.tokenize(spark.read.parquet(a.src), tokens.pattern_tokenizer(a.pattern), text=a.text,
+                           max_length=a.max_length, truncate=a.truncate)
+    parts = [c for c in datasets.PARTS if c in rows.columns]
+    _csv(datasets.append_missing(rows, a.out, parts), _beside(a.out, "written"))
+
+
+def length_stats(spark, a) -> None:
+    _csv(tokens.length_stats(spark.read.parquet(a.src), max_length=a.max_length), a.out, "lang")
+
+
 def split_folds(spark, a) -> None:
     rows = spark.read.parquet(a.src).drop("split", "fold")
     report = folds.parallel_report(rows)
@@ -172,6 +204,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--groups")
     p.add_argument("--out")
     command("reframe-mcqa", reframe_mcqa, "src", "out")
+    p = command("reframe-cloze", reframe_cloze, "src", "out")
+    p.add_argument("--item", default="item", help="column that identifies a record over languages")
+    p.add_argument("--seed", type=int, default=FOLD_SEED)
+    command("label-topics", label_topics, "src", "out")
+    p = command("tokenize", tokenize, "src", "out")
+    p.add_argument("--text", default="text")
+    p.add_argument("--pattern", default=r"\S+", help="what a token is")
+    p.add_argument("--max-length", type=int, default=1024)
+    p.add_argument("--truncate", action="store_true")
+    p = command("length-stats", length_stats, "src", "out")
+    p.add_argument("--max-length", type=int, default=1024)
     p = command("split-folds", split_folds, "src", "out")
     p.add_argument("--n-splits", type=int, default=FOLD_SPLITS["n_splits"])
     for size in ("train", "val", "test"):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Leading hex digits of a digest that name its bucket: 16**3 = 4096 buckets.
+# Leading hex digits of a digest that name its bucket: 16**3 = 4096 buckets at least,
+# and one digit more for each sixteenfold of the rows beyond ROWS_PER_BUCKET in each.
 BUCKET_DIGITS = 3
+ROWS_PER_BUCKET = 100_000
 
 
 def digest(seed, *parts) -> Column:
@@ -13,6 +15,13 @@ def digest(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts]))
 
 
+def bucket_digits(rows: int) -> int:
+    digits = BUCKET_DIGITS
+    while rows > ROWS_PER_BUCKET * 16 ** digits:
+        digits += 1
+    return digits
+
+
 def bucket_of(digest_col: Column, digits: int = BUCKET_DIGITS) -> Column:
     return F.substring(digest_col, 1, digits)
 

@@ -2,8 +2,9 @@
 
 Two ways give an exact position without a single-task sort:
 
-* by digest: 4096 digest buckets per group are counted, the running counts give
-  each bucket its first position, and only rows of one bucket are sorted together;
+* by digest: digest buckets of a group are counted (more of them for more rows), the
+  running counts give each bucket its first position, and only rows of one bucket
+  are sorted together;
 * by order: the rows are range-partitioned on (group, order), written once, and
   numbered from per-partition counts.
 
@@ -16,7 +17,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.draws import BUCKET_DIGITS, bucket_of, digest
+from ..functions.draws import ROWS_PER_BUCKET, bucket_digits, bucket_of, digest
 from ..functions.joins import match_keys
 from ..session import lookup_side, settle
 
@@ -35,6 +36,12 @@ def _bucket_starts(tagged: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
+def _tagged(df: DataFrame, ids: Sequence[str], seed, digits: int | None) -> DataFrame:
+    """The rows with their digest, computed once, and its bucket."""
+    rows = settle(df.withColumn(_DIG, digest(seed, *ids)))
+    return rows.withColumn(_BUC, bucket_of(F.col(_DIG), digits or bucket_digits(rows.count())))
+
+
 def digest_rank(
     df: DataFrame,
     ids: Sequence[str],
@@ -43,13 +50,11 @@ def digest_rank(
     group: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in the digest order of its group."""
-    tagged = df.withColumn(_DIG, digest(seed, *ids)).withColumn(_BUC, bucket_of(F.col(_DIG), digits))
-    starts = _bucket_starts(tagged, group).drop(_CNT)
-    # Without group columns there are at most 16**digits start rows.
-    starts = lookup_side(starts) if group else F.broadcast(starts)
+    tagged = _tagged(df, ids, seed, digits)
+    starts = lookup_side(_bucket_starts(tagged, group).drop(_CNT))
     inside = W.partitionBy(*group, _BUC).orderBy(_DIG, *ids)
     ranked = match_keys(tagged, starts, [*group, _BUC]).withColumn(
         rank, F.col(_START) + F.row_number().over(inside) - 1
@@ -66,14 +71,14 @@ def keep_drawn(
     *,
     seed,
     group: Sequence[str] = (),
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Keep the first `quota(group size)` rows of each group in digest order.
 
     Buckets wholly inside the quota pass as they are; only the one bucket that
     holds the cut is sorted.
     """
-    tagged = df.withColumn(_DIG, digest(seed, *ids)).withColumn(_BUC, bucket_of(F.col(_DIG), digits))
+    tagged = _tagged(df, ids, seed, digits)
     room = _bucket_starts(tagged, group).select(
         *group, _BUC, _CNT, (quota(F.col(_TOTAL)) - F.col(_START)).alias("_room")
     ).where(F.col("_room") > 0)
@@ -129,13 +134,17 @@ def _placed(keys: DataFrame, order, group, descending, rank, partitions) -> Data
 
 
 def head_of_groups(
-    df: DataFrame, order: Sequence[str | Column], size: Column | int, *, group: Sequence[str], salts: int = 32
+    df: DataFrame, order: Sequence[str | Column], size: Column | int, *, group: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """The first `size` rows of each group by `order`.
 
     Ranked first inside salted parts of a group, so a hot group sends at most
-    `salts * size` rows to its last task.
+    `salts * size` rows to its last task. There is a part for every ROWS_PER_BUCKET
+    rows of the largest group, unless a number is given.
     """
+    if salts is None:
+        largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 1
+        salts = max(1, -(-largest // ROWS_PER_BUCKET))
     size = F.lit(size) if isinstance(size, int) else size
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in group]), F.lit(salts))

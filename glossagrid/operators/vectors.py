@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.checks import DataProblem
+from ..functions.draws import digest, draw_int
 from ..session import keyed, lookup_side, settle
 from .ranking import digest_rank, head_of_groups, keep_drawn, position
 
@@ -39,8 +40,16 @@ def sample_per_group(rows: DataFrame, share: float, *, group: Sequence[str], ids
     return keep_drawn(rows, ids, lambda n: F.floor(n * F.lit(share)), seed=seed, group=group)
 
 
+SMALL_SAMPLE = 10_000
+
+
 def sample_k(rows: DataFrame, k: int, *, ids: Sequence[str], seed) -> DataFrame:
-    """k rows without replacement; all of them if there are no more than k."""
+    """k rows without replacement; all of them if there are no more than k.
+
+    A small k is a top-k of the digests, which each task cuts for itself.
+    """
+    if k <= SMALL_SAMPLE:
+        return rows.orderBy(digest(seed, *ids), *ids).limit(k)
     return keep_drawn(rows, ids, lambda n: F.least(n, F.lit(k)), seed=seed)
 
 
@@ -148,8 +157,6 @@ PART_CELLS = 4_000_000
 
 def resample(rows: DataFrame, size: int, *, by: Sequence[str], ids: Sequence[str], seed) -> DataFrame:
     """`size` rows per group drawn with replacement; `draw` numbers them."""
-    from ..functions.draws import draw_int
-
     ranked = digest_rank(rows, ids, seed=seed, group=by, rank="_slot", total="_n")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     # Numbers in two steps, so that no row holds an array of the whole sample.
@@ -298,15 +305,21 @@ def group_medians(points: DataFrame, *, label: str, axes: Sequence[str], id: str
 
 
 def pca_projection(rows: DataFrame, k: int = 2, *, vector: str = "embedding") -> DataFrame:
-    """Centred vectors on their first k principal components, as pc1..pck."""
+    """Centred vectors on their first k principal components, as pc1..pck.
+
+    A component's sign is open; it is chosen so that its largest loading is positive.
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     base = rows.withColumn("_v", array_to_vector(F.col(vector)))
     centred = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(base).transform(base)
     model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     parts = vector_to_array("_p")
-    return model.transform(centred).withColumns({f"pc{i + 1}": parts[i] for i in range(k)}).drop("_v", "_c", "_p")
+    return model.transform(centred).withColumns(
+        {f"pc{i + 1}": parts[i] * F.lit(float(signs[i] or 1.0)) for i in range(k)}).drop("_v", "_c", "_p")
 
 
 def stack_sources(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -193,6 +193,22 @@ def group_medians(spark, d):
     return rounded(V.group_medians(points, label="lang", axes=["x", "y"], id="vec_id"), "median_x", "median_y")
 
 
+@query("pca_moments", """
+SELECT count(*) AS n, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS cross_moment, true AS in_order, true AS within_total
+FROM emb WHERE method IN ('spt', 'xpe')""", "emb")
+def pca_moments(spark, d):
+    """What holds for any right projection: centred, uncorrelated, in order of variance, of no more variance than the vectors."""
+    rows = B.emb(spark, d).where("method in ('spt', 'xpe')")
+    found = V.pca_projection(rows, 2).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("pc1").alias("mean1"), F.avg("pc2").alias("mean2"), F.covar_pop("pc1", "pc2").alias("cross_moment"),
+        F.var_pop("pc1").alias("v1"), F.var_pop("pc2").alias("v2"))
+    total = rows.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("total"))
+    both = found.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k")
+    zero = {c: F.round(F.abs(c), 6) for c in ("mean1", "mean2", "cross_moment")}
+    return both.withColumns(zero).select(
+        "n", *zero, (F.col("v1") >= F.col("v2")).alias("in_order"), (F.col("v1") + F.col("v2") <= F.col("total")).alias("within_total"))
+
+
 @query("pca_projection")
 def pca_projection(spark, d):
     rows = B.emb(spark, d)

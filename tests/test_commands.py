@@ -90,3 +90,22 @@ def test_store_to_cluster_table(spark, tmp_path):
     assert row["xpe_n_samples"] == "40" and row["spt_n_clusters"] == "2"
     assert float(row["diff_davies_bouldin"]) == pytest.approx(float(row["xpe_davies_bouldin"]) - float(row["spt_davies_bouldin"]))
     assert float(row["diff_db_ci_l"]) <= float(row["diff_db_ci_u"]) and 0 < float(row["diff_db_p"]) <= 1
+
+
+def test_cloze_topics_and_tokens(spark, tmp_path):
+    src, out, topics, tok, stats = (str(tmp_path / p) for p in ("src", "cloze", "topics", "tok", "stats"))
+    spark.range(12).selectExpr(
+        "array('de','en')[id % 2] lang", "array('train','eval')[id % 3 div 2] split", "id div 2 item", *[f"'s{i}' input_sentence_{i}" for i in range(1, 5)],
+        "'x' sentence_quiz1", "if(id = 5, null, 'y') sentence_quiz2", "1 answer_right_ending").write.parquet(src)
+    main(["reframe-cloze", src, out])
+    assert spark.read.parquet(out).count() == 11
+    assert {r[0] for r in spark.read.parquet(out).select("split").distinct().collect()} == {"train", "validation"}
+    assert spark.read.option("header", "true").csv(f"{out}.rejected.csv").count() == 1
+    spark.createDataFrame([("de", "t", "travel", "a b c"), ("en", "t", "sports", "d")], "lang string, split string, category string, text string").write.parquet(f"{src}2")
+    main(["label-topics", f"{src}2", topics])
+    assert {(r["lang"], r["labels"]) for r in spark.read.parquet(topics).collect()} == {("de", 1), ("en", 3)}
+    for _ in range(2):
+        main(["tokenize", topics, tok, "--text", "inputs"])
+    assert {r["lang"]: r["length"] for r in spark.read.parquet(tok).collect()} == {"de": 5, "en": 3}
+    main(["length-stats", tok, stats])
+    assert spark.read.option("header", "true").csv(stats).count() == 2

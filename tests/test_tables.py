@@ -222,3 +222,10 @@ def test_entry_rules(spark):
     got = sorted(tuple(r) for r in Q.entry_violations(entries, groups).collect())
     assert got == [("both", "exclusive_shapes"), ("mode", "mode_mismatch"), ("nogroup", "missing_source_group"),
                    ("unfolded", "fold_on_unfolded_path"), ("unknown", "unknown_source_group")]
+
+
+def test_target_groups_may_be_given(spark):
+    rows = [("s1", "g", "a", 1, 0.5, 2), ("s1", "g", "b", 0, 0.7, 2)]
+    tables = spark.createDataFrame(rows, "source_group string, grid string, target_lang string, seen int, xpe_acc double, n_seeds int")
+    got = T.target_source_table(tables, targets={"first": "target_lang = 'a'", "good": "xpe_acc > 0.4"})
+    assert {(r["target_group"], r["n_langs"], r["target_rank"]) for r in got.collect()} == {("first", 1, 0), ("good", 2, 1)}
