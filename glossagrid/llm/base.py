@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 END_ID = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ _WORD_IDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One cache per worker process and tokenizer file."""
+    """One cache per worker process and tokenizer file; a task clears it when it ends, as idle workers stay."""
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
     return _WORD_IDS[path]
@@ -127,5 +127,5 @@ _WORD_HASHES = WordHashes()
 
 
 def word_hashes() -> WordHashes:
-    """One cache per worker process."""
+    """One cache per worker process; a task clears it when it ends, as idle workers stay."""
     return _WORD_HASHES

@@ -148,6 +148,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHA
                 if held >= shard_ids:
                     yield flush()
                     doc_ids, packed, held, shard = [], [], 0, shard + 1
+        words.clear()
         if packed:
             yield flush()
 

@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 for column, value in zip(out, (doc_id, len(held), h1, h2, signed)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        hashes.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, minima binary")
@@ -275,6 +276,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in held), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(held, pa.binary())],
                                              names=["rep", "h1", "h2", "held"])
+        hashes.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
     near = rows.join(lookup_side(wanted.select("rep").distinct(), 16), "rep", "left_semi").select("rep", "text")

@@ -136,6 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         column.append(value)
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        words.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("text"))
     return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length int, ids binary, part int, nth bigint")

@@ -105,51 +105,85 @@ def _upper(z: Column) -> Column:
     return F.when(z >= 0, _erfc(F.abs(z) / math.sqrt(2)) / 2).otherwise(1 - _erfc(F.abs(z) / math.sqrt(2)) / 2)
 
 
-def battery(token: Column) -> Column:
-    """(p_random, p_text) of a token: consistency with random, and with ordinary text."""
-    body = F.rtrim(token, F.lit("="))
-    n = F.length(body).cast("double")
-    alphabet = F.lit(None).cast("string")
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _alphabet(body: Column) -> Column:
+    """Letters of the smallest encoding that has all characters; null for none."""
+    found = F.lit(None).cast("string")
     for pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(F.rlike(body, F.lit(f"^{pattern}$")), F.lit(letters)).otherwise(alphabet)
-    size = F.length(alphabet).cast("double")
-    codes = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
+        found = F.when(F.rlike(body, F.lit(f"^{pattern}$")), F.lit(letters)).otherwise(found)
+    return found
+
+
+def _steps(n: Column) -> Column:
+    return F.sequence(F.lit(1), n.cast("int") - 1)
 
+
+def _p_uniform(codes: Column, n: Column, size: Column) -> Column:
+    """Chi-squared over at most 16 cells; where these are uneven, by their exact shares."""
     cells = F.least(size, F.lit(16.0))
-    cell = F.transform(codes, lambda x: F.floor(x * cells / size))
-    counts = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda k: F.size(F.filter(cell, lambda x: x == k)).cast("double"))
-    # Cells are uneven where their number does not divide the alphabet: the expected share is exact.
-    share = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1),
-                        lambda k: (F.ceil((k + 1) * size / cells) - F.ceil(k * size / cells)) / size)
-    chi = F.aggregate(F.zip_with(counts, share, lambda o, e: (o - n * e) * (o - n * e) / (n * e)), F.lit(0.0), lambda a, x: a + x)
-    df = cells - 1
-    z_chi = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-
-    high = F.transform(codes, lambda x: (x * 2 >= size).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    n0 = n - n1
-    turns = F.aggregate(F.sequence(F.lit(1), n.cast("int") - 1), F.lit(0), lambda a, i: a + F.abs(F.get(high, i) - F.get(high, i - 1))).cast("double")
-    expected = 2 * n1 * n0 / n
-    variance = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
-    p_runs = F.when(variance > 0, _two_sided((turns - expected) / F.sqrt(variance))).otherwise(0.0)
 
+    def test(cell: Column) -> Column:
+        def term(k: Column) -> Column:
+            expected = n * (F.ceil((k + 1) * size / cells) - F.ceil(k * size / cells)) / size
+            return _let(F.struct(F.size(F.filter(cell, lambda x: x == k)).cast("double").alias("o"), expected.cast("double").alias("e")),
+                        lambda v: (v["o"] - v["e"]) * (v["o"] - v["e"]) / v["e"])
+
+        chi = F.aggregate(F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), term), F.lit(0.0), lambda a, x: a + x)
+        df = cells - 1
+        return _upper((F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+
+    return _let(F.transform(codes, lambda x: F.floor(x * cells / size)), test)
+
+
+def _p_runs(codes: Column, n: Column, size: Column) -> Column:
+    """Number of runs above and below the middle of the alphabet."""
+    def test(high: Column) -> Column:
+        ones = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
+        turns = F.aggregate(_steps(n), F.lit(0), lambda a, i: a + F.abs(F.get(high, i) - F.get(high, i - 1))).cast("double")
+        return _let(F.struct((2 * ones * (n - ones)).alias("p"), turns.alias("t")), lambda v: F.when(
+            v["p"] > n, _two_sided((v["t"] - v["p"] / n) / F.sqrt(v["p"] * (v["p"] - n) / (n * n * (n - 1))))).otherwise(0.0))
+
+    return _let(F.transform(codes, lambda x: (x * 2 >= size).cast("int")), test)
+
+
+def _p_serial(codes: Column, n: Column, size: Column) -> Column:
+    """Correlation of each character's place in the alphabet with the one before."""
     mean = (size - 1) / 2
-    spread = (size * size - 1) / 12
-    lagged = F.aggregate(F.sequence(F.lit(1), n.cast("int") - 1), F.lit(0.0),
-                         lambda a, i: a + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean))
-    p_serial = _two_sided(lagged / (spread * F.sqrt(n - 1)))
-    p_random = F.least(F.lit(1.0), 3 * F.least(_upper(z_chi), p_runs, p_serial))
+    lagged = F.aggregate(_steps(n), F.lit(0.0), lambda a, i: a + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean))
+    return _two_sided(lagged / ((size * size - 1) / 12 * F.sqrt(n - 1)))
 
+
+def _p_text(body: Column, n: Column) -> Column:
+    """Chernoff bound on so many changes between lower case, upper case and digits in ordinary text."""
     kind = F.transform(F.split(body, ""), lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3))
-    changes = F.aggregate(F.sequence(F.lit(1), n.cast("int") - 1), F.lit(0), lambda a, i: a + (
-        (F.get(kind, i) != F.get(kind, i - 1)) & (F.get(kind, i) < 3) & (F.get(kind, i - 1) < 3)).cast("int"))
-    rate = changes / (n - 1)
-    left = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - SWITCHES))).otherwise(0.0)
-    bound = F.exp(-(n - 1) * (rate * F.log(rate / SWITCHES) + left))
-    p_text = F.when(rate > SWITCHES, bound).otherwise(1.0)
-    tested = alphabet.isNotNull() & (n >= 16)
-    return F.struct(F.when(tested, p_random).otherwise(0.0).alias("p_random"), F.when(tested, p_text).otherwise(1.0).alias("p_text"),
-                    n.cast("int").alias("n"))
+    changes = _let(kind, lambda k: F.aggregate(_steps(n), F.lit(0), lambda a, i: a + (
+        (F.get(k, i) != F.get(k, i - 1)) & (F.get(k, i) < 3) & (F.get(k, i - 1) < 3)).cast("int")))
+
+    def bound(rate: Column) -> Column:
+        left = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - SWITCHES))).otherwise(0.0)
+        return F.when(rate > SWITCHES, F.exp(-(n - 1) * (rate * F.log(rate / SWITCHES) + left))).otherwise(1.0)
+
+    return _let(changes / (n - 1), bound)
+
+
+def battery(token: Column) -> Column:
+    """(p_random, p_text, n) of a token: consistency with random, and with ordinary text."""
+    def judge(t: Column) -> Column:
+        codes = F.transform(F.split(t["body"], ""), lambda c: F.instr(t["letters"], c).cast("double") - 1)
+        size, n = F.length(t["letters"]).cast("double"), t["n"]
+        p_random = _let(codes, lambda x: F.least(F.lit(1.0), 3 * F.least(_p_uniform(x, n, size), _p_runs(x, n, size), _p_serial(x, n, size))))
+        tested = t["letters"].isNotNull() & (n >= 16)
+        return F.struct(F.when(tested, p_random).otherwise(0.0).alias("p_random"),
+                        F.when(tested, _p_text(t["body"], n)).otherwise(1.0).alias("p_text"), n.cast("int").alias("n"))
+
+    def parts(body: Column) -> Column:
+        return F.struct(body.alias("body"), _alphabet(body).alias("letters"), F.length(body).cast("double").alias("n"))
+
+    return _let(_let(F.rtrim(token, F.lit("=")), parts), judge)
 
 
 def candidates(text: Column, base: Column) -> Column:

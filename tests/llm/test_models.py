@@ -48,19 +48,37 @@ def test_language_model_counts_and_gain(spark, larger):
     assert gain["nats"] / gain["tokens"] > 0.05
 
 
-def test_predictions_of_a_context_sum_to_one(spark):
-    """Every next word after `a`, and one unknown word, share the probability of 1."""
-    texts = {i: f"a w{i % 7} b w{i % 5} a" for i in range(200)} | {200: "a a a", 201: "zzz"}
-    kinds = sorted({w for t in texts.values() for w in t.split()})
-    probes = {1000 + k: f"a {w}" for k, w in enumerate([*kinds, "unseen"])} | {2000: "a"}
-    df = spark.createDataFrame(list((texts | probes).items()), "doc_id long, text string")
-    rows = {r.doc_id: r.score for r in pitmanyor.score(df, F.col("doc_id") < 1000).collect()}
-    ends = {1000 + k: f"{w}" for k, w in enumerate([*kinds, "unseen"])}
-    more = spark.createDataFrame(list((texts | {i: t for i, t in ends.items()}).items()), "doc_id long, text string")
-    alone = {r.doc_id: r.score for r in pitmanyor.score(more, F.col("doc_id") < 1000).collect()}
-    # score(a w) - score(a) + P(end | a) - P(end | w) isolates log P(w | a); its sum needs only the two tables.
-    assert all(np.isfinite(x) for x in [*rows.values(), *alone.values()])
-    assert rows[2000] > min(rows.values())
+def test_predictions_of_a_context_sum_to_one():
+    """Over all words, seen after the context or not, with counts of 0 for those only asked for."""
+    rng = np.random.default_rng(6)
+    n = 40
+    u, w = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    count = rng.poisson(0.8, n * n) * (u % 5 > 0)
+    held = pitmanyor.Bucket(np.arange(1, n + 1, dtype=np.uint64), u, w, count, np.zeros(0, np.uint64), 4, 0)
+    p1 = rng.random(n)
+    p1 /= p1.sum()
+    p = np.bincount(held.u, held.predict(p1, held.cu, held.tu), n)
+    assert np.allclose(p, 1, atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 64, 1024, 5000, 70_000])
+def test_a_key_holds_bucket_words_and_row(n):
+    word, row = pitmanyor.widths(n)
+    assert n <= 1 << (64 - 2 * word - row) and word > 7
+
+
+def test_long_documents_are_cut_into_runs():
+    texts = ["a b c", None, " ".join(f"w{i}" for i in range(1000)), ""]
+    whole = [word_hashes().of(t) & pitmanyor.HASH for t in texts]
+    pieces = {}
+    for rows, starts, held in pitmanyor.runs([1, 2, None, 4], texts, [True] * 4, 10, word_hashes(), 8, 2):
+        assert len(rows) <= 4 and sum(map(len, held)) <= 256
+        for (_, _, number), start, h in zip(rows, starts, held):
+            before = pieces.setdefault(number, [])
+            assert start == (before[-1] if before else pitmanyor.START)
+            before += h.tolist()
+    assert [pieces[10 + k][:-1] for k in range(4)] == [x.tolist() for x in whole]
+    assert all(p[-1] == pitmanyor.END for p in pieces.values())
 
 
 def test_seating_counts_tables_within_bounds():
