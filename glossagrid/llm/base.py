@@ -94,16 +94,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORD_IDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One cache per worker process and tokenizer file; a task clears it when it ends, as idle workers stay."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
-
-
 class WordHashes(dict):
     """64-bit hashes of words as bytes; a full cache starts anew."""
 
@@ -121,11 +111,3 @@ class WordHashes(dict):
             self.clear()
         words = (text or "").encode().lower().split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_WORD_HASHES = WordHashes()
-
-
-def word_hashes() -> WordHashes:
-    """One cache per worker process; a task clears it when it ends, as idle workers stay."""
-    return _WORD_HASHES

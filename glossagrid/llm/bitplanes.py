@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path, settle
-from .base import END_ID, whole
+from .base import END_ID, WordIds, whole
 
 MAGIC = b"BPLN0001"
 BLOCK = 1 << 16
@@ -125,9 +125,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHA
     start (ids in all files before it), one row per shard.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from glossagrid.llm.base import word_ids
-
-        words, end = word_ids(tokenizer), struct.pack("<I", END_ID)
+        words, end = WordIds(tokenizer), struct.pack("<I", END_ID)
         context = TaskContext.get()
         part, attempt = context.partitionId(), str(context.taskAttemptId())
         doc_ids, packed, held, shard = [], [], 0, 0
@@ -148,7 +146,6 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHA
                 if held >= shard_ids:
                     yield flush()
                     doc_ids, packed, held, shard = [], [], 0, shard + 1
-        words.clear()
         if packed:
             yield flush()
 

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import lookup_side, settle
+from .base import WordHashes
 from .components import components
 
 MINIMA = 128
@@ -89,9 +90,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        from glossagrid.llm.base import word_hashes
 
-        hashes, multipliers = word_hashes(), _multipliers()
+        hashes, multipliers = WordHashes(), _multipliers()
         for batch in batches:
             out = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -101,7 +101,6 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 for column, value in zip(out, (doc_id, len(held), h1, h2, signed)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-        hashes.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, minima binary")
@@ -268,15 +267,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        from glossagrid.llm.base import word_hashes
 
-        hashes = word_hashes()
+        hashes = WordHashes()
         for batch in batches:
             held = [shingles(hashes.of(t), width).tobytes() for t in batch.column(1).to_pylist()]
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in held), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(held, pa.binary())],
                                              names=["rep", "h1", "h2", "held"])
-        hashes.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
     near = rows.join(lookup_side(wanted.select("rep").distinct(), 16), "rep", "left_semi").select("rep", "text")

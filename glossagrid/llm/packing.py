@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import lookup_side, settle
-from .base import END_ID, whole
+from .base import END_ID, WordIds, whole
 
 CAPACITY = 4096
 
@@ -121,9 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from glossagrid.llm.base import word_ids
-
-        words, end, part = word_ids(tokenizer), struct.pack("<I", END_ID), TaskContext.get().partitionId()
+        words, end, part = WordIds(tokenizer), struct.pack("<I", END_ID), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             out = [[] for _ in schema]
@@ -136,7 +134,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         column.append(value)
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-        words.clear()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("text"))
     return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length int, ids binary, part int, nth bigint")

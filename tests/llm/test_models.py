@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossagrid.llm import bytenet, pitmanyor, toxicity
-from glossagrid.llm.base import fold, word_hashes
+from glossagrid.llm.base import WordHashes, fold
 from glossagrid.llm.queries import QUERIES
 from tests.llm.conftest import SMALL
 
@@ -69,9 +69,9 @@ def test_a_key_holds_bucket_words_and_row(n):
 
 def test_long_documents_are_cut_into_runs():
     texts = ["a b c", None, " ".join(f"w{i}" for i in range(1000)), ""]
-    whole = [word_hashes().of(t) & pitmanyor.HASH for t in texts]
+    whole = [WordHashes().of(t) & pitmanyor.HASH for t in texts]
     pieces = {}
-    for rows, starts, held in pitmanyor.runs([1, 2, None, 4], texts, [True] * 4, 10, word_hashes(), 8, 2):
+    for rows, starts, held in pitmanyor.runs([1, 2, None, 4], texts, [True] * 4, 10, WordHashes(), 8, 2):
         assert len(rows) <= 4 and sum(map(len, held)) <= 256
         for (_, _, number), start, h in zip(rows, starts, held):
             before = pieces.setdefault(number, [])
@@ -107,7 +107,7 @@ def test_blobs_round_trip():
     arrays = [pitmanyor.hash_bytes(words), np.arange(5, dtype=np.uint16), np.zeros(0, np.int64), np.ones(3, np.float32)]
     back = pitmanyor.unpack(pitmanyor.pack(arrays))
     assert (pitmanyor.bytes_hash(back[0]) == words).all() and all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays[1:], back[1:]))
-    assert word_hashes().of("A\x0bbé É").tolist() == word_hashes().of(" a bé É").tolist()
+    assert WordHashes().of("A\x0bbé É").tolist() == WordHashes().of(" a bé É").tolist()
 
 
 def test_odd_rows_in_the_language_model(spark, odd_docs, no_docs):

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from glossagrid.llm import bitplanes, packing
-from glossagrid.llm.base import default_tokenizer
+from glossagrid.llm.base import WordIds, default_tokenizer
 from glossagrid.llm.queries import QUERIES
 from tests.llm.conftest import SMALL
 
@@ -54,9 +54,7 @@ def test_odd_rows_in_files(spark, odd_docs, no_docs, encode):
 
 @pytest.mark.parametrize("text", ["a  b\tc d e\x85f\x1cg\r\nh", "it's <|endoftext|> now<|startoftext|>x", "é ́e ñ", "𝒳😀  İ", ""])
 def test_words_give_the_texts_ids(text, encode):
-    from glossagrid.llm.base import word_ids
-
-    assert np.frombuffer(word_ids(default_tokenizer()).encode(text), "<u4").tolist() == encode(text)[:-1]
+    assert np.frombuffer(WordIds(default_tokenizer()).encode(text), "<u4").tolist() == encode(text)[:-1]
 
 
 @pytest.mark.parametrize("seed", range(6))
