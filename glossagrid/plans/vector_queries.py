@@ -203,7 +203,9 @@ def pca_moments(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg("pc1").alias("mean1"), F.avg("pc2").alias("mean2"), F.covar_pop("pc1", "pc2").alias("cross_moment"),
         F.var_pop("pc1").alias("v1"), F.var_pop("pc2").alias("v2"))
     total = rows.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("total"))
-    both = found.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k")
+    # Two single rows put side by side.
+    both = found.unionByName(total, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
     zero = {c: F.round(F.abs(c), 6) for c in ("mean1", "mean2", "cross_moment")}
     return both.withColumns(zero).select(
         "n", *zero, (F.col("v1") >= F.col("v2")).alias("in_order"), (F.col("v1") + F.col("v2") <= F.col("total")).alias("within_total"))

