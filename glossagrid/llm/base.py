@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
+ROWS_AT_ONCE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def slices(batches: Iterator) -> Iterator:
+    """Arrow batches in pieces of few rows, so that only these are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def byte_letters() -> dict[int, str]:
     """The characters that byte-level models use for bytes: printable ones as they are, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

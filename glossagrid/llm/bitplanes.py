@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path, settle
-from .base import END_ID, WordIds, whole
+from .base import END_ID, WordIds, slices, whole
 
 MAGIC = b"BPLN0001"
 BLOCK = 1 << 16
@@ -137,7 +137,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHA
                 {"file": [name], "ids": [held], "docs": [len(packed)]},
                 schema=pa.schema([("file", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())]))
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = words.encode(text) + end
                 doc_ids.append(doc_id)

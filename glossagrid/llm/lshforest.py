@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import lookup_side, settle
-from .base import WordHashes
+from .base import WordHashes, slices
 from .components import components
 
 MINIMA = 128
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
         hashes, multipliers = WordHashes(), _multipliers()
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = shingles(hashes.of(text), width)
@@ -269,7 +269,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             held = [shingles(hashes.of(t), width).tobytes() for t in batch.column(1).to_pylist()]
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in held), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(held, pa.binary())],

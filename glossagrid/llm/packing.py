@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import lookup_side, settle
-from .base import END_ID, WordIds, whole
+from .base import END_ID, WordIds, slices, whole
 
 CAPACITY = 4096
 
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, part = WordIds(tokenizer), struct.pack("<I", END_ID), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = words.encode(text) + end
