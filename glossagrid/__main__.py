@@ -124,7 +124,8 @@ def label_topics(spark, a) -> None:
 def tokenize(spark, a) -> None:
     rows = tokens.tokenize(spark.read.parquet(a.src), tokens.pattern_tokenizer(a.pattern), text=a.text,
                            max_length=a.max_length, truncate=a.truncate)
-    parts = [c for c in datasets.PARTS if c in rows.columns]
+    rows = rows.withColumn("tokenizer", F.lit(a.name))
+    parts = [*[c for c in datasets.PARTS if c in rows.columns], "tokenizer"]
     _csv(datasets.append_missing(rows, a.out, parts), _beside(a.out, "written"))
 
 
@@ -211,6 +212,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("tokenize", tokenize, "src", "out")
     p.add_argument("--text", default="text")
     p.add_argument("--pattern", default=r"\S+", help="what a token is")
+    p.add_argument("--name", default="words", help="name of the tokenizer in the written partitions")
     p.add_argument("--max-length", type=int, default=1024)
     p.add_argument("--truncate", action="store_true")
     p = command("length-stats", length_stats, "src", "out")

@@ -88,10 +88,17 @@ def fold_rows(records: DataFrame, plan: DataFrame, key: Sequence[str] = ITEM) ->
     return records.join(plan, list(key)).select(*records.columns, F.inline("places"))
 
 
-def task_ids(rows: DataFrame, langs: Sequence[str] | None = None, lang: str = "lang") -> DataFrame:
-    """Rows of the languages tagged with the language's index in sorted order."""
+def task_ids(rows: DataFrame, langs: Sequence[str] | None = None, lang: str = "lang", strict: bool = True) -> DataFrame:
+    """Rows of the languages tagged with the language's index in sorted order.
+
+    A language without rows is an error, since it would leave a task without data.
+    """
     if langs is not None:
         order = sorted(set(langs))
+        if strict:
+            held = {r[0] for r in rows.where(F.col(lang).isin(order)).select(lang).distinct().collect()}
+            if missing := [x for x in order if x not in held]:
+                raise DataProblem(f"no rows of {missing}")
         place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(lang)) - 1
         return rows.where(F.col(lang).isin(order)).withColumn("task_ids", place.cast("int"))
     # One row: the sorted set of languages.

@@ -69,6 +69,14 @@ def discover_partitions(spark: SparkSession, path: str, parts: Sequence[str] = P
     return spark.createDataFrame(sorted({v for _, v in found}, key=str), ", ".join(f"`{p}` string" for p in parts))
 
 
+def saved_splits(partitions: DataFrame, tokenized: bool = False) -> DataFrame:
+    """(lang, split) that were saved; tokenized copies, which name their `tokenizer`, only if asked for."""
+    kept = partitions
+    if "tokenizer" in partitions.columns and not tokenized:
+        kept = kept.where(F.col("tokenizer").isNull())
+    return kept.select("lang", "split").distinct()
+
+
 def languages_with(partitions: DataFrame, *, exclude: Sequence[str] = (), **values) -> DataFrame:
     """Sorted languages that have the given sub-partition (e.g. fold=0)."""
     kept = partitions

@@ -122,6 +122,8 @@ def test_task_ids_follow_sorted_languages(spark):
     rows = spark.createDataFrame([("fr", 1), ("de", 2), ("en", 3)], "lang string, x int")
     assert {r["lang"]: r["task_ids"] for r in folds.task_ids(rows).collect()} == {"de": 0, "en": 1, "fr": 2}
     assert {r["lang"]: r["task_ids"] for r in folds.task_ids(rows, ["fr", "en"]).collect()} == {"en": 0, "fr": 1}
+    with pytest.raises(DataProblem, match="no rows of"):
+        folds.task_ids(rows, ["fr", "xx"])
 
 
 def test_fold_of_an_unfolded_dataset_fails(spark):

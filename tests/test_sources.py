@@ -130,6 +130,12 @@ def test_many_layouts_and_quoted_line_breaks(spark, tmp_path):
     assert rows.count() == 1002
 
 
+def test_tokenized_copies_are_told_apart(spark):
+    parts = spark.createDataFrame([("de", "train", None), ("de", "test", "words"), ("en", "train", None)], "lang string, split string, tokenizer string")
+    assert {tuple(r) for r in D.saved_splits(parts).collect()} == {("de", "train"), ("en", "train")}
+    assert D.saved_splits(parts, tokenized=True).count() == 3 and D.saved_splits(parts.drop("tokenizer")).count() == 3
+
+
 def test_empty_folders_are_discovered(spark, tmp_path):
     root = str(tmp_path / "data")
     D.write_partitioned(_dataset(spark), root)
