@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path, settle
+from ..session import lookup_side, scratch_path, settle
 from .base import END_ID, WordIds, slices, whole
 
 MAGIC = b"BPLN0001"
@@ -182,7 +182,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
         return spark.createDataFrame([], "doc_id bigint, start bigint, ids binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bpl").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.join(F.broadcast(settle(manifest.select("file", "start"))), "file").select("content", "start").mapInArrow(
+    return named.join(lookup_side(manifest.select("file", "start")), "file").select("content", "start").mapInArrow(
         read, "doc_id bigint, start bigint, ids binary")
 
 
