@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 ROWS_AT_ONCE = 500
 
 
