@@ -4,11 +4,16 @@ Every set of word shingles gets 128 minima. Each of 16 trees orders the sets by
 own sequence of 8 minima; in that order, sets with long common prefixes stand
 together. A run of sets that share the least depth is compared whole up to `NEAR` sets.
 Beyond, a set meets only the neighbours just before it, which share the longest
-prefix with it, and the first set of its run at three depths. So a sparse region is
-compared whole, a crowded one at the depth that separates it, without all pairs. The least depth is the largest that
+prefix with it, and the first set of its run at three depths. The least depth is the largest that
 some tree shows for all but about 1 in 100,000 links of the asked similarity
 (4 for 0.85, 3 for 0.8); the components join what further neighbours link.
 
+Crowded runs whose sets are not all in one component by then are gone through again.
+A hub, the set nearest to the majority of the run's bits, meets every set
+of another component, as often as that links more; then each set outside the run's largest
+component meets all sets of other components. So every pair that shares the
+least depth is compared or in one component already.
+
 Candidates of hopeless size ratio or estimate are dropped, and every link is
 confirmed on the full sets. Equal sets are one class from the start. Confirmation
 goes in two rounds: each class's best partner first, then only pairs that the
@@ -28,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import lookup_side, settle
 from .base import WordHashes, slices
@@ -40,6 +45,7 @@ DEPTH = 8
 MISSED = 1.1e-5
 NEAR = 16
 CLOSE = 2
+HUBS = 6  # hub rounds at most; what they leave open is compared pair by pair
 BITS_AGREE = 96  # of 128 lowest bits: a link of similarity 0.85 has 118 +- 3.
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -108,6 +114,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 _PLACED = pa.schema([("key", pa.binary()), ("rep", pa.int64()), ("n", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64())])
 _PAIRS = "a bigint, b bigint, agree int"
+_CROWDED = -2  # in place of the number of an edge, which is -1 or more
 
 
 def _table(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +151,7 @@ class Walk:
     def __init__(self, percent: int):
         self.percent, self.least, self.kept = percent, least_depth(percent), None
         self.leaders: dict[int, tuple] = {}
+        self.crowded: list[bytes] = []  # prefixes of runs seen beyond NEAR in the last step
 
     def step(self, keys: np.ndarray, rep, n, b0, b1):
         """Candidate pairs whose later row is among these."""
@@ -159,6 +167,8 @@ class Walk:
         rows, others = [], []
         place = np.arange(len(words))
         early = place - np.maximum.accumulate(np.where(same[:, self.least], 0, place)) < NEAR
+        late = words[np.flatnonzero(same[:, self.least] & ~early), :1 + 4 * self.least]
+        self.crowded = [p.tobytes() for p in np.unique(late, axis=0)] if len(late) else []
         run = same[:, self.least].copy()  # row i shares the prefix with each of the `back` rows before it
         for back in range(1, NEAR + 1):
             if back > 1:
@@ -200,8 +210,8 @@ def _columns(batch: pa.RecordBatch):
     return keys, *[batch.column(i).to_numpy() for i in range(1, 5)]
 
 
-def candidates(placed: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) with the number of agreeing bits."""
+def candidates(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a < b) with the number of agreeing bits, and the prefixes of crowded runs."""
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs, edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("edge", pa.int32()), *_PLACED]), \
         f"{_PAIRS}, edge int, key binary, rep bigint, n bigint, b0 bigint, b1 bigint"
@@ -218,6 +228,11 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([
             *none, pa.array(np.full(len(keys), edge, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), *map(pa.array, rest)], schema=pairs)
 
+    def crowd_rows(prefixes):
+        none = [[pa.nulls(len(prefixes), t) for t in kinds] for kinds in ((pa.int64(), pa.int64(), pa.int32()), _PLACED.types[1:])]
+        return pa.RecordBatch.from_arrays([
+            *none[0], pa.array(np.full(len(prefixes), _CROWDED, np.int32)), pa.array(prefixes, pa.binary()), *none[1]], schema=pairs)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, head, along = TaskContext.get().partitionId(), None, Walk(percent)
         for batch in batches:
@@ -226,6 +241,8 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
                 if head is None or len(head[1]) < NEAR:
                     head = tuple(c[:NEAR] for c in rows) if head is None else tuple(np.concatenate(x)[:NEAR] for x in zip(head, rows))
                 yield from found_rows(along.step(*rows))
+                if along.crowded:
+                    yield crowd_rows(along.crowded)
         if head is not None:
             yield edge_rows(head, part - 1)
             yield edge_rows(along.kept, part)
@@ -234,14 +251,18 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
         """Pairs over the border between two parts of the order."""
         frame = frame.sort_values(["key", "rep"])
         keys = np.frombuffer(b"".join(frame["key"]), np.uint8).reshape(len(frame), 1 + 4 * DEPTH)
-        found = Walk(percent).step(keys, *[frame[c].to_numpy() for c in ("rep", "n", "b0", "b1")])
-        return pd.concat([pd.DataFrame({"a": a, "b": b, "agree": g}) for a, b, g in found] or [pd.DataFrame({"a": [], "b": [], "agree": []})])
+        along = Walk(percent)
+        found = along.step(keys, *[frame[c].to_numpy() for c in ("rep", "n", "b0", "b1")])
+        out = [pd.DataFrame({"a": a, "b": b, "agree": g}) for a, b, g in found] + [pd.DataFrame({"key": along.crowded})]
+        return pd.concat(out).reindex(columns=["a", "b", "agree", "key"]).astype({"a": "Int64", "b": "Int64", "agree": "Int32"})
 
     ordered = placed.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep")
     walked = settle(ordered.mapInArrow(walk, edge_schema))
     inside = walked.where("edge IS NULL").select("a", "b", "agree")
-    over = walked.where("edge IS NOT NULL").groupBy("edge").applyInPandas(mend, _PAIRS)
-    return inside.unionByName(over).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    over = settle(walked.where(F.col("edge") > _CROWDED).groupBy("edge").applyInPandas(mend, f"{_PAIRS}, key binary"))
+    crowded = walked.where(F.col("edge") == _CROWDED).select("key").unionByName(over.where("key IS NOT NULL").select("key"))
+    found = inside.unionByName(over.where("key IS NULL").drop("key")).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return found, crowded.distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,6 +302,92 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return settle(sets.join(wanted, ["rep", "h1", "h2"]).select("rep", "held").dropDuplicates(["rep"]))
 
 
+def _agree(one: str, other: str) -> Column:
+    differ = [F.bit_count(F.col(f"{one}.{b}").bitwiseXOR(F.col(f"{other}.{b}"))) for b in ("b0", "b1")]
+    return (128 - differ[0] - differ[1]).cast("int")
+
+
+def _meet(crowd: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a set of the crowd and one of the few in the same run that may be links of two components."""
+    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agree("x", "y") >= BITS_AGREE)
+    met = crowd.alias("x").join(lookup_side(few, 64).alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.comp") != F.col("y.comp")) & near)
+    first = F.col("x.rep") < F.col("y.rep")
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), _agree("x", "y").alias("agree"),
+                      F.when(first, F.col("x.comp")).otherwise(F.col("y.comp")).alias("comp_a"),
+                      F.when(first, F.col("y.comp")).otherwise(F.col("x.comp")).alias("comp_b")).dropDuplicates(["a", "b"])
+
+
+def _hubs(crowd: DataFrame) -> DataFrame:
+    """Of each run the set that agrees most with the majority of its bits."""
+    ones = [F.sum(F.shiftrightunsigned(b, k).bitwiseAND(F.lit(1))).alias(f"{b}_{k}") for b in ("b0", "b1") for k in range(64)]
+    counts = crowd.groupBy("run").agg(F.count("*").alias("m"), *ones)
+
+    def major(b: str) -> Column:
+        bits = F.array(*[F.when(2 * F.col(f"{b}_{k}") > F.col("m"), F.lit(1 << k if k < 63 else -1 << 63)).otherwise(F.lit(0)).cast("bigint") for k in range(64)])
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y)).alias(b)
+
+    majority = lookup_side(counts.select("run", major("b0"), major("b1")), 40).alias("y")
+    best = crowd.alias("x").join(majority, F.col("x.run") == F.col("y.run")).groupBy("x.run").agg(
+        F.max_by(F.struct("x.rep", "x.n", "x.b0", "x.b1", "x.comp"), F.struct(_agree("x", "y"), F.negative("x.rep"))).alias("h"))
+    return best.select("run", "h.*")
+
+
+def _outside(crowd: DataFrame) -> DataFrame:
+    """The sets that are not in their run's largest component."""
+    sizes = crowd.groupBy("run", "comp").count()
+    largest = sizes.groupBy("run").agg(F.max_by("comp", F.struct("count", F.negative("comp"))).alias("comp"))
+    return crowd.join(lookup_side(largest, 24), ["run", "comp"], "left_anti")
+
+
+def crowd_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, runs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that join what `found` leaves apart in the crowded runs; None if nothing is apart."""
+    keys = signed.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "minima").mapInArrow(
+        place, "key binary, rep bigint, n bigint, b0 bigint, b1 bigint").withColumn("key", F.substring("key", 1, 1 + 4 * least_depth(percent)))
+    members = keys.join(lookup_side(runs, 48), "key", "left_semi").join(classes.select("rep"), "rep", "left_semi").select(
+        F.xxhash64("key").alias("run"), "rep", "n", "b0", "b1").distinct()
+    named = found.select(F.col("node").alias("rep"), F.col("component"))
+    crowd = members.join(named, "rep", "left").select("run", "rep", "n", "b0", "b1", F.coalesce("component", "rep").alias("comp"))
+
+    def apart(crowd: DataFrame) -> DataFrame:
+        crowd = settle(crowd)
+        several = crowd.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("run")
+        return settle(crowd.join(lookup_side(several, 16), "run", "left_semi"))
+
+    def joined(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(comp, component) of the components that the links join."""
+        over = links.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+        return components(settle(over)).withColumnRenamed("node", "comp")
+
+    crowd, links, sets = apart(crowd), None, None
+    for turn in range(HUBS):
+        rows = crowd.count()
+        if not rows:
+            return links
+        if sets is None:
+            sets = full_sets(docs, classes.join(crowd.select("rep").distinct(), "rep"), width)
+        sizes = crowd.groupBy("run", "comp").count().groupBy("run").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("x"))
+        if sizes.agg(F.sum("x")).first()[0] <= 2 * NEAR * rows:
+            break
+        pairs = settle(_meet(crowd, _hubs(_outside(crowd) if turn else crowd), percent))
+        more = settle(confirm(pairs.select("a", "b"), sets, percent))
+        if not more.head(1):
+            break
+        links = more if links is None else links.unionByName(more)
+        crowd = apart(crowd.join(lookup_side(joined(more, pairs), 16), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"))
+    # Every pair left, best partners first.
+    pairs = settle(_meet(crowd, _outside(crowd), percent))
+    best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(
+        F.max(F.struct("agree", F.negative("a").alias("x"), F.negative("b").alias("y"))).alias("m"))
+    first = settle(best.select(F.negative("m.x").alias("a"), F.negative("m.y").alias("b")).distinct())
+    more = settle(confirm(first, sets, percent))
+    now = settle(joined(more, pairs))
+    for side in ("a", "b"):
+        pairs = pairs.join(now.select(F.col("comp").alias(f"comp_{side}"), F.col("component").alias(f"of_{side}")), f"comp_{side}", "left")
+    rest = pairs.where(F.coalesce("of_a", "comp_a") != F.coalesce("of_b", "comp_b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = more.unionByName(settle(confirm(rest, sets, percent)))
+    return more if links is None else links.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = settle(signatures(docs, width))
@@ -288,7 +395,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = settle(classes)
     own = signed.alias("s").join(classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.h1") == F.col("c.h1")) & (F.col("s.h2") == F.col("c.h2")))
     placed = own.select("rep", "n", "minima").dropDuplicates(["rep", "minima"]).mapInArrow(place, "key binary, rep bigint, n bigint, b0 bigint, b1 bigint")
-    pairs = settle(candidates(placed, percent))
+    pairs, runs = candidates(placed, percent)
+    pairs, runs = settle(pairs), settle(runs)
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = full_sets(docs, classes.join(ends, "rep"), width)
@@ -303,7 +411,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     # Classes that share an id hold together through it.
     shared = signed.where("n > 0").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).where("doc_id != rep").groupBy("doc_id").agg(
         F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.element_at("reps", 1).alias("b"))
-    found = components(settle(links.unionByName(confirm(rest, sets, percent)).unionByName(shared)))
+    links = settle(links.unionByName(confirm(rest, sets, percent)).unionByName(shared))
+    found = components(links)
+    if runs.head(1):
+        found = settle(found)
+        more = crowd_links(docs, signed, classes, runs, found, width, percent)
+        if more is not None:
+            found = components(settle(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")

@@ -84,6 +84,23 @@ def test_large_groups_of_near_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("edits", [(4, 5), (1, 5)])
+def test_star_whose_hub_has_the_largest_id(spark, edits):
+    """300 copies of 0.86 and more to one original, few of them links of each other."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(3, 197), rng.randint(*edits)):
+            words[at] = f"x{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    table = dict(enumerate([*texts, " ".join(base)]))
+    df = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lshforest.near_duplicates(df).collect()}
+    assert got == exact(table)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = lshforest.near_duplicates(odd_docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_docs.collect())
