@@ -4,9 +4,10 @@ Numbers, units after numbers and capitalised names within a sentence become type
 placeholders; the value stays with its placeholder as a slot. Windows of 8 template
 tokens of every document are hash-joined with the windows of the benchmark items
 (an item with fewer tokens is one window). Windows of one document and item on
-the same diagonal form an occurrence; it counts only if its slots are
-consistent: each value of the item always stands for one value of the document.
-An item leaks into a document if consistent occurrences cover at least half of its
+the same diagonal form an occurrence. Its verbatim windows always count; windows with
+changed slots count only if they are consistent: each value of the item always stands
+for one value of the document, that of most windows.
+An item leaks into a document if the windows that count cover at least half of its
 windows. `changed` counts the slots whose values differ: 0 for plain copies, more
 for re-parameterised questions.
 
@@ -78,6 +79,25 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return told
 
 
+def _consistent(held: Column) -> Column:
+    """The windows (wpos, slots) that are verbatim, or whose slots agree with the value that most windows give each item value."""
+    every = F.flatten(F.transform(held, lambda x: x["slots"]))
+    pairs = F.array_distinct(every)
+    steady = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(pairs)
+
+    def chosen(p: Column, counted: Column) -> Column:
+        """No other value of the document has more windows, or as many and goes before: unchanged, then the larger."""
+        def rank(q):
+            return F.struct(q["n"].alias("n"), (q["p"]["i"] == q["p"]["d"]).alias("same"), q["p"]["d"].alias("d"))
+
+        return ~F.exists(counted, lambda q: (q["p"]["i"] == p["p"]["i"]) & (rank(q) > rank(p)))
+
+    counted = F.transform(pairs, lambda p: F.struct(p.alias("p"), F.size(F.filter(every, lambda q: q == p)).alias("n")))
+    kept = F.transform(F.filter(counted, lambda p: chosen(p, counted)), lambda p: p["p"])
+    verbatim = lambda x: F.forall(x["slots"], lambda p: p["i"] == p["d"])
+    return F.when(steady, held).otherwise(F.filter(held, lambda x: verbatim(x) | (F.size(F.array_except(x["slots"], kept)) == 0)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, matched, item_windows, coverage, changed for each leak."""
     windows = settle(item_windows(benchmark, width))
@@ -107,11 +127,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, width: in
     hit = hit.select("doc_id", "item_id", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
 
     # Windows on one diagonal are at most those of the item, so these groups are small.
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")))))
-    found = hit.groupBy("doc_id", "item_id", "diagonal").agg(pairs.alias("pairs"), F.collect_set("wpos").alias("places"))
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    steady_only = found.where(steady).select("doc_id", "item_id", "diagonal", changed.alias("changed"), F.explode("places").alias("wpos"))
+    zipped = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
+    found = hit.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set(F.struct("wpos", zipped.alias("slots"))).alias("held"))
+    held = found.select("doc_id", "item_id", "diagonal", _consistent(F.col("held")).alias("held"))
+    changed = F.size(F.array_distinct(F.flatten(F.transform("held", lambda x: F.filter(x["slots"], lambda p: p["i"] != p["d"])))))
+    steady_only = held.select("doc_id", "item_id", "diagonal", changed.alias("changed"), F.explode("held.wpos").alias("wpos"))
     counted = steady_only.groupBy("doc_id", "item_id").agg(
         F.count_distinct("wpos").alias("matched"), F.min("changed").alias("changed"))
     share = F.col("matched") / F.col("item_windows")

@@ -27,6 +27,14 @@ def test_copies_and_new_parameters(spark):
     assert found(spark, {1: mixed}).get((1, 0)) is None or found(spark, {1: mixed})[1, 0].coverage < 1
 
 
+def test_verbatim_windows_count_beside_inconsistent_ones(spark):
+    rows = found(spark, {1: ITEM.replace("Anna go", "Carl go"), 2: ITEM.replace("45 km", "45 m"),
+                         3: ITEM.replace("Anna Maria", "Bob").replace("Anna go", "Carl go").replace("120", "300")})
+    assert 0.5 <= rows[1, 0].coverage < 1 and rows[1, 0].changed == 0
+    assert 0.5 <= rows[2, 0].coverage < 1 and rows[2, 0].changed == 0
+    assert (3, 0) not in rows or rows[3, 0].coverage < 1
+
+
 def test_short_items_are_one_window(spark):
     rows = found(spark, {1: "so we ask: what is the capital city? yes", 2: "the capital of it"}, [(5, "What is the capital city"), (6, "blank"), (7, None), (8, " "), (9, "7 8 9 10 11")])
     assert set(rows) == {(1, 5)}
