@@ -11,7 +11,13 @@ An item leaks into a document if the windows that count cover at least half of i
 windows. `changed` counts the slots whose values differ: 0 for plain copies, more
 for re-parameterised questions.
 
-Item windows with fewer than 3 plain words say too little and are left out. Null
+Both sides are read in two ways, and an item counts by the way that covers more of it:
+with placeholders for names, and in lower case with names as plain words, so that
+a change of case hides no copy. White space is one blank in both.
+
+Item windows with fewer than 3 plain words say too little and are left out. An item
+with no other windows, mostly numbers, has exact windows instead: of its words and values, names as
+plain words. Null
 and empty texts leak nothing. Rows that share an id are one document. Null ids form
 one document without id. An empty table gives no rows.
 """
@@ -36,12 +42,17 @@ UNITS = ["kilometres", "kilometers", "metres", "meters", "miles", "hours", "minu
 NUMBER = r"(?<![\p{L}\p{N}" + MARK + r"])(\p{N}+(?:[.,:/]\p{N}+)*)"
 
 
-def tokens(text: Column) -> Column:
+NAMED, PLAINLY = 0, 1  # the two ways of reading
+
+
+def tokens(text: Column, way: int = NAMED) -> Column:
     """Lower-case words; a placeholder is the mark, its type (n, u or p) and the value."""
     unit = "|".join(UNITS)
-    out = F.regexp_replace(text, rf"{NUMBER}[ -]?({unit})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
+    text = F.lower(text) if way == PLAINLY else F.regexp_replace(text, r"[\s\p{Z}]+", " ")
+    out = F.regexp_replace(text, rf"{NUMBER}(?:-|[\s\p{{Z}}]*)({unit})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
     out = F.regexp_replace(out, NUMBER, f" {MARK}n$1 ")
-    out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{L}*)(?: \p{Lu}\p{L}*)*", f" {MARK}p$1 ")
+    if way == NAMED:
+        out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{L}*)(?: \p{Lu}\p{L}*)*", f" {MARK}p$1 ")
     return F.regexp_extract_all(F.lower(out), F.lit(rf"{MARK}\S+|[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
@@ -55,28 +66,48 @@ def slots(words: Column, at: Column, width: Column) -> Column:
     return F.transform(marked, lambda w: F.substring(w, F.lit(3), F.length(w)))
 
 
-def _hash(shape: Column, at: Column, width: int) -> Column:
-    return F.xxhash64(F.lit(width), *[F.get(shape, at + k) for k in range(width)])
+def _hash(shape: Column, at: Column, width: int, way: int | Column = NAMED) -> Column:
+    return F.xxhash64(F.lit(width) + 1000 * (F.lit(way) if isinstance(way, int) else way), *[F.get(shape, at + k) for k in range(width)])
+
 
+def _plain(words: Column, at: Column, width) -> Column:
+    return F.size(F.filter(F.slice(words, at + 1, width), lambda w: ~w.startswith(MARK)))
 
-def _window_hashes(shape: Column, width: int) -> Column:
+
+def _window_hashes(words: Column, shape: Column, width: int, way: int) -> Column:
+    """Hashes of all windows; by words and values where too few are plain (read plainly only)."""
     starts = F.sequence(F.lit(0), F.size(shape) - width)
-    return F.when(F.size(shape) >= width, F.transform(starts, lambda i: _hash(shape, i, width))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(starts, lambda i: _hash(shape, i, width, way))
+    if way == PLAINLY:
+        # Only texts with that many placeholders can have a window of too few plain words.
+        least = width - min(PLAIN, width) + 1
+        marked = F.size(F.filter(shape, lambda w: w.startswith(MARK)))
+        hashes = F.when(marked < least, hashes).otherwise(F.transform(starts, lambda i: F.when(
+            _plain(words, i, width) >= min(PLAIN, width), _hash(shape, i, width, way)).otherwise(_hash(words, i, width, way))))
+    return F.when(F.size(shape) >= width, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """hash, item_id, wpos, width, item_slots of every telling window, and the item's number of them."""
-    items = settle(benchmark.select(F.col("item_id"), tokens(whole(F.col("text"))).alias("words"))).where(F.size("words") > 0)
+    """hash, item_id, way, wpos, width, item_slots of every telling window; exact ones for items without any."""
+    read = [benchmark.select("item_id", F.lit(way).alias("way"), tokens(whole(F.col("text")), way).alias("words")) for way in (NAMED, PLAINLY)]
+    items = settle(read[0].unionByName(read[1])).where(F.size("words") > 0)
     items = items.withColumn("shape", template(F.col("words")))
     wide = F.least(F.size("words"), F.lit(width))
-    each = items.select("item_id", "words", "shape", wide.alias("width"), F.explode_outer(F.sequence(F.lit(0), F.size("words") - wide)).alias("wpos"))
-    hashed = F.lit(None).cast("bigint")
-    for w in range(1, width + 1):
-        hashed = F.when(F.col("width") == w, _hash(F.col("shape"), F.col("wpos"), w)).otherwise(hashed)
-    plain = F.size(F.filter(F.slice("shape", F.col("wpos") + 1, F.col("width")), lambda w: ~w.startswith(MARK)))
-    told = each.where(plain >= F.least(F.lit(PLAIN), F.col("width"))).select(
-        hashed.alias("hash"), "item_id", "wpos", "width", slots(F.col("words"), F.col("wpos"), F.col("width")).alias("item_slots"))
-    return told
+    each = items.select("item_id", "way", "words", "shape", wide.alias("width"), F.explode_outer(F.sequence(F.lit(0), F.size("words") - wide)).alias("wpos"))
+
+    def hashed(tokens: str) -> Column:
+        out = F.lit(None).cast("bigint")
+        for w in range(1, width + 1):
+            out = F.when(F.col("width") == w, _hash(F.col(tokens), F.col("wpos"), w, F.col("way"))).otherwise(out)
+        return out
+
+    telling = _plain(F.col("words"), F.col("wpos"), F.col("width")) >= F.least(F.lit(PLAIN), F.col("width"))
+    judged = settle(each.select(hashed("shape").alias("hash"), hashed("words").alias("exact"), "item_id", "way", "wpos", "width", telling.alias("telling"),
+                                slots(F.col("words"), F.col("wpos"), F.col("width")).alias("item_slots")))
+    columns = ["item_id", "way", "wpos", "width", "item_slots"]
+    mute = judged.where(F.col("way") == PLAINLY).groupBy("item_id").agg(F.max("telling").alias("any")).where(~F.col("any")).select(F.col("item_id").alias("mute"))
+    exact = judged.where(F.col("way") == PLAINLY).join(mute, F.col("item_id").eqNullSafe(F.col("mute")), "left_semi")
+    return judged.where("telling").select("hash", *columns).unionByName(exact.select(F.col("exact").alias("hash"), *columns))
 
 
 def _consistent(held: Column) -> Column:
@@ -101,42 +132,49 @@ def _consistent(held: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, matched, item_windows, coverage, changed for each leak."""
     windows = settle(item_windows(benchmark, width))
-    totals = windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    totals = windows.groupBy("item_id", "way").agg(F.count("*").alias("item_windows"))
     size, widths = windows.agg(F.sum(48 + 16 * F.size("item_slots")), F.collect_set("width")).first()
     small = (size or 0) <= BROADCAST_BYTES
 
     # Outer explodes and no filter on the words: either would be pushed below and make them twice.
-    worded = docs.select("doc_id", tokens(whole(F.col("text"))).alias("words"))
-    shaped = worded.withColumn("shape", template(F.col("words")))
     # At most `width` different widths, as items with fewer tokens are one window.
-    hashes = [_window_hashes(F.col("shape"), w) for w in sorted(widths)]
-    listed = shaped.select("doc_id", "words", F.array(*[F.struct(F.lit(w).alias("wide"), h.alias("held")) for w, h in zip(sorted(widths), hashes)]).alias("all")) \
-        if widths else shaped.select("doc_id", "words", F.array().cast("array<struct<wide:int,held:array<bigint>>>").alias("all"))
-    if len(widths) == 1:
-        each = listed.select("doc_id", "words", F.lit(widths[0]).alias("wide"), F.posexplode_outer(F.col("all")[0]["held"]).alias("pos", "hash"))
-    else:
-        each = listed.select("doc_id", "words", F.explode_outer("all").alias("one")).select(
-            "doc_id", "words", F.col("one.wide").alias("wide"), F.posexplode_outer("one.held").alias("pos", "hash"))
-    if small:
-        # The words stay with the window until it is known to match.
-        hit = each.join(F.broadcast(windows.withColumnRenamed("width", "wide")), ["hash", "wide"])
-        hit = hit.withColumn("doc_slots", slots(F.col("words"), F.col("pos"), F.col("wide")))
-    else:
-        each = each.select("doc_id", "wide", "pos", "hash", slots(F.col("words"), F.col("pos"), F.col("wide")).alias("doc_slots"))
-        hit = each.join(windows.withColumnRenamed("width", "wide"), ["hash", "wide"])
-    hit = hit.select("doc_id", "item_id", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
+    def read(way: int) -> DataFrame:
+        worded = docs.select("doc_id", tokens(whole(F.col("text")), way).alias("words"))
+        shaped = worded.withColumn("shape", template(F.col("words")))
+        hashes = [_window_hashes(F.col("words"), F.col("shape"), w, way) for w in sorted(widths)]
+        if not widths:
+            each = shaped.select("doc_id", "words", F.lit(0).alias("wide"), F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("hash"))
+        elif len(widths) == 1:
+            each = shaped.select("doc_id", "words", F.lit(widths[0]).alias("wide"), F.posexplode_outer(hashes[0]).alias("pos", "hash"))
+        else:
+            listed = shaped.select("doc_id", "words", F.array(*[F.struct(F.lit(w).alias("wide"), h.alias("held")) for w, h in zip(sorted(widths), hashes)]).alias("all"))
+            each = listed.select("doc_id", "words", F.explode_outer("all").alias("one")).select(
+                "doc_id", "words", F.col("one.wide").alias("wide"), F.posexplode_outer("one.held").alias("pos", "hash"))
+        own = windows.where(F.col("way") == way).withColumnRenamed("width", "wide")
+        if small:
+            # The words stay with the window until it is known to match.
+            hit = each.join(F.broadcast(own), ["hash", "wide"])
+            hit = hit.withColumn("doc_slots", slots(F.col("words"), F.col("pos"), F.col("wide")))
+        else:
+            each = each.select("doc_id", "wide", "pos", "hash", slots(F.col("words"), F.col("pos"), F.col("wide")).alias("doc_slots"))
+            hit = each.join(own, ["hash", "wide"])
+        return hit.select("doc_id", "item_id", "way", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
+
+    hit = read(NAMED).unionByName(read(PLAINLY))
 
     # Windows on one diagonal are at most those of the item, so these groups are small.
     zipped = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    found = hit.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set(F.struct("wpos", zipped.alias("slots"))).alias("held"))
-    held = found.select("doc_id", "item_id", "diagonal", _consistent(F.col("held")).alias("held"))
+    found = hit.groupBy("doc_id", "item_id", "way", "diagonal").agg(F.collect_set(F.struct("wpos", zipped.alias("slots"))).alias("held"))
+    held = found.select("doc_id", "item_id", "way", "diagonal", _consistent(F.col("held")).alias("held"))
     changed = F.size(F.array_distinct(F.flatten(F.transform("held", lambda x: F.filter(x["slots"], lambda p: p["i"] != p["d"])))))
-    steady_only = held.select("doc_id", "item_id", "diagonal", changed.alias("changed"), F.explode("held.wpos").alias("wpos"))
-    counted = steady_only.groupBy("doc_id", "item_id").agg(
+    steady_only = held.select("doc_id", "item_id", "way", "diagonal", changed.alias("changed"), F.explode("held.wpos").alias("wpos"))
+    counted = steady_only.groupBy("doc_id", "item_id", "way").agg(
         F.count_distinct("wpos").alias("matched"), F.min("changed").alias("changed"))
     share = F.col("matched") / F.col("item_windows")
-    return counted.join(F.broadcast(totals) if small else totals, "item_id").select(
-        "doc_id", "item_id", "matched", "item_windows", share.alias("coverage"), F.col("changed").cast("bigint").alias("changed")).where(F.col("coverage") >= cover)
+    covered = counted.join(F.broadcast(totals) if small else totals, ["item_id", "way"]).select(
+        "doc_id", "item_id", "way", "matched", "item_windows", share.alias("coverage"), F.col("changed").cast("bigint").alias("changed")).where(F.col("coverage") >= cover)
+    best = F.max_by(F.struct("matched", "item_windows", "coverage", "changed"), F.struct("coverage", F.negative("changed"), F.negative("way")))
+    return covered.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

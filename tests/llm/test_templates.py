@@ -35,6 +35,15 @@ def test_verbatim_windows_count_beside_inconsistent_ones(spark):
     assert (3, 0) not in rows or rows[3, 0].coverage < 1
 
 
+def test_case_white_space_and_numbers_hide_no_copy(spark):
+    german = "Der Zug verlässt den Bahnhof und fährt mit Anna zur Küste, während der Bus am Markt auf Otto und seine Freunde wartet."
+    numbers = "12 15 18 21 24 27 30 33 36 39"
+    rows = found(spark, {3: ITEM.upper(), 6: ITEM.replace(" ", "  \n"), 8: german.lower(), 9: f"so {numbers} it goes", 10: numbers.replace("2", "7")},
+                 [(0, ITEM), (1, german), (2, numbers)])
+    assert set(rows) == {(3, 0), (6, 0), (8, 1), (9, 2)}
+    assert all(r.coverage == 1 and r.changed == 0 for r in rows.values())
+
+
 def test_short_items_are_one_window(spark):
     rows = found(spark, {1: "so we ask: what is the capital city? yes", 2: "the capital of it"}, [(5, "What is the capital city"), (6, "blank"), (7, None), (8, " "), (9, "7 8 9 10 11")])
     assert set(rows) == {(1, 5)}
