@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import bitplanes, bytenet, fingerprints, lshforest, packing, pitmanyor, secrets, sharding, templates, toxicity
+from . import bitplanes, bytenet, fingerprints, lshforest, packing, pitmanyor, runs, secrets, sharding, spelling, templates, toxicity, warc
 from .base import default_tokenizer, fold, table, whole
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +93,74 @@ def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 10) == 0
     scored = pitmanyor.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_multiscale_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs)
+    best = runs.longest_run(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op13_splittable_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select(warc.row_id(F.col("record_id")).alias("page_id"), "payload_bytes", F.substring("payload_digest", 6, 32).alias("payload_digest"),
+                       F.col("type").alias("record_type"), warc.row_id(F.col("refers_to")).alias("refers_to"))
+
+
+# DuckDB has no crc32 and measures edits in bytes: the table of crc32 comes from its rule, and words one
+# edit apart share the rest when one character each is taken away at the same place, or one is
+# the other less a character.
+ORACLES["op12_variable_grams"] = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents) GROUP BY ALL),
+coded AS (
+  SELECT run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(x)::BIGINT, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS h
+  FROM coded, crc_table),
+vocabulary AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+shorter AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM vocabulary, LATERAL (SELECT unnest(range(length(word))) AS i)),
+pairs AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM shorter x JOIN shorter y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM shorter x JOIN vocabulary y ON x.rest = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM shorter x JOIN vocabulary y ON x.rest = y.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+near AS (SELECT word, n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM ranked WHERE r = 1),
+paths AS (
+  SELECT word, form AS reached, 1 AS steps FROM near WHERE form IS NOT NULL
+  UNION ALL SELECT p.word, f.form, p.steps + 1 FROM paths p JOIN near f ON p.reached = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, steps) AS root FROM paths GROUP BY word)
+SELECT v.word, near.form, coalesce(ends.root, v.word) AS root, v.n, coalesce(near.n_near, 0)::BIGINT AS n_near, near.form_n
+FROM vocabulary v LEFT JOIN near ON v.word = near.word LEFT JOIN ends ON v.word = ends.word"""
+
+ORACLES["op13_splittable_reader"] = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM hashed)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::BIGINT + 1, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts"""
