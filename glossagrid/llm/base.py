@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
+
 END_ID = 1
 CACHED_WORDS = 400_000
 ROWS_AT_ONCE = 500
@@ -33,6 +35,26 @@ def unsigned(ids: Column) -> Column:
     return F.crc32(ids)
 
 
+class Rounds:
+    """Tables of an iteration in the shared folder; those no round needs any more can go."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Like session.settle."""
+        self.paths.append(scratch_path(self.spark, "round"))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self, keep: int) -> None:
+        """Delete all but the last `keep` tables."""
+        for path in self.paths[:len(self.paths) - keep]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        del self.paths[:len(self.paths) - keep]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
+from .base import Rounds
 
 
 ROWS_PER_FILE = 500_000
@@ -17,11 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain. Only distinct links are
     kept, and minima are pre-aggregated, so a node with very many links is no load.
     """
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    rounds = Rounds(links.sparkSession)
+    edges = rounds.settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     # Each round writes tables; a few links are not worth a file per shuffle partition.
     parts = max(4, edges.count() // ROWS_PER_FILE)
     few = parts < int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = (lambda df: settle(df.coalesce(parts))) if few else settle
+    kept = (lambda df: rounds.settle(df.coalesce(parts))) if few else rounds.settle
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = kept(large.join(small, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
             .where("u != v").distinct())
+        rounds.drop(1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

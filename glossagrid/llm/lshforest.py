@@ -10,9 +10,13 @@ some tree shows for all but about 1 in 100,000 links of the asked similarity
 
 Crowded runs whose sets are not all in one component by then are gone through again.
 A hub, the set nearest to the majority of the run's bits, meets every set
-of another component, as often as that links more; then each set outside the run's largest
-component meets all sets of other components. So every pair that shares the
-least depth is compared or in one component already.
+of another component, as often as that links more. What is then outside the hub's component is
+told apart by its differences from the hub: two sets that share c and d elements with it
+have at most min(c, d) common elements there, so a link needs either a shared element
+that the hub lacks, or sizes so close to these counts that no other is needed. The first are met by
+the rarest such elements (as many as the missing common elements leave), the second by size. So
+every pair that shares the least depth is compared, excluded by its differences, or in one
+component already, and no run's pairs are ever listed.
 
 Candidates of hopeless size ratio or estimate are dropped, and every link is
 confirmed on the full sets. Equal sets are one class from the start. Confirmation
@@ -33,10 +37,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import lookup_side, settle
-from .base import WordHashes, slices
+from .base import Rounds, WordHashes, slices
 from .components import components
 
 MINIMA = 128
@@ -46,11 +50,16 @@ MISSED = 1.1e-5
 NEAR = 16
 CLOSE = 2
 HUBS = 6  # hub rounds at most; what they leave open is compared pair by pair
-BITS_AGREE = 96  # of 128 lowest bits: a link of similarity 0.85 has 118 +- 3.
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def bits_agree(percent: int) -> int:
+    """Of the 128 lowest bits those that agree in all but about one in a million links: five deviations below the mean."""
+    s = percent / 100
+    return int(64 * (1 + s) - 5 * (32 * (1 - s * s)) ** 0.5)
+
+
 def least_depth(percent: int) -> int:
     fits = [d for d in range(1, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED]
     return max(fits, default=1)
@@ -149,7 +158,7 @@ class Walk:
     """Goes along a sorted order, keeping the last rows and the first row of each run."""
 
     def __init__(self, percent: int):
-        self.percent, self.least, self.kept = percent, least_depth(percent), None
+        self.percent, self.least, self.bits, self.kept = percent, least_depth(percent), bits_agree(percent), None
         self.leaders: dict[int, tuple] = {}
         self.crowded: list[bytes] = []  # prefixes of runs seen beyond NEAR in the last step
 
@@ -201,7 +210,7 @@ class Walk:
     def _pairs(self, joined, at, other):
         rep, n, b0, b1 = (c[at] for c in joined[1:])
         agree = _agreement((b0, b1), (other[2], other[3]))
-        keep = (100 * np.minimum(n, other[1]) >= self.percent * np.maximum(n, other[1])) & (agree >= BITS_AGREE) & (rep != other[0])
+        keep = (100 * np.minimum(n, other[1]) >= self.percent * np.maximum(n, other[1])) & (agree >= self.bits) & (rep != other[0])
         return np.minimum(rep, other[0])[keep], np.maximum(rep, other[0])[keep], agree[keep].astype(np.int32)
 
 
@@ -309,7 +318,7 @@ def _agree(one: str, other: str) -> Column:
 
 def _meet(crowd: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     """Pairs of a set of the crowd and one of the few in the same run that may be links of two components."""
-    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agree("x", "y") >= BITS_AGREE)
+    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agree("x", "y") >= bits_agree(percent))
     met = crowd.alias("x").join(lookup_side(few, 64).alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.comp") != F.col("y.comp")) & near)
     first = F.col("x.rep") < F.col("y.rep")
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), _agree("x", "y").alias("agree"),
@@ -339,6 +348,55 @@ def _outside(crowd: DataFrame) -> DataFrame:
     return crowd.join(lookup_side(largest, 24), ["run", "comp"], "left_anti")
 
 
+def _differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, nh, hub_comp, rep, n, comp, c (elements shared with the hub) and extra (those it lacks)."""
+    hubs = settle(_hubs(crowd).select("run", F.col("rep").alias("hub"), F.col("n").alias("nh"), F.col("comp").alias("hub_comp")))
+    members = crowd.join(lookup_side(hubs), "run").select("hub", "nh", "hub_comp", "rep", "n", "comp").distinct()
+    hub_sets = lookup_side(sets.join(lookup_side(hubs.select("hub").distinct(), 16), F.col("rep") == F.col("hub"), "left_semi").select(
+        F.col("rep").alias("hub"), F.col("held").alias("hub_held")))
+
+    @F.pandas_udf("c bigint, extra array<bigint>")
+    def beside(held: pd.Series, hub: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, h in zip(held, hub):
+            own, other = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+            at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+            extra = own[other[at] != own]
+            out.append((len(own) - len(extra), extra.view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["c", "extra"])
+
+    both = members.join(sets, "rep").join(hub_sets, "hub").withColumn("d", beside("held", "hub_held"))
+    return settle(both.select("hub", "nh", "hub_comp", "rep", "n", "comp", "d.c", "d.extra"))
+
+
+def _by_differences(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components of the crowd that may be links; see the head of this module."""
+    told = _differences(crowd, sets)
+    joins = 100 * F.col("c") >= percent * (F.col("n") + F.col("nh") - F.col("c"))
+    hub_links = told.where(joins & (F.col("comp") != F.col("hub_comp"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    told = told.withColumn("comp", F.when(joins, F.col("hub_comp")).otherwise(F.col("comp")))
+    # A link's other set has at least percent n elements, so this many common ones are beyond the hub.
+    beyond = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.col("c"))
+    each = told.where(F.size("extra") >= beyond).select("hub", "rep", "n", "comp", (F.size("extra") - beyond + 1).alias("met"), F.explode("extra").alias("e"))
+    held = each.groupBy("hub", "e", "comp").count().groupBy("hub", "e").agg(
+        F.sum("count").alias("held"), F.max_by("comp", F.struct("count", F.negative("comp"))).alias("most"), F.count("*").alias("comps"))
+    # Elements of one component only fill the first places and meet nothing.
+    placed = each.join(held.where("comps > 1").drop("comps"), ["hub", "e"], "left").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("held", F.lit(0)), "e")))
+    first = settle(placed.where((F.col("rank") <= F.col("met")) & F.col("held").isNotNull()).select("hub", "e", "rep", "n", "comp", "most"))
+    ratio = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # Of two components that share an element, one is not its largest.
+    shared = first.where("comp != most").alias("x").join(first.alias("y"), ["hub", "e"]).where(ratio & (F.col("x.comp") != F.col("y.comp")))
+    # Without such elements: sizes up to what the shared counts allow.
+    most = F.floor((100 + percent) * F.col("c") / percent) - F.col("n")
+    least = F.ceil(percent * F.col("n") / 100)
+    sized = told.where((F.col("comp") != F.col("hub_comp")) & (most >= least)).select("hub", "rep", "n", "comp", F.explode(F.sequence(least, most)).alias("size"))
+    close = sized.alias("x").join(told.select("hub", "rep", F.col("n").alias("size"), "comp", "c").alias("y"), ["hub", "size"]).where(
+        (F.col("x.comp") != F.col("y.comp")) & ((100 + percent) * F.col("y.c") >= percent * (F.col("size") + F.col("x.n"))))
+    found = [d.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")) for d in (shared, close)]
+    return found[0].unionByName(found[1]).unionByName(hub_links).distinct()
+
+
 def crowd_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, runs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links (a, b) that join what `found` leaves apart in the crowded runs; None if nothing is apart."""
     keys = signed.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "minima").mapInArrow(
@@ -349,15 +407,18 @@ def crowd_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, runs: Da
     crowd = members.join(named, "rep", "left").select("run", "rep", "n", "b0", "b1", F.coalesce("component", "rep").alias("comp"))
 
     def apart(crowd: DataFrame) -> DataFrame:
-        crowd = settle(crowd)
+        crowd = kept.settle(crowd)
         several = crowd.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("run")
-        return settle(crowd.join(lookup_side(several, 16), "run", "left_semi"))
+        left = kept.settle(crowd.join(lookup_side(several, 16), "run", "left_semi"))
+        kept.drop(1)
+        return left
 
     def joined(links: DataFrame, pairs: DataFrame) -> DataFrame:
         """(comp, component) of the components that the links join."""
         over = links.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
         return components(settle(over)).withColumnRenamed("node", "comp")
 
+    kept = Rounds(docs.sparkSession)
     crowd, links, sets = apart(crowd), None, None
     for turn in range(HUBS):
         rows = crowd.count()
@@ -374,17 +435,7 @@ def crowd_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, runs: Da
             break
         links = more if links is None else links.unionByName(more)
         crowd = apart(crowd.join(lookup_side(joined(more, pairs), 16), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"))
-    # Every pair left, best partners first.
-    pairs = settle(_meet(crowd, _outside(crowd), percent))
-    best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(
-        F.max(F.struct("agree", F.negative("a").alias("x"), F.negative("b").alias("y"))).alias("m"))
-    first = settle(best.select(F.negative("m.x").alias("a"), F.negative("m.y").alias("b")).distinct())
-    more = settle(confirm(first, sets, percent))
-    now = settle(joined(more, pairs))
-    for side in ("a", "b"):
-        pairs = pairs.join(now.select(F.col("comp").alias(f"comp_{side}"), F.col("component").alias(f"of_{side}")), f"comp_{side}", "left")
-    rest = pairs.where(F.coalesce("of_a", "comp_a") != F.coalesce("of_b", "comp_b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = more.unionByName(settle(confirm(rest, sets, percent)))
+    more = settle(confirm(settle(_by_differences(crowd, sets, percent)), sets, percent))
     return more if links is None else links.unionByName(more)
 
 

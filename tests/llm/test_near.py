@@ -101,6 +101,60 @@ def test_star_whose_hub_has_the_largest_id(spark, edits):
     assert got == exact(table)
 
 
+def test_boilerplate_without_links_lists_few_pairs(spark, monkeypatch):
+    """2000 texts that share two thirds and no links, beside copies too far from their original: no pairs of the whole run."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(90)]
+    texts = [" ".join([*common, *(f"{k}o{i}" for i in range(45))]) for k in range(2000)]
+    base = [f"b{k}" for k in range(150)]
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(3, 147), rng.randint(1, 12)):
+            words[at] = f"x{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    table = dict(enumerate(texts))
+    listed = []
+    pairs_of = lshforest._by_differences
+
+    def counted(*a):
+        pairs = pairs_of(*a)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(lshforest, "_by_differences", counted)
+    df = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lshforest.near_duplicates(df).collect()}
+    assert got == exact({i: t for i, t in table.items() if i >= 2000}) | {i: (133, i) for i in range(2000)}
+    assert listed and sum(listed) < 20 * len(texts)
+
+
+def test_sets_meet_beyond_the_hub(spark):
+    """Sub-groups of a crowded run that share what its hub lacks, and smaller sets that need nothing beyond it."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(200)]
+    texts = [" ".join(base)] * 1
+    for g in range(40):
+        own = list(base)
+        for at in rng.sample(range(5, 195), 9):
+            own[at] = f"g{g}w{at}"
+        for _ in range(3):
+            words = list(own)
+            words[rng.randrange(5, 195)] = f"x{rng.randrange(10 ** 9)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(base[:k]) for k in range(120, 200, 3)] + [" ".join(base[k:]) for k in range(1, 60, 4)]
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 195), rng.randint(5, 8)):
+            words[at] = f"y{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    table = dict(enumerate(texts))
+    df = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    for width, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in lshforest.near_duplicates(df, width, percent).collect()}
+        assert got == exact(table, width, percent)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = lshforest.near_duplicates(odd_docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_docs.collect())
