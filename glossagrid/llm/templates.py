@@ -12,8 +12,13 @@ windows. `changed` counts the slots whose values differ: 0 for plain copies, mor
 for re-parameterised questions.
 
 Both sides are read in two ways, and an item counts by the way that covers more of it:
-with placeholders for names, and in lower case with names as plain words, so that
-a change of case hides no copy. White space is one blank in both.
+with placeholders for names (some in a row are one, with the first's value), and in lower case with
+names as plain words, so that a change of case hides no copy. White space is one blank in
+both. A text is split once. Every item window has an anchor, the rarest of its plain words (of its
+tokens, if none is plain), and only windows around a token that is an anchor are hashed; of these only
+such leave the text's row whose hash is in a bit set of the items' windows. So work grows with the
+text's length. Which words are rare is told by the first `GUIDE` documents; that choice changes
+the time taken and never the result.
 
 Item windows with fewer than 3 plain words say too little and are left out. An item
 with no other windows, mostly numbers, has exact windows instead: of its words and values, names as
@@ -33,78 +38,116 @@ from .base import whole
 WINDOW = 8
 PLAIN = 3
 COVER = 0.5
-MARK = "\x01"
+MARK, UNIT = "\x01", "\x02"
+GUIDE = 2000
+BITS = 1 << 20  # of each set of item hashes; more hashes only let more windows through to the join
 
 # Units of measure that may follow a number.
 UNITS = ["kilometres", "kilometers", "metres", "meters", "miles", "hours", "minutes", "seconds", "days", "weeks", "months", "years",
          "dollars", "euros", "cents", "percent", "grams", "kilograms", "litres", "liters",
          "km", "cm", "mm", "kg", "mg", "ml", "mph", "kwh", "m", "g", "l", "h", "s"]
-NUMBER = r"(?<![\p{L}\p{N}" + MARK + r"])(\p{N}+(?:[.,:/]\p{N}+)*)"
+NAMED, PLAINLY = 0, 1  # the two ways of reading
+_HITS = "array<struct<way:int,wide:int,pos:int,hash:bigint,doc_slots:array<string>>>"
 
 
-NAMED, PLAINLY = 0, 1  # the two ways of reading
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def tokens(text: Column, way: int = NAMED) -> Column:
-    """Lower-case words; a placeholder is the mark, its type (n, u or p) and the value."""
+def tokens(text: Column) -> Column:
+    """Lower-case words; numbers are the mark, n and the value, names the mark, p and the word, units their mark and the unit.
+
+    A name that goes on from the one before has q for p.
+    """
     unit = "|".join(UNITS)
-    text = F.lower(text) if way == PLAINLY else F.regexp_replace(text, r"[\s\p{Z}]+", " ")
-    out = F.regexp_replace(text, rf"{NUMBER}(?:-|[\s\p{{Z}}]*)({unit})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
-    out = F.regexp_replace(out, NUMBER, f" {MARK}n$1 ")
+    out = F.regexp_replace(text, r"[\s\p{Z}]+", " ")
+    out = F.regexp_replace(out, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}])(\p{{N}}+(?:[.,:/]\p{{N}}+)*)(?:[- ]?((?i:{unit}))(?![\p{{L}}\p{{N}}]))?", f" {MARK}n$1 {UNIT}$2 ")
+    out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )", f"{MARK}q")
+
+    def headed(words: Column) -> Column:
+        apart = lambda w: w.startswith(",") | w.startswith(";")
+        name = lambda w: w.startswith(f"{MARK}q") | apart(w)
+        head = lambda w, i: apart(w) | (i == 0) | ~name(F.get(words, i - 1))
+        bare = lambda w: F.substring(w, F.when(apart(w), 5).otherwise(3), F.length(w))
+        return F.transform(words, lambda w, i: F.when(~name(w), w).otherwise(F.concat(F.when(head(w, i), F.lit(f"{MARK}p")).otherwise(F.lit(f"{MARK}q")), bare(w))))
+
+    def split(marked: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(marked), F.lit(rf"(?:[,;] )?{MARK}q[\p{{L}}\p{{N}}]+|{MARK}n\S+|{UNIT}\S+|[\p{{L}}\p{{N}}]+"), F.lit(0))
+        # Texts without names need no second look.
+        return F.when(F.contains(marked, F.lit(f"{MARK}q")), _let(found, headed)).otherwise(found)
+
+    return _let(out, split)
+
+
+def reading(words: Column, way: int) -> Column:
+    """The tokens as one way reads them."""
     if way == NAMED:
-        out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{L}*)(?: \p{Lu}\p{L}*)*", f" {MARK}p$1 ")
-    return F.regexp_extract_all(F.lower(out), F.lit(rf"{MARK}\S+|[\p{{L}}\p{{N}}]+"), F.lit(0))
+        return F.filter(words, lambda w: ~w.startswith(f"{MARK}q"))
+    return F.transform(words, lambda w: F.when(w.startswith(f"{MARK}p") | w.startswith(f"{MARK}q"), F.substring(w, F.lit(3), F.length(w))).otherwise(w))
 
 
-def template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
+def _marked(w: Column) -> Column:
+    return w < "\x03"
 
 
-def slots(words: Column, at: Column, width: Column) -> Column:
-    """Values of the placeholders of a window, in order."""
-    marked = F.filter(F.slice(words, at + 1, width), lambda w: w.startswith(MARK))
-    return F.transform(marked, lambda w: F.substring(w, F.lit(3), F.length(w)))
+def _shape(w: Column) -> Column:
+    """A token's hash; a placeholder's is that of its type."""
+    return F.xxhash64(F.when(_marked(w), F.when(w.startswith(UNIT), UNIT).otherwise(F.substring(w, 1, 2))).otherwise(w))
 
 
-def _hash(shape: Column, at: Column, width: int, way: int | Column = NAMED) -> Column:
-    return F.xxhash64(F.lit(width) + 1000 * (F.lit(way) if isinstance(way, int) else way), *[F.get(shape, at + k) for k in range(width)])
+def slots(words: Column, at: Column, width: Column | int) -> Column:
+    """Values of the placeholders of a window, in order."""
+    marked = F.filter(F.slice(words, at + 1, width), _marked)
+    return F.transform(marked, lambda w: F.substring(w, F.when(w.startswith(UNIT), 2).otherwise(3), F.length(w)))
 
 
 def _plain(words: Column, at: Column, width) -> Column:
-    return F.size(F.filter(F.slice(words, at + 1, width), lambda w: ~w.startswith(MARK)))
+    return F.size(F.filter(F.slice(words, at + 1, width), lambda w: ~_marked(w)))
+
+
+def window_hash(hashes: Column, at: Column, width: int, way: int) -> Column:
+    """The hash of one window of token hashes."""
+    return F.xxhash64(F.lit(width + 1000 * way), *[F.get(hashes, at + k) for k in range(width)])
+
+
+def _telling_tokens(words: Column) -> Column:
+    """(t, named): hashes of the plain tokens, or of all if none is plain, and of the same words in names."""
+    plain = F.filter(words, lambda w: ~_marked(w))
+    named = lambda w: F.array(*[F.xxhash64(F.concat(F.lit(MARK + kind), w)) for kind in "pq"])
+    return F.transform(F.when(F.size(plain) > 0, plain).otherwise(words), lambda w: F.struct(F.xxhash64(w).alias("t"), named(w).alias("named")))
 
 
-def _window_hashes(words: Column, shape: Column, width: int, way: int) -> Column:
-    """Hashes of all windows; by words and values where too few are plain (read plainly only)."""
-    starts = F.sequence(F.lit(0), F.size(shape) - width)
-    hashes = F.transform(starts, lambda i: _hash(shape, i, width, way))
-    if way == PLAINLY:
-        # Only texts with that many placeholders can have a window of too few plain words.
-        least = width - min(PLAIN, width) + 1
-        marked = F.size(F.filter(shape, lambda w: w.startswith(MARK)))
-        hashes = F.when(marked < least, hashes).otherwise(F.transform(starts, lambda i: F.when(
-            _plain(words, i, width) >= min(PLAIN, width), _hash(shape, i, width, way)).otherwise(_hash(words, i, width, way))))
-    return F.when(F.size(shape) >= width, hashes).otherwise(F.array().cast("array<bigint>"))
+def anchors(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(anchor): of each window's tokens the one that the first documents have least."""
+    first = docs.select("text").limit(GUIDE).select(F.explode(_let(tokens(whole(F.col("text"))), lambda w: reading(w, PLAINLY))).alias("w"))
+    counts = first.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
+    each = windows.select("hash", F.explode("tokens").alias("x")).select("hash", "x.*").distinct()
+    rare = F.min_by(F.struct("t", "named"), F.struct(F.coalesce("n", F.lit(0)), "t")).alias("a")
+    chosen = each.join(F.broadcast(counts), "t", "left").groupBy("hash").agg(rare)
+    return settle(chosen.select(F.explode(F.concat(F.array("a.t"), "a.named")).alias("anchor")).distinct())
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """hash, item_id, way, wpos, width, item_slots of every telling window; exact ones for items without any."""
-    read = [benchmark.select("item_id", F.lit(way).alias("way"), tokens(whole(F.col("text")), way).alias("words")) for way in (NAMED, PLAINLY)]
-    items = settle(read[0].unionByName(read[1])).where(F.size("words") > 0)
-    items = items.withColumn("shape", template(F.col("words")))
+    split = settle(benchmark.select("item_id", tokens(whole(F.col("text"))).alias("words")))
+    read = [split.select("item_id", F.lit(way).alias("way"), reading(F.col("words"), way).alias("words")) for way in (NAMED, PLAINLY)]
+    items = settle(read[0].unionByName(read[1]).where(F.size("words") > 0))
     wide = F.least(F.size("words"), F.lit(width))
-    each = items.select("item_id", "way", "words", "shape", wide.alias("width"), F.explode_outer(F.sequence(F.lit(0), F.size("words") - wide)).alias("wpos"))
+    each = items.select("item_id", "way", "words", F.transform("words", _shape).alias("shapes"), F.transform("words", lambda w: F.xxhash64(w)).alias("values"),
+                        wide.alias("width"), F.explode_outer(F.sequence(F.lit(0), F.size("words") - wide)).alias("wpos"))
 
-    def hashed(tokens: str) -> Column:
+    def hashed(of: str) -> Column:
         out = F.lit(None).cast("bigint")
-        for w in range(1, width + 1):
-            out = F.when(F.col("width") == w, _hash(F.col(tokens), F.col("wpos"), w, F.col("way"))).otherwise(out)
+        for way in (NAMED, PLAINLY):
+            for w in range(1, width + 1):
+                out = F.when((F.col("way") == way) & (F.col("width") == w), window_hash(F.col(of), F.col("wpos"), w, way)).otherwise(out)
         return out
 
     telling = _plain(F.col("words"), F.col("wpos"), F.col("width")) >= F.least(F.lit(PLAIN), F.col("width"))
-    judged = settle(each.select(hashed("shape").alias("hash"), hashed("words").alias("exact"), "item_id", "way", "wpos", "width", telling.alias("telling"),
-                                slots(F.col("words"), F.col("wpos"), F.col("width")).alias("item_slots")))
-    columns = ["item_id", "way", "wpos", "width", "item_slots"]
+    judged = settle(each.select(hashed("shapes").alias("hash"), hashed("values").alias("exact"), "item_id", "way", "wpos", "width", telling.alias("telling"),
+                                _telling_tokens(F.slice("words", F.col("wpos") + 1, F.col("width"))).alias("tokens"), slots(F.col("words"), F.col("wpos"), F.col("width")).alias("item_slots")))
+    columns = ["item_id", "way", "wpos", "width", "tokens", "item_slots"]
     mute = judged.where(F.col("way") == PLAINLY).groupBy("item_id").agg(F.max("telling").alias("any")).where(~F.col("any")).select(F.col("item_id").alias("mute"))
     exact = judged.where(F.col("way") == PLAINLY).join(mute, F.col("item_id").eqNullSafe(F.col("mute")), "left_semi")
     return judged.where("telling").select("hash", *columns).unionByName(exact.select(F.col("exact").alias("hash"), *columns))
@@ -131,36 +174,57 @@ def _consistent(held: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, matched, item_windows, coverage, changed for each leak."""
-    windows = settle(item_windows(benchmark, width))
-    totals = windows.groupBy("item_id", "way").agg(F.count("*").alias("item_windows"))
-    size, widths = windows.agg(F.sum(48 + 16 * F.size("item_slots")), F.collect_set("width")).first()
+    listed = settle(item_windows(benchmark, width))
+    totals = listed.groupBy("item_id", "way").agg(F.count("*").alias("item_windows"))
+    size, widths = listed.agg(F.sum(48 + 16 * F.size("item_slots")), F.collect_set("width")).first()
     small = (size or 0) <= BROADCAST_BYTES
 
-    # Outer explodes and no filter on the words: either would be pushed below and make them twice.
-    # At most `width` different widths, as items with fewer tokens are one window.
-    def read(way: int) -> DataFrame:
-        worded = docs.select("doc_id", tokens(whole(F.col("text")), way).alias("words"))
-        shaped = worded.withColumn("shape", template(F.col("words")))
-        hashes = [_window_hashes(F.col("words"), F.col("shape"), w, way) for w in sorted(widths)]
-        if not widths:
-            each = shaped.select("doc_id", "words", F.lit(0).alias("wide"), F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("hash"))
-        elif len(widths) == 1:
-            each = shaped.select("doc_id", "words", F.lit(widths[0]).alias("wide"), F.posexplode_outer(hashes[0]).alias("pos", "hash"))
-        else:
-            listed = shaped.select("doc_id", "words", F.array(*[F.struct(F.lit(w).alias("wide"), h.alias("held")) for w, h in zip(sorted(widths), hashes)]).alias("all"))
-            each = listed.select("doc_id", "words", F.explode_outer("all").alias("one")).select(
-                "doc_id", "words", F.col("one.wide").alias("wide"), F.posexplode_outer("one.held").alias("pos", "hash"))
-        own = windows.where(F.col("way") == way).withColumnRenamed("width", "wide")
-        if small:
-            # The words stay with the window until it is known to match.
-            hit = each.join(F.broadcast(own), ["hash", "wide"])
-            hit = hit.withColumn("doc_slots", slots(F.col("words"), F.col("pos"), F.col("wide")))
-        else:
-            each = each.select("doc_id", "wide", "pos", "hash", slots(F.col("words"), F.col("pos"), F.col("wide")).alias("doc_slots"))
-            hit = each.join(own, ["hash", "wide"])
-        return hit.select("doc_id", "item_id", "way", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
-
-    hit = read(NAMED).unionByName(read(PLAINLY))
+    def bit_set(held: DataFrame, name: str):
+        """A test of hashes against a set; at most BITS / 64 rows are collected, and the literal is folded once."""
+        word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int")
+        known = {r.word: r.bits for r in held.groupBy(word(F.col(name)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({name} & 63))")).alias("bits")).collect()}
+        bits = F.from_json(F.lit("[" + ",".join(str(known.get(k, 0)) for k in range(BITS // 64)) + "]"), "array<bigint>")
+        return lambda h: F.getbit(F.get(bits, word(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    anchor, window = bit_set(anchors(listed, docs), "anchor"), bit_set(listed, "hash")
+
+    def anchored(words: Column) -> Column:
+        return F.filter(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h, j: F.when(anchor(h), j)), lambda j: j.isNotNull())
+
+    def hits(words: Column, at: Column, way: int, wide: int) -> Column:
+        def named(i: Column) -> Column:
+            hashed = F.xxhash64(F.lit(wide + 1000 * way), *[_shape(F.get(words, i + k)) for k in range(wide)])
+            if way == PLAINLY:
+                values = F.xxhash64(F.lit(wide + 1000 * way), *[F.xxhash64(F.get(words, i + k)) for k in range(wide)])
+                hashed = F.when(_plain(words, i, wide) >= min(PLAIN, wide), hashed).otherwise(values)
+            return F.struct(i.alias("pos"), hashed.alias("hash"))
+
+        last = F.size(words) - wide
+        starts = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(j - (wide - 1), j)))), lambda i: (i >= 0) & (i <= last))
+        picked = F.filter(F.transform(starts, named), lambda x: window(x["hash"]))
+        return F.transform(picked, lambda x: F.struct(F.lit(way).alias("way"), F.lit(wide).alias("wide"), x["pos"].alias("pos"), x["hash"].alias("hash"),
+                                                      slots(words, x["pos"], wide).alias("doc_slots")))
+
+    none = F.array().cast(_HITS)
+
+    def both(x: Column, at: Column, way: int) -> Column:
+        return F.concat(none, *[hits(x, at, way, w) for w in sorted(widths)])
+
+    def matched(words: Column) -> Column:
+        """An anchor of either way stands among the tokens, as a word of a name perhaps."""
+        def around(at: Column) -> Column:
+            named = F.exists(words, lambda w: w.startswith(f"{MARK}p"))
+            plain = _let(reading(words, PLAINLY), lambda x: both(x, at, PLAINLY))
+            one = _let(reading(words, NAMED), lambda x: _let(anchored(x), lambda on: both(x, on, NAMED)))
+            return F.when(F.size(at) == 0, none).when(named, F.concat(plain, one)).otherwise(F.concat(both(words, at, PLAINLY), both(words, at, NAMED)))
+
+        return _let(anchored(words), around)
+
+    # Outer, as an inner explode would become a filter below it and read the texts twice.
+    each = docs.select("doc_id", F.explode_outer(_let(tokens(whole(F.col("text"))), matched)).alias("h")).select("doc_id", "h.*")
+    own = listed.drop("tokens").withColumnRenamed("width", "wide")
+    hit = each.join(F.broadcast(own) if small else own, ["hash", "wide", "way"]).select(
+        "doc_id", "item_id", "way", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
 
     # Windows on one diagonal are at most those of the item, so these groups are small.
     zipped = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
