@@ -6,8 +6,11 @@ has no row, which is written <absent> in reports.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
@@ -24,48 +27,81 @@ def _unquoted(value: Column) -> Column:
     return F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])
 
 
-def nesting(document: Column) -> Column:
-    """How many maps lie within one another in JSON text (maps in lists count too)."""
-    bare = F.regexp_replace(document, r'"(?:[^"\\]++|\\.)*+"', "")
-    steps = F.transform(F.split(F.regexp_replace(bare, r"[^{}]", ""), ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(steps, start, lambda s, x: F.struct(
-        (s["now"] + x).alias("now"), F.greatest(s["top"], s["now"] + x).alias("top")), lambda s: s["top"])
+class _Number(str):
+    """A number as the document writes it."""
+
+
+def _scientific(value: float) -> str:
+    """A double as Java writes it."""
+    if value == 0 or 1e-3 <= abs(value) < 1e7:
+        return repr(value) if "e" not in repr(value) else format(Decimal(repr(value)), "f")
+    scaled = Decimal(repr(value)).normalize()
+    sign, figures, _ = scaled.as_tuple()
+    whole = "".join(map(str, figures))
+    return f"{'-' * sign}{whole[0]}.{whole[1:] or '0'}E{scaled.adjusted()}"
+
+
+def _number(text: str, alone: bool) -> str:
+    """Decimals without needless zeros; alone, one without fraction keeps its point, so 0.0 and 0 stay apart."""
+    figures = sum(c.isdigit() for c in text)
+    if "e" in text or "E" in text or "." in text and figures > 38 or figures > 39:
+        return _scientific(float(text))
+    if "." not in text:
+        return str(int(text))
+    plain = format(Decimal(text), "f").rstrip("0").rstrip(".")
+    plain = "0" if plain in ("-0", "") else plain
+    return plain + ".0" if alone and "." not in plain else plain
+
+
+def _json(value, alone: bool = False) -> str:
+    """Compact JSON text with sorted keys."""
+    if isinstance(value, _Number):
+        return _number(value, alone)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _unique(pairs: list) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a document names a key twice")
+    return found
+
+
+def _walk(text: str | None, depth: int | None, sections: Sequence[str] | None) -> list[dict]:
+    """The entries of one document: maps open into theirs, all else is a value."""
+    if text is None:
+        return [] if sections is not None else [{"key": "", "value": None}]
+    out, stack = [], [("", json.loads(text, parse_int=_Number, parse_float=_Number, object_pairs_hook=_unique), 0)]
+    while stack:
+        key, value, level = stack.pop()
+        if isinstance(value, dict) and value:
+            if depth is not None and level >= depth:
+                raise ValueError(f"document nested too deep at {key}")
+            stack += [(f"{key}.{k}" if key else k, v, level + 1) for k, v in value.items() if level or sections is None or k in sections]
+        elif level or sections is None:
+            out.append({"key": key, "value": _json(value, True)})
+    return out
 
 
 def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "doc", depth: int | None = None,
                       sections: Sequence[str] | None = None) -> DataFrame:
     """(ids, key, value) rows of nested JSON documents; keys are dotted paths.
 
-    Lists and empty maps are values. The depth is that of the deepest document,
-    unless given; maps nested deeper than a given one fail the job. With `sections`
-    other top-level keys are left out before they are opened.
+    Lists and empty maps are values. Each document is walked once, to any depth; maps nested deeper than a
+    given `depth` fail the job, as does a key that a map names twice. With `sections` other
+    top-level keys are left out. A null document is one row without key and value.
     """
-    spark = docs.sparkSession
-    if depth is None:
-        depth = docs.agg(F.max(nesting(F.col(document)))).first()[0] or 1
-    rows = docs.select(*ids, F.lit("").alias("key"), F.parse_json(document).alias("v"), F.lit(True).alias("_map"))
-    for level in range(depth):
-        kind = F.schema_of_variant("v")
-        # A map opens into its entries; anything else stays as one row and is not looked at again.
-        rows = rows.withColumn("_map", F.when(
-            F.col("_map"), kind.startswith("OBJECT<") & (kind != "OBJECT<>")).otherwise(False))
-        opened = F.when(F.col("_map"), F.col("v"))
-        rows = rows.withColumn("_open", opened)
-        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_k", "_v"))
-        path = F.when(F.col("key") == "", F.col("_k")).otherwise(F.concat_ws(".", "key", "_k"))
-        rows = rows.select(
-            *ids, F.when(F.col("_map"), path).otherwise(F.col("key")).alias("key"),
-            F.when(F.col("_map"), F.col("_v")).otherwise(F.col("v")).alias("v"), "_map")
-        if level == 0 and sections is not None:
-            rows = rows.where(F.col("key").isin(list(sections)))
-    rows = rows.select(*ids, "key", F.to_json("v").alias("value"), F.schema_of_variant("v").alias("_kind"))
-    too_deep = F.col("_kind").startswith("OBJECT<") & (F.col("value") != "{}")
-    # A decimal without fraction keeps its point, so 0.0 and 0 stay apart.
-    whole = F.col("_kind").startswith("DECIMAL") & ~F.col("value").contains(".")
-    return rows.select(*ids, "key", F.when(
-        too_deep, F.raise_error(F.concat(F.lit("document nested too deep at "), F.col("key"))).cast("string")
-    ).when(whole, F.concat("value", F.lit(".0"))).otherwise(F.col("value")).alias("value"))
+    chosen = None if sections is None else list(sections)
+
+    @F.pandas_udf("array<struct<key:string,value:string>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([_walk(t, depth, chosen) for t in texts])
+
+    return docs.select(*ids, F.explode(walk(F.col(document))).alias("e")).select(*ids, "e.key", "e.value")
 
 
 def _prefix(*names: str) -> str:

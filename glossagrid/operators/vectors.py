@@ -153,6 +153,10 @@ def davies_bouldin(rows: DataFrame, *, by: Sequence[str], cluster: str, vector:
 
 # Gaps (rows times clusters) computed together: 4 million doubles.
 PART_CELLS = 4_000_000
+# Rows of a group times clusters that a task may sum up, dimensions it takes at most, rows it looks at together.
+BLOCK_CELLS = 8_000_000
+BLOCK_DIMS = 32
+CHUNK_ROWS = 4096
 
 
 def resample(rows: DataFrame, size: int, *, by: Sequence[str], ids: Sequence[str], seed) -> DataFrame:
@@ -200,33 +204,42 @@ def _gaps_to_clusters(rows: pd.DataFrame, offset: pd.DataFrame, block: int = 409
     return out
 
 
-def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id: str, vector: str = "embedding",
-                         sample: int | None = None, seed=42, partitions: int | None = None) -> DataFrame:
-    """Mean silhouette under the Manhattan metric, without comparing pairs of rows.
-
-    The metric is a sum over dimensions, and in one dimension the sum of gaps to a
-    cluster follows from how many of its values lie below and what they add up to.
-    Rows are range-partitioned on (group, dimension, value, id) and each partition
-    starts from the counts and sums of those before it. `sample`: None takes all
-    rows, 0 skips (0.0), a number draws that many with replacement.
-    """
-    by = list(by)
-    if sample == 0:
-        return rows.select(*by).distinct().withColumn("silhouette", F.lit(0.0))
-    if sample:
-        rows = resample(rows, sample, by=by, ids=[id], seed=seed).drop(id).withColumnRenamed("draw", id)
-    # One row per cluster: its index and size.
-    sizes = rows.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("size"))
-    in_group = W.partitionBy(*by)
-    sizes = lookup_side(sizes.select(
-        *by, cluster, "size", (F.row_number().over(in_group.orderBy(cluster)) - 1).alias("c"),
-        F.count(F.lit(1)).over(in_group).cast("int").alias("k")))
-    tall = rows.join(sizes, [*by, cluster]).select(
-        *by, F.col(id).alias("id"), "c", "k", F.posexplode(vector).alias("dim", "x"))
+def _blocked_gaps(placed: DataFrame, by: list[str], most_rows: int | None) -> DataFrame:
+    """by, id, c and the sums of gaps to each cluster over a block of dimensions."""
+    wide = max(1, min(BLOCK_DIMS, BLOCK_CELLS // max(1, most_rows or 1)))
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("v") / wide).cast("int") - 1, F.lit(0)))
+    blocks = placed.select(*by, "id", "c", "k", F.posexplode(F.transform(at, lambda b: F.slice("v", b * wide + 1, F.lit(wide)))).alias("block", "xs"))
+
+    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+        cs, k = pdf["c"].to_numpy(), int(pdf["k"].iloc[0])
+        values = np.stack(pdf["xs"].to_numpy())
+        out = np.zeros((len(cs), k))
+        all_n = np.bincount(cs, minlength=k).astype(float)
+        for column in values.T:
+            order = np.argsort(column, kind="stable")
+            all_s = np.bincount(cs, weights=column, minlength=k)
+            below_n, below_s = np.zeros(k), np.zeros(k)
+            for start in range(0, len(order), CHUNK_ROWS):
+                rows = order[start:start + CHUNK_ROWS]
+                xs = column[rows, None]
+                hot = np.zeros((len(rows), k))
+                hot[np.arange(len(rows)), cs[rows]] = 1.0
+                n, s = below_n + hot.cumsum(axis=0), below_s + (hot * xs).cumsum(axis=0)
+                out[rows] += xs * (2 * n - all_n) - 2 * s + all_s
+                below_n, below_s = n[-1], s[-1]
+        found = pdf[[*by, "id", "c"]].copy()
+        found["gaps"] = list(out)
+        return found
+
+    return keyed(blocks, [*by, "block"]).applyInPandas(gaps, f"{ddl(blocks, [*by, 'id', 'c'])}, gaps array<double>")
+
+
+def _ranged_gaps(placed: DataFrame, by: list[str], widest: int, partitions: int | None) -> DataFrame:
+    """by, id, c and the gaps to each cluster in one dimension, of groups too large for one task."""
+    tall = placed.select(*by, "id", "c", "k", F.posexplode("v").alias("dim", "x"))
     order = [*by, "dim", "x", "id"]
     laid = tall.repartitionByRange(partitions, *order) if partitions else tall.repartitionByRange(*order)
     # Parts follow the order and are small enough that one gap per cluster and row fits.
-    widest = sizes.agg(F.max("k")).first()[0] or 1
     part_rows = max(1000, PART_CELLS // widest)
     laid = settle(laid.sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).withColumn(
         "part", F.shiftleft(F.shiftright("_row", 33), 33) + F.floor(
@@ -244,9 +257,38 @@ def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id
         return out
 
     cell = [*keys, "part"]
-    per_dim = keyed(laid, cell).cogroup(keyed(offsets, cell)).applyInPandas(
+    return keyed(laid, cell).cogroup(keyed(offsets, cell)).applyInPandas(
         gaps, f"{ddl(laid, [*by, 'id', 'c'])}, gaps array<double>")
-    # One array per dimension of a vector.
+
+
+def silhouette_manhattan(rows: DataFrame, *, by: Sequence[str], cluster: str, id: str, vector: str = "embedding",
+                         sample: int | None = None, seed=42, partitions: int | None = None) -> DataFrame:
+    """Mean silhouette under the Manhattan metric, without comparing pairs of rows.
+
+    The metric is a sum over dimensions, and in one dimension the sum of gaps to a
+    cluster follows from how many of its values lie below and what they add up to.
+    Up to `BLOCK_CELLS` (rows of the largest group times its clusters) a task takes a block of
+    dimensions of a group, goes along each of them in sorted order and adds the gaps up, so that one
+    number per row, cluster and block moves. Beyond that (or with `partitions`), rows are
+    range-partitioned on (group, dimension, value, id) and each partition starts from the
+    counts and sums of those before it. `sample`: None takes all rows, 0 skips (0.0), a number
+    draws that many with replacement.
+    """
+    by = list(by)
+    if sample == 0:
+        return rows.select(*by).distinct().withColumn("silhouette", F.lit(0.0))
+    if sample:
+        rows = resample(rows, sample, by=by, ids=[id], seed=seed).drop(id).withColumnRenamed("draw", id)
+    # One row per cluster: its index and size.
+    sizes = rows.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("size"))
+    in_group = W.partitionBy(*by)
+    sizes = lookup_side(sizes.select(
+        *by, cluster, "size", (F.row_number().over(in_group.orderBy(cluster)) - 1).alias("c"),
+        F.count(F.lit(1)).over(in_group).cast("int").alias("k")))
+    placed = rows.join(sizes, [*by, cluster]).select(*by, F.col(id).alias("id"), "c", "k", F.col(vector).alias("v"))
+    most = sizes.groupBy(*by).agg(F.sum("size").alias("n"), F.max("k").alias("k")).agg(F.max("n"), F.max("k"), F.max(F.col("n") * F.col("k"))).first()
+    per_dim = _blocked_gaps(placed, by, most[0]) if not partitions and (most[2] or 0) <= BLOCK_CELLS else _ranged_gaps(placed, by, most[1] or 1, partitions)
+    # One array per block, or per dimension, of a vector.
     total = F.reduce(
         F.collect_list("gaps"), F.array().cast("array<double>"),
         lambda acc, g: F.when(F.size(acc) == 0, g).otherwise(F.zip_with(acc, g, lambda a, b: a + b)))

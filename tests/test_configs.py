@@ -124,3 +124,39 @@ def test_documents_of_any_depth(spark):
     rows = C.flatten_documents(docs, ids=["run"], sections=["ds"]).collect()
     path = "ds." + ".".join(f"k{i}" for i in reversed(range(12))) + ".x"
     assert [(r["run"], r["key"], r["value"]) for r in rows if r["run"] == 1] == [(1, path, "1")]
+
+
+def test_one_walk_and_no_join_per_level(spark):
+    docs = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":1}}}}')], "run int, doc string")
+    flat = C.flatten_documents(docs, ids=["run"])
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in flat.collect()] == [(1, "a.b.c.d", "1")]
+
+
+def test_leaves_are_written_as_the_engine_writes_json(spark):
+    """Numbers, texts, lists and maps in lists against the built-in JSON type."""
+    leaves = ["0", "-0", "12", "-7", "0.0", "-0.0", "2.50", "100.0", "1e-3", "1E-5", "2.5e10", "1e7", "123456.789e0", "0.1234567890123456789012345678901234567",
+              '"a\\"\\\\\\n\\u00e9/"', '""', "true", "false", "null", "[]", '[1, 2.0, {"b": [null, "x"], "a": 1e2}]']
+    docs = spark.createDataFrame([(k, f'{{"v": {x}}}') for k, x in enumerate(leaves)], "run int, doc string")
+    ours = {r.run: r.value for r in C.flatten_documents(docs, ids=["run"]).collect()}
+    assert C._walk("12345678901234567890", None, None)[0]["value"] == "12345678901234567890"
+    kind, text = F.schema_of_variant("v"), F.to_json("v")
+    engine = docs.select("run", F.variant_get(F.parse_json("doc"), "$.v", "variant").alias("v")).select(
+        "run", F.when(kind.startswith("DECIMAL") & ~text.contains("."), F.concat(text, F.lit(".0"))).otherwise(text).alias("value"))
+    assert ours == {r.run: r.value for r in engine.collect()}
+
+
+def test_odd_documents(spark):
+    docs = spark.createDataFrame([(1, None), (2, "{}"), (3, "5"), (4, '{"a":{},"b":{"":1}}')], "run int, doc string")
+    got = {tuple(r) for r in C.flatten_documents(docs, ids=["run"]).collect()}
+    assert got == {(1, "", None), (2, "", "{}"), (3, "", "5"), (4, "a", "{}"), (4, "b.", "1")}
+    deep = '{"k":' * 300 + "1" + "}" * 300
+    row = C.flatten_documents(spark.createDataFrame([(1, deep)], "run int, doc string"), ids=["run"]).first()
+    assert row.key == ".".join(["k"] * 300) and row.value == "1"
+    for bad in ('{"a":1,"a":2}', '{"a":', '{"a":{"b":{"c":1}}}'):
+        try:
+            C.flatten_documents(spark.createDataFrame([(1, bad)], "run int, doc string"), ids=["run"], depth=2).collect()
+            raise AssertionError(bad)
+        except Exception as error:
+            assert not isinstance(error, AssertionError)

@@ -74,6 +74,29 @@ def test_silhouette_over_many_parts_and_groups(spark, monkeypatch):
     assert got["a"] == pytest.approx(sil(x[mask], c[mask])) and got["b"] == pytest.approx(sil(x[~mask], c[~mask]))
 
 
+@pytest.mark.parametrize("dims,chunk", [(1, 7), (3, 4096), (32, 50)])
+def test_silhouette_by_blocks_of_dimensions(spark, monkeypatch, dims, chunk):
+    """Any block size and chunk gives the brute-force value; rows move once in blocks and once as sums."""
+    monkeypatch.setattr(V, "BLOCK_DIMS", dims)
+    monkeypatch.setattr(V, "CHUNK_ROWS", chunk)
+    x, c = data(400, 3)
+    x[:50] = x[50:100]                            # ties
+    g = ["a" if i % 4 else "b" for i in range(400)]
+    mask = np.array([v == "a" for v in g])
+    out = V.silhouette_manhattan(frame(spark, x, c, g), by=["g"], cluster="lang", id="id")
+    got = {r["g"]: r["silhouette"] for r in out.collect()}
+    assert got["a"] == pytest.approx(sil(x[mask], c[mask])) and got["b"] == pytest.approx(sil(x[~mask], c[~mask]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "RepartitionByRange" not in plan and "cogroup" not in plan.lower()
+
+
+def test_large_groups_go_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_CELLS", 10)
+    x, c = data(200, 2)
+    got = V.silhouette_manhattan(frame(spark, x, c), by=["g"], cluster="lang", id="id").first()
+    assert got["silhouette"] == pytest.approx(sil(x, c))
+
+
 def test_silhouette_skip_and_resample(spark):
     x, c = data()
     rows = frame(spark, x, c)
