@@ -17,7 +17,7 @@ from ..constants import (
     CONFIG_DEFAULTS, CONFIG_IGNORED, CONFIG_RENAMES, CONFIG_SECTIONS, LENGTH_GROUPING_KEY, PACKED_ARGS_KEY,
 )
 from ..functions.joins import match_keys
-from ..session import settle
+from ..session import settle, spread
 from .ranking import position
 
 ABSENT = "<absent>"
@@ -101,7 +101,8 @@ def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "d
     def walk(texts: pd.Series) -> pd.Series:
         return pd.Series([_walk(t, depth, chosen) for t in texts])
 
-    return docs.select(*ids, F.explode(walk(F.col(document))).alias("e")).select(*ids, "e.key", "e.value")
+    spread_docs = spread(docs.select(*ids, F.col(document).alias("_doc")))
+    return spread_docs.select(*ids, F.explode(walk("_doc")).alias("e")).select(*ids, "e.key", "e.value")
 
 
 def _prefix(*names: str) -> str:
