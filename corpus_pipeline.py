@@ -16,9 +16,9 @@ from glossagrid.session import settle
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
-    scored = toxicity.score_documents(docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"]),
-                                      table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = toxicity.score_documents(rows, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return scored.where(F.col("score") < 0.5).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
