@@ -24,6 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settle
 from .base import whole
 
 # The kinds of the base scan, in their order.
@@ -33,6 +34,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGNED_CHARS = 6
 
+MARK = "\x01"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ACCEPT = 0.001
 DISCOVERY = 0.01
@@ -53,8 +55,28 @@ ENCODINGS = [
 ]
 
 
+BLOCK = 64
+
+
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """Running sums (or another `join`) of an array of longs: within blocks, then over the blocks' last values."""
+    last = lambda x: F.get(x, F.size(x) - 1)
+    longs = F.array().cast("array<bigint>")
+
+    def grown(x: Column) -> Column:
+        return F.aggregate(x, longs, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) > 0, join(last(acc), v)).otherwise(v))))
+
+    def joined(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        return _let(F.transform(at, lambda b: grown(F.slice(x, b * BLOCK + 1, BLOCK))), lambda blocks: _let(
+            grown(F.transform(blocks, last)), lambda ends: F.flatten(F.transform(blocks, lambda block, i: F.when(i == 0, block).otherwise(
+                F.transform(block, lambda v: join(F.get(ends, i - 1), v)))))))
+
+    return _let(values, lambda x: F.when(F.size(x) > 0, joined(x)).otherwise(longs))
+
+
 def matches(text: Column, pattern: str, keep=None) -> Column:
-    """Places of the leftmost non-overlapping matches: array of (start, end, value).
+    """Places of the leftmost non-overlapping matches: array of (start, end, from, to, value); from and to in bytes.
 
     The text between matches and the matches themselves, in turn, add up to the
     positions. `keep` is the capture group that becomes the value.
@@ -62,30 +84,54 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep or 0))
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,from:bigint,to:bigint,value:string>>")
+
+    def placed(one: Column) -> Column:
+        def ends(size) -> Column:
+            return running(F.transform(one, lambda x: (size(x["gap"]) + size(x["found"])).cast("bigint")))
 
-    def add(held, one):
-        start = F.coalesce(F.element_at(held, -1)["end"], F.lit(0)) + F.char_length(one["gap"])
-        return F.concat(held, F.array(F.struct(start.alias("start"), (start + F.char_length(one["found"])).alias("end"),
-                                               one["value"].alias("value"))))
+        both = F.struct(ends(F.char_length).alias("c"), ends(F.octet_length).alias("b"))
+        return _let(both, lambda e: F.transform(one, lambda x, i: F.struct(
+            (F.get(e["c"], i) - F.char_length(x["found"])).alias("start"), F.get(e["c"], i).alias("end"),
+            (F.get(e["b"], i) - F.octet_length(x["found"])).alias("from"), F.get(e["b"], i).alias("to"), x["value"].alias("value"))))
 
     zipped = F.slice(F.arrays_zip(between.alias("gap"), found.alias("found"), value.alias("value")), F.lit(1), F.size(found))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(
-        zipped, empty, lambda held, one: F.when(F.size(held) > 0, add(held, one)).otherwise(F.array(F.struct(
-            F.char_length(one["gap"]).alias("start"), (F.char_length(one["gap"]) + F.char_length(one["found"])).alias("end"),
-            one["value"].alias("value")))))).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), _let(zipped, placed)).otherwise(empty)
 
 
 def _spans(kind: int, places: Column) -> Column:
-    return F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+    return F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["from"].alias("from"), m["to"].alias("to")))
 
 
 def base_spans(text: Column) -> Column:
-    """Sorted array of (start, kind number, end) of the three patterns."""
+    """Sorted array of (start, kind number, end, from, to) of the three patterns."""
     assigned = F.filter(matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= ASSIGNED_CHARS)
     return F.array_sort(F.concat(_spans(0, assigned), _spans(1, matches(text, ACCESS)), _spans(2, matches(text, HEX))))
 
 
+def covered(text: Column, spans: Column, cover) -> Column:
+    """The text with spans (sorted by start) replaced; `cover` of a span and the end of those before it gives the replacement.
+
+    Pieces are cut by byte positions and joined once, so time grows with the text and the spans.
+    """
+    def piece(x: Column) -> Column:
+        def cut(a: Column, n: Column) -> Column:
+            return F.substring(x["data"], (a + 1).cast("int"), n.cast("int")).cast("string")
+
+        def joined(e: Column) -> Column:
+            before = lambda field, i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(e[field], i - 1))
+            parts = F.transform(x["spans"], lambda s, i: F.concat(
+                cut(before("b", i), F.greatest(s["from"] - before("b", i), F.lit(0))), cover(s, before("c", i))))
+            last = F.get(e["b"], F.size(e["b"]) - 1)
+            return F.concat(F.array_join(parts, ""), cut(last, F.octet_length(x["data"]) - last))
+
+        furthest = F.struct(
+            running(F.transform(x["spans"], lambda s: s["end"]), F.greatest).alias("c"), running(F.transform(x["spans"], lambda s: s["to"]), F.greatest).alias("b"))
+        return _let(furthest, joined)
+
+    return F.when(F.size(spans) > 0, _let(F.struct(text.cast("binary").alias("data"), spans.alias("spans")), piece)).otherwise(text)
+
+
 def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind))
 
@@ -192,15 +238,30 @@ def candidates(text: Column, base: Column) -> Column:
     The bin is the weighted p-value on a logarithmic grid, larger for smaller p; a
     weight of n/32 trusts long tokens more than short ones.
     """
-    free = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    tested = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"]).alias("p")))
+    # Base spans become marks of the same length, ASCII as they are; a token that holds a mark meets one. Texts with such marks
+    # of their own are compared span by span.
+    masked = covered(text, base, lambda s, before: F.repeat(F.lit(MARK), F.greatest(s["end"] - F.greatest(s["start"], before), F.lit(0)).cast("int")))
+    marked = F.filter(matches(masked, CANDIDATE.replace("[", f"[{MARK}")), lambda m: ~F.contains(m["value"], F.lit(MARK)))
+    apart = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    free = F.when(F.size(base) == 0, matches(text, CANDIDATE)).when(F.contains(text, F.lit(MARK)), apart).otherwise(marked)
+    place = lambda m: [m[c].alias(c) for c in ("start", "end", "from", "to")]
+    tested = F.transform(free, lambda m: F.struct(*place(m), battery(m["value"]).alias("p")))
     return F.transform(tested, lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), m["p"]["p_random"].alias("p_random"),
+        *place(m), m["p"]["p_random"].alias("p_random"),
         F.greatest(F.lit(0), F.least(F.lit(MOST_BINS), F.floor(-F.log10(F.greatest(m["p"]["p_text"], F.lit(1e-300)) * 32 / m["p"]["n"]) / BIN))).cast("int").alias("bin")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """The rows with `base` spans and tested `candidates`, before the false-discovery cut."""
+    def without_bytes(column: str, fields: list[str]) -> Column:
+        return F.transform(column, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(column)
+
+    placed = _placed(docs)
+    return placed.withColumns({c: without_bytes(c, f) for c, f in (("base", ["start", "kind", "end"]), ("candidates", ["start", "end", "p_random", "bin"]))})
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Like `scan`; all places also in bytes."""
     kept = docs.select(*[c for c in docs.columns if c not in ("base", "candidates")])
     based = kept.withColumn("base", base_spans(whole(F.col("text"))))
     return based.withColumn("candidates", candidates(whole(F.col("text")), F.col("base")))
@@ -223,8 +284,10 @@ def discovery_bin(scanned: DataFrame) -> int:
 
 def with_spans(scanned: DataFrame, cut: int) -> DataFrame:
     """`spans`: base spans and discovered ones, sorted by start and kind."""
-    found = F.filter("candidates", lambda c: (c["bin"] >= cut) & (c["p_random"] >= ACCEPT))
-    return scanned.withColumn("spans", F.array_sort(F.concat("base", _spans(3, found)))).drop("candidates")
+    fields = [f.name for f in scanned.schema["base"].dataType.elementType.fields]
+    found = F.transform(F.filter("candidates", lambda c: (c["bin"] >= cut) & (c["p_random"] >= ACCEPT)),
+                        lambda c: F.struct(*[F.lit(3).alias(f) if f == "kind" else c[f].alias(f) for f in fields]))
+    return scanned.withColumn("spans", F.array_sort(F.concat("base", found))).drop("candidates")
 
 
 def span_text(spans: Column) -> Column:
@@ -233,19 +296,13 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns; every found span, overlapping ones together, becomes the mask."""
-    scanned = scan(docs.select(*docs.columns))
-    found = with_spans(scanned, discovery_bin(scanned))
+    """The same rows and columns; every found span, overlapping ones together, becomes the mask.
 
-    def add(state, s):
-        skip = s["end"] <= state["at"]
-        start = F.greatest(s["start"], state["at"])
-        part = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, start - state["at"]),
-                        F.when(s["start"] < state["at"], F.lit("")).otherwise(F.lit(mask)))
-        return F.struct(F.when(skip, state["out"]).otherwise(part).alias("out"), F.when(skip, state["at"]).otherwise(s["end"]).alias("at"))
-
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("spans", first, add, lambda s: F.concat(
-        s["out"], F.substring(F.col("text"), s["at"] + 1, F.greatest(F.char_length("text") - s["at"], F.lit(0)))))
-    clean = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    return clean.select(*docs.columns)
+    The caller's columns travel as one, so that none is taken for the scan's.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    scanned = settle(_placed(rows))
+    found = with_spans(scanned, discovery_bin(scanned))
+    masked = covered(F.col("text"), F.col("spans"), lambda s, before: F.when(s["start"] < before, F.lit("")).otherwise(F.lit(mask)))
+    clean = found.select("row", masked.alias("text"))
+    return clean.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -66,3 +66,17 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
         assert None in ids and 2 in ids and 7 in ids and len(ids) >= (9 if name == "near_duplicates" else 11)
         assert stage(spark, no_docs, SMALL).count() == 0
     assert corpus_pipeline.packed(spark, no_docs, SMALL).count() == 0
+
+
+def test_stages_keep_the_callers_columns(spark, odd_docs):
+    """Columns named like the stages' own come back with their values and types; only masked texts change."""
+    docs = odd_docs.selectExpr("*", "cast(doc_id as double) AS base", "concat('c', doc_id) AS candidates", "array(doc_id) AS evidence", "'r' AS row")
+    key = lambda r: tuple(map(str, (r.doc_id, r.score, r.shard, r.spans, r.ids, r.base, r.candidates, r.evidence, r.row)))
+    before = sorted(key(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.dtypes == docs.dtypes, name
+        after = sorted(key(r) for r in out.collect())
+        assert set(after) <= set(before)
+        if name in ("toxicity", "secrets"):
+            assert after == before, name
