@@ -89,9 +89,9 @@ def vocabulary_by_script(rows: DataFrame, tokenizer: Tokenizer, *, lang: str = "
         tokens = F.slice(tokens, 1, max_tokens)
     script = vocabulary_script(F.col(lang), latin_apart)
     used = rows.select(script.alias("script"), F.explode(tokens).alias("token"))
-    owner = F.when(F.count(F.lit(1)) == 1, F.min("script")).otherwise("Mixed")
-    # Uses collapse to distinct pairs in hash aggregation before scripts are counted.
-    return used.distinct().groupBy("token").agg(owner.alias("group"))
+    # One script if the least is the greatest; texts without a script are one of their own. One shuffle, summed up before it.
+    one = (F.min("script") == F.max("script")) & (F.count("script") == F.count(F.lit(1))) | (F.count("script") == 0)
+    return used.groupBy("token").agg(F.when(one, F.min("script")).otherwise("Mixed").alias("group"))
 
 
 def lookup_embeddings(vocabulary: DataFrame, embeddings: DataFrame, *, token: str = "token_id", skip_mixed: bool = False) -> DataFrame:

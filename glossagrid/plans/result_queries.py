@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import langsets as L, quality as Q, tables as T
 from . import bindings as B
-from .registry import query, view
+from .registry import ORACLES, query, view
 
 METHODS = ["A", "N", "R"]
 
@@ -192,6 +192,21 @@ def group_set_algebra(spark, d):
     return L.group_algebra(B.lang_groups(spark, d), "core", "west")
 
 
+view("members", """
+  SELECT "group", lang FROM lang_groups UNION ALL SELECT "group", lang FROM lang_groups WHERE "group" = 'west'
+""")
+
+
+@query("group_invariants", """
+SELECT 'duplicate' AS problem, "group", lang FROM members GROUP BY ALL HAVING count(*) > 1
+UNION SELECT 'code', "group", lang FROM members WHERE NOT regexp_full_match(lang, '[A-Z]+')
+UNION SELECT 'overlap', 'core&west', lang FROM members WHERE "group" IN ('core', 'west') GROUP BY lang HAVING count(DISTINCT "group") = 2""", "lang_groups members")
+def group_invariants(spark, d):
+    """One group listed twice, codes of one word only, and two groups that should not share a language."""
+    groups = B.lang_groups(spark, d).select("group", "lang")
+    return L.group_problems(groups.unionByName(groups.where("group = 'west'")), [("core", "west")], r"^[A-Z]+$")
+
+
 @query("dimension_summary", """
 SELECT axis, value, count(*) AS n_langs FROM (
   SELECT 'class' AS axis, CAST(class AS VARCHAR) AS value FROM dimension
@@ -308,6 +323,25 @@ def align_runs(spark, d):
     return T.align_runs(rows)
 
 
+@query("result_table_by_run", ORACLES["align_runs"])
+def result_table_by_run(spark, d):
+    """Rows without seeds: the table that is found for them has one column per run."""
+    pooled = T.pool_folds(B.result_rows(spark, d).withColumn("seed", F.col("fold")))
+    rows = pooled.select(
+        F.concat(F.lit("run"), "method").alias("run_name"), F.concat(F.lit("2026010"), "seed", "method").alias("path"),
+        F.lit(None).cast("int").alias("seed"), "target_lang", F.round("acc", 6).alias("accuracy"))
+    return T.result_table(rows, B.lang_groups(spark, d))
+
+
+@query("result_table_by_seed", ORACLES["lang_table"])
+def result_table_by_seed(spark, d):
+    """Rows with seeds: one row per language, flags by the groups of their backbone."""
+    rows = B.result_rows(spark, d).withColumn("llm", F.lit("g4")).withColumn("run_name", F.concat_ws("-", "method", "seed", "fold"))
+    of = lambda df, name: df.select(F.lit(name).alias("group"), "lang")
+    wide = T.result_table(rows, of(B.seen_langs(spark, d), "gemma_high"), low_groups=of(B.low_langs(spark, d), "g4"), zero_shot=B.zero_shot_rows(spark, d))
+    return rounded(wide, *[c for c in wide.columns if c.endswith(("_acc", "_std"))])
+
+
 @query("check_unique", """
 SELECT method, seed, fold, target_lang, run_name, CAST(1 AS BIGINT) AS n_rows, CAST(2 AS BIGINT) AS n_total
 FROM result_rows, (SELECT unnest(['first', 'second']) AS run_name) WHERE n % 5 = 0""", "result_rows")
