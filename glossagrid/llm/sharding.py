@@ -2,8 +2,8 @@
 
 Records are put into `n_shards` contiguous key ranges of nearly equal total size.
 A bounded, size-weighted sample gives quantile boundaries of many small ranges;
-their true sizes are then measured over all records. A range that is overfull, as
-one key may hold a third of all rows, is subdivided; the ranges are dealt to the
+their true sizes are then measured over all records. A range that is overfull by size or by
+rows, as one key may hold a third of all rows, is subdivided; the ranges are dealt to the
 shards in order by the middle of their cumulative size. Equal keys share a shard
 unless their own range had to be subdivided.
 
@@ -57,7 +57,8 @@ def shard_by_size(records: DataFrame, n_shards: int, key: str, size: str) -> Dat
     rows = settle(records.select(
         *[F.col(f"`{c}`").alias(a) for c, a in inner.items()],
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0)).alias("key"),
-        F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)).alias("size")))
+        F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)).alias("size"),
+        F.monotonically_increasing_id().alias("at")))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_ranges = max(1, min(max(RANGES_PER_SHARD * n_shards, math.ceil(n / ROWS_PER_RANGE)), MOST_RANGES))
     ranged = rows.withColumn("range", locate(F.col("key"), splitters_of(rows, "key", "size", n_ranges, total)))
@@ -66,10 +67,13 @@ def shard_by_size(records: DataFrame, n_shards: int, key: str, size: str) -> Dat
     # One row per range, so at most 2 * MOST_RANGES rows; the broadcasts below are of this table.
     measured = settle(ranged.groupBy("range").agg(
         F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("one_key")))
-    overfull = measured.where((F.col("bytes") > 2 * goal) & (F.col("n") > 1)).select(
-        "range", "one_key", F.least(F.ceil(F.col("bytes") / goal), F.col("n")).cast("int").alias("parts"))
-    # A range of one key is cut by row, any other between keys.
-    by_row = F.xxhash64(F.lit("part"), *[F.col(c) for c in inner.values()])
+    # A part is sorted in one task, so its rows are bounded as its bytes are.
+    wanted = F.greatest(F.when(F.col("bytes") > 2 * goal, F.ceil(F.col("bytes") / goal)),
+                        F.when(F.col("n") > 2 * ROWS_PER_RANGE, F.ceil(F.col("n") / ROWS_PER_RANGE)))
+    overfull = measured.where(wanted.isNotNull() & (F.col("n") > 1)).select(
+        "range", "one_key", F.least(wanted, F.col("n")).cast("int").alias("parts"))
+    # A range of one key is cut by row, any other between keys. Repeated rows have numbers of their own.
+    by_row = F.xxhash64(F.lit("part"), F.col("at"))
     cut = F.when(F.col("one_key"), by_row).otherwise(F.xxhash64(F.lit("part"), F.col("key")))
     parted = ranged.join(F.broadcast(overfull), "range", "left").withColumn(
         "part", F.coalesce(F.pmod(cut, F.col("parts")).cast("int"), F.lit(0)))
@@ -81,7 +85,7 @@ def shard_by_size(records: DataFrame, n_shards: int, key: str, size: str) -> Dat
     within = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     dealt = settle(dealt.select("range", "part", "shard", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("first")))
 
-    place = Window.partitionBy("range", "part").orderBy("key", *inner.values())
+    place = Window.partitionBy("range", "part").orderBy("key", *inner.values(), "at")
     numbered = parted.withColumn("nth", F.row_number().over(place) - 1)
     return numbered.join(F.broadcast(dealt), ["range", "part"]).select(
         *[F.col(a).alias(c) for c, a in inner.items()], "shard", (F.col("first") + F.col("nth")).alias("slot"))

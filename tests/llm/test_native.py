@@ -55,6 +55,28 @@ def test_hot_keys_are_subdivided_and_others_stay_whole(spark, hot):
     assert all(len(h) == 1 for k, h in homes.items() if k != 5)
 
 
+def test_equal_tiny_rows_are_parted_by_count(spark, monkeypatch):
+    """Most rows equal in every column and a fraction of the bytes: no task sorts them all, shards stay even."""
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 1000)
+    tiny = spark.range(60_000).select(F.lit(1).alias("k"), F.lit(1).alias("s"))
+    large = spark.range(3000).select(F.xxhash64("id").alias("k"), F.lit(100_000).alias("s"))
+    out = sharding.shard_by_size(tiny.unionByName(large), 8, "k", "s")
+    rows = out.collect()
+    sizes = Counter()
+    for x in rows:
+        sizes[x.shard] += x.s
+    assert len(rows) == 63_000 and slots_are_gapless(rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 3 * 100_000
+
+
+def test_repeated_rows_of_a_hot_key_go_to_many_parts(spark, monkeypatch):
+    """A single key of equal rows is cut by row numbers, so its parts and shards are even."""
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 500)
+    rows = sharding.shard_by_size(spark.range(20_000).select(F.lit(1).alias("k"), F.lit(1).alias("s")), 8, "k", "s").collect()
+    counts = Counter(x.shard for x in rows)
+    assert len(counts) == 8 and slots_are_gapless(rows) and max(counts.values()) < 1.3 * min(counts.values())
+
+
 def test_odd_rows_in_shards(spark, odd_docs, no_docs):
     sized = lambda d: d.withColumn("key", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
     rows = sharding.shard_by_size(sized(odd_docs), 8, "key", "size").collect()
