@@ -1,10 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index, weighted votes.
 
-The vocabulary is the terms that differ most between the labels (chi-squared and a rate
-at least doubled or halved) among a bounded sample of labelled rows; document frequencies are counted over all
-documents. The sample's vectors form an inverted index in blocks of examples: per
-term and block, the largest weight. A text visits the blocks of the highest upper
-bounds, then only those whose bound reaches its k-th best cosine, so the k nearest
+The vocabulary is every word of a bounded sample of labelled rows; document
+frequencies are counted over all documents. A word's weight is its idf times its
+contrast: how far it shifts the odds of the label in the sample, shrunk towards
+none for rare words, never below a floor, so every word counts and an exact copy
+of an example has cosine 1 with it. The sample's vectors form an inverted index in blocks of
+examples: per word and block, the largest weight. Words of many examples are kept
+as dense columns beside it, bounded by their norms. A text reads the blocks of the
+highest upper bounds, then only those whose bound reaches its k-th best cosine so far, so the k nearest
 examples are exact. Their votes, weighted by a power of the cosine and smoothed
 by the base rate, become a probability by a logistic curve fitted on the
 examples themselves, each without its own vote. The neighbours are the evidence.
@@ -18,126 +21,200 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import spread
 from .base import whole
 from .labels import labelled
 
-EXAMPLES = 20_000  # bound of the labelled sample
-TERMS = 4096
-LEAST_DOCS = 5
-CHI_SQUARED = 20.0
-LIFT = 2.0
+EXAMPLES = 4_000  # bound of the labelled sample, and so of the vocabulary and the index
+SHRINK = 10.0  # pseudo-count of a word's odds
+CHANCE = 20.0  # chi-squared at which half of a word's shift counts
+FLOOR = 0.02  # least contrast
 NEAREST = 15
 BLOCK = 64
 FIRST_BLOCKS = 8
+DENSE_SHARE = 1 / 16  # words of more examples may be dense columns
+DENSE_TERMS = 1024
 POWER = 2
 SMOOTH = 0.5
 
 _WORD = re.compile(r"\w+")
-VECTOR = "terms array<int>, counts array<int>"
+
+
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def vocabulary(examples: DataFrame) -> list[str]:
-    """The terms most unevenly spread over the labels, at most TERMS."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    each = examples.select("label", F.explode_outer(words).alias("term")).where("term IS NOT NULL")
-    seen = each.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    total, ones = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not 0 < ones < total:
-        return []
-    rate = ones / total
-    expected = F.col("n") * rate
-    chi = (F.col("a") - expected) ** 2 / (expected * (1 - rate) * (1 - F.col("n") / (total + 1)))
-    # Common words pass any test in a large sample; a term must also shift the rate.
-    share = F.col("a") / F.col("n")
-    telling = (chi >= CHI_SQUARED) & ((share >= LIFT * rate) | (share <= rate / LIFT))
-    return [r.term for r in seen.where(telling).orderBy(chi.desc(), "term").limit(TERMS).collect()]
-
-
-def vectors(terms: list[str]):
-    """UDF: text -> the vocabulary terms it holds and how often."""
+    """All words of the examples, sorted; bounded by the sample."""
+    @F.pandas_udf("array<string>")
+    def distinct_words(text: pd.Series) -> pd.Series:
+        return pd.Series([list(set(words(t))) for t in text], dtype=object)
+
+    each = spread(examples.select("text")).select(F.explode(distinct_words("text")).alias("term"))
+    return sorted(each.distinct().toArrow()["term"].to_pylist())
+
+
+def vector_of(place: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary words a text holds, by number, and how often."""
+    held = Counter(words(text))
+    terms = np.fromiter((place.get(w, -1) for w in held), np.int64, len(held))
+    counts = np.fromiter(held.values(), np.int64, len(held))
+    order = np.argsort(terms)[np.count_nonzero(terms < 0):]
+    return terms[order], counts[order]
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
+    """In how many documents each term occurs; added up within tasks before anything moves."""
     place = {t: i for i, t in enumerate(terms)}
 
-    @F.pandas_udf(VECTOR)
-    def vector(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            held = Counter(i for i in map(place.get, _WORD.findall((t or "").lower())) if i is not None)
-            out.append(sorted(held.items()))
-        return pd.DataFrame({"terms": [[i for i, _ in h] for h in out], "counts": [[c for _, c in h] for h in out]})
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(len(place), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                found = set(map(place.get, set(words(text))))
+                found.discard(None)
+                df[list(found)] += 1
+        held = np.flatnonzero(df)
+        yield pd.DataFrame({"term": held, "n": df[held]})
+
+    df = np.zeros(len(terms), np.int64)
+    if terms:
+        counted = docs.select(whole(F.col("text")).alias("text")).mapInPandas(count, "term bigint, n bigint")
+        found = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return df
+
+
+def contrast(terms: np.ndarray, labels: np.ndarray, n_terms: int, rate: float) -> np.ndarray:
+    """How far each word shifts the log-odds of label 1; `terms` and `labels` have an entry per word of an example.
+
+    A shift counts by its chi-squared (with continuity correction): what chance alone gives is near the floor.
+    """
+    n = np.bincount(terms, minlength=n_terms)
+    ones = np.bincount(terms, labels, minlength=n_terms)
+    odds = (ones + SHRINK * rate) / (n - ones + SHRINK * (1 - rate))
+    shift = np.abs(np.log(odds * (1 - rate) / rate))
+    chi = np.maximum(np.abs(ones - n * rate) - 0.5, 0) ** 2 / (np.maximum(n, 1) * rate * (1 - rate))
+    return FLOOR + shift * chi / (chi + CHANCE)
+
 
-    return vector
+def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, one after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
 class BlockMax:
-    """Postings by term, cut into blocks of examples, with the largest weight of each."""
+    """Postings by term, cut into blocks of examples, with the largest weight of each.
+
+    `rows` are (id, label, terms, counts), `idf` the weight of each term.
+    """
 
     def __init__(self, rows: list[tuple], idf: np.ndarray):
         self.idf = idf
         rows = [r for r in rows if len(r[2])]
         # Examples of like vectors stand together, so block maxima are tight.
         rows.sort(key=lambda r: (list(r[2]), r[0]))
+        n = len(rows)
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float32)
-        self.blocks = -(-len(rows) // BLOCK)
-        entries = [(i, e, w) for e, r in enumerate(rows) for i, w in zip(r[2], self.weigh(r[2], r[3]))]
-        entries.sort()
-        self.term = np.array([x[0] for x in entries], np.int32)
-        self.example = np.array([x[1] for x in entries], np.int32)
-        self.weight = np.array([x[2] for x in entries], np.float32)
-        self.most = np.zeros((len(idf), max(self.blocks, 1)), np.float32)
-        np.maximum.at(self.most, (self.term, self.example // BLOCK), self.weight)
-        at = self.term.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
-        self.begin = np.searchsorted(at, np.arange(len(idf) * max(self.blocks, 1) + 1))
+        self.blocks = -(-n // BLOCK)
+        empty = [np.zeros(0)]
+        term = np.concatenate([np.asarray(r[2], np.int64) for r in rows] or empty).astype(np.int64)
+        weight = np.concatenate([self.weigh(r[2], r[3]) for r in rows] or empty).astype(np.float32)
+        example = np.repeat(np.arange(n), [len(r[2]) for r in rows]) if rows else np.zeros(0, np.int64)
+
+        held = np.bincount(term, minlength=len(idf))
+        often = np.argsort(-held, kind="stable")[:DENSE_TERMS]
+        often = often[held[often] > n * DENSE_SHARE]
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        apart = self.column[term] >= 0
+        self.dense = np.zeros((n, len(often)), np.float32)
+        self.dense[example[apart], self.column[term[apart]]] = weight[apart]
+        # No dense part of a cosine exceeds the product of the norms.
+        self.norm = np.sqrt((self.dense.astype(np.float64) ** 2).sum(1))
+        self.block_norm = np.maximum.reduceat(self.norm, np.arange(0, n, BLOCK)) if n else np.zeros(0)
+
+        order = np.lexsort((example[~apart], term[~apart]))
+        term, example, self.weight = (x[~apart][order] for x in (term, example, weight))
+        self.example = example.astype(np.int32)
+        # A pair is a term in a block; its postings stand in a row.
+        key = term * max(self.blocks, 1) + example // BLOCK
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.pair_begin = np.append(begin, len(key)).astype(np.int32)
+        self.pair_block = (example[begin] // BLOCK).astype(np.int32)
+        self.pair_most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0, np.float32)
+        self.term_begin = np.searchsorted(term[begin], np.arange(len(idf) + 1)).astype(np.int32)
 
     def weigh(self, terms, counts) -> np.ndarray:
         w = (1 + np.log(np.asarray(counts, np.float32))) * self.idf[np.asarray(terms, np.int64)]
         return (w / np.sqrt((w * w).sum())).astype(np.float32)
 
-    def _cosines(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks that share a term with the query, and their cosines."""
-        at = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin, end = self.begin[at], self.begin[at + 1]
-        length = end - begin
-        if not length.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        part = np.repeat(np.repeat(query, len(blocks)), length) * self.weight[place]
-        total = np.bincount(self.example[place], part, len(self.ids))
-        held = np.flatnonzero(total)
-        return held, total[held]
+    def _partial(self, begin: np.ndarray, end: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The cosine of each example over spans of postings, each times its query weight."""
+        at = spans(begin, end - begin)
+        return np.bincount(self.example.take(at), np.repeat(query, end - begin) * self.weight.take(at), len(self.ids))
 
     def nearest(self, terms, counts, k: int = NEAREST, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine; ties go to the earlier example.
 
         The blocks of the highest bounds come first; then only those whose bound
-        reaches the k-th best cosine so far can hold a nearer example.
+        reaches the k-th best cosine so far can hold a nearer example. Without its dense
+        columns a cosine is too low by at most the product of the norms.
         """
         if not len(terms) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
         query, terms = self.weigh(terms, counts), np.asarray(terms, np.int64)
-        bound = query @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-
-        def top(best, cosine):
+        column = self.column[terms]
+        common, columns = query[column >= 0], column[column >= 0]
+        rest = math.sqrt(float(common @ common)) * (1 + 1e-5)
+        terms, query = terms[column < 0], query[column < 0]
+        begin, end = self.term_begin[terms], self.term_begin[terms + 1]
+        terms, query, begin, end = (x[end > begin] for x in (terms, query, begin, end))
+        pairs, each = spans(begin, end - begin), np.repeat(query, end - begin)
+        block = self.pair_block.take(pairs)
+        bound = np.bincount(block, each * self.pair_most.take(pairs), self.blocks) + rest * self.block_norm
+
+        def best_of(found, cosine):
             if skip is not None:
-                best, cosine = best[self.ids[best] != skip], cosine[self.ids[best] != skip]
-            nearest = np.lexsort((best, -np.round(cosine, 5)))[:k]
-            return best[nearest], cosine[nearest]
-
-        best, cosine = top(*self._cosines(terms, query, order[:FIRST_BLOCKS]))
-        rest = order[FIRST_BLOCKS:]
-        if len(best) == k:
-            rest = rest[bound[rest] >= cosine[-1] - 1e-5]
-        if len(rest):
-            more, near = self._cosines(terms, query, rest)
-            best, cosine = top(np.append(best, more), np.append(cosine, near))
-        return best, cosine
+                found, cosine = found[self.ids[found] != skip], cosine[self.ids[found] != skip]
+            if rest:
+                cosine = cosine + self.dense[found[:, None], columns] @ common
+            found, cosine = found[cosine > 0], cosine[cosine > 0]
+            nearest = np.lexsort((found, -np.round(cosine, 5)))[:k]
+            return found[nearest], cosine[nearest]
+
+        def read(blocks):
+            """Partial cosines of the blocks' examples; other examples get less than theirs, or none."""
+            if 4 * np.count_nonzero(blocks) > self.blocks:
+                return self._partial(self.pair_begin[begin], self.pair_begin[end], query)
+            kept = np.flatnonzero(blocks[block])
+            held = pairs[kept]
+            return self._partial(self.pair_begin[held], self.pair_begin[held + 1], each[kept])
+
+        least = 0.0
+        if self.blocks > 2 * FIRST_BLOCKS:
+            first = np.zeros(self.blocks, bool)
+            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
+            partial = read(first)
+            found = np.flatnonzero(partial)
+            found = found[np.argsort(-partial[found])[:2 * k]]
+            found, cosine = best_of(found, partial[found])
+            least = cosine[-1] - 2e-5 if len(found) == k else 0.0
+        partial = read(bound >= least)
+        most = partial + rest * self.norm
+        found = np.flatnonzero(most >= max(least, 1e-12))
+        if len(found) > 4 * k:
+            likely = found[np.argpartition(-most[found], 4 * k)[:4 * k]]
+            _, cosine = best_of(likely, partial[likely])
+            found = found[most[found] >= cosine[-1] - 2e-5] if len(cosine) == k else found
+        return best_of(found, partial[found])
 
 
 def votes(index: BlockMax, base: float, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -160,31 +237,44 @@ def calibrate(raw: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[floa
 
 
 def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EXAMPLES):
-    """(vector UDF, score UDF). The score UDF maps a vector to score and evidence (neighbour ids)."""
+    """UDF: text -> score and evidence (neighbour ids)."""
     sample = labelled(docs, labels, "toxic", picked, examples)
     terms = vocabulary(sample)
-    vector = vectors(terms)
-    # Document frequencies over all documents; at most TERMS counts come back.
-    counted = docs.select(vector(whole(F.col("text"))).alias("v")).select(F.explode_outer("v.terms").alias("term"))
-    df = np.ones(max(len(terms), 1))
-    for r in counted.where("term IS NOT NULL").groupBy("term").count().collect() if terms else []:
-        df[r.term] += r["count"]
-    n = docs.count() if terms else 1
-    idf = np.log((n + 1) / df).astype(np.float32) + 1
+    df = document_frequencies(docs, terms)
+    idf = np.log((docs.count() + 1) / (df + 1)) + 1 if terms else np.ones(1)
+    place = {t: i for i, t in enumerate(terms)}
+
+    @F.pandas_udf("terms array<bigint>, counts array<bigint>")
+    def vector(text: pd.Series) -> pd.DataFrame:
+        held = [vector_of(place, t) for t in text]
+        return pd.DataFrame({"terms": [t for t, _ in held], "counts": [c for _, c in held]})
+
     # Bounded: at most `examples` sparse vectors.
-    rows = [(r.doc_id, r.label, r.v.terms, r.v.counts) for r in sample.select("doc_id", "label", vector("text").alias("v")).collect()]
+    got = spread(sample).select("doc_id", "label", vector("text").alias("v")).select("doc_id", "label", "v.*").toArrow()
+    rows = list(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(),
+                    *[[x.values.to_numpy() for x in got[c]] for c in ("terms", "counts")]))
     base = float(np.mean([r[1] for r in rows])) if rows else 0.5
-    index = BlockMax(rows, idf)
+    if 0 < base < 1 and terms:
+        idf = idf * contrast(np.concatenate([r[2] for r in rows]), np.repeat([r[1] for r in rows], [len(r[2]) for r in rows]), len(terms), base)
+    index = BlockMax(rows, idf.astype(np.float32))
 
-    known = [r for r in rows if len(r[2])]
     # Texts without a neighbour: the smoothed rate among such examples.
     lone = [r[1] for r in rows if not len(r[2])]
     bare = (sum(lone) + base) / (len(lone) + 1)
-    raw = np.array([votes(index, base, *index.nearest(r[2], r[3], skip=r[0])) for r in known])
-    slope, offset = calibrate(raw, np.array([r[1] for r in known], float)) if 0 < base < 1 and known else (1.0, 0.0)
 
-    def score_of(terms, counts):
-        best, cosine = index.nearest(terms, counts)
+    @F.pandas_udf("double")
+    def without_own_vote(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([votes(index, base, *index.nearest(*vector_of(place, t), skip=i)) for i, t in zip(doc_id, text)], dtype="float64")
+
+    slope, offset = 1.0, 0.0
+    if 0 < base < 1 and len(lone) < len(rows):
+        kept = {r[0] for r in rows if len(r[2])}
+        own = spread(sample).select("doc_id", "label", without_own_vote("doc_id", "text").alias("raw")).toArrow().to_pylist()
+        own = sorted((r["doc_id"], r["raw"], r["label"]) for r in own if r["doc_id"] in kept)
+        slope, offset = calibrate(np.array([x for _, x, _ in own]), np.array([y for _, _, y in own], float))
+
+    def score_of(text):
+        best, cosine = index.nearest(*vector_of(place, text))
         raw = votes(index, base, best, cosine)
         if not len(best):
             return bare, []
@@ -194,24 +284,19 @@ def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EX
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), index.ids[best].tolist()
 
     @F.pandas_udf("score double, evidence array<bigint>")
-    def score(v: pd.DataFrame) -> pd.DataFrame:
+    def score(text: pd.Series) -> pd.DataFrame:
         known: dict = {}
-        out = []
-        for terms, counts in zip(v["terms"], v["counts"]):
-            key = (tuple(terms), tuple(counts))
-            if key not in known:
-                known[key] = score_of(*key)
-            out.append(known[key])
-        return pd.DataFrame({"score": [s for s, _ in out], "evidence": [e for _, e in out]})
+        for t in text:
+            if t not in known:
+                known[t] = score_of(t)
+        return pd.DataFrame({"score": [known[t][0] for t in text], "evidence": [known[t][1] for t in text]})
 
-    return vector, score
+    return score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EXAMPLES) -> DataFrame:
     """The rows with `score` and `evidence`; columns of those names are replaced."""
-    vector, score = train(docs, labels, picked, examples)
+    score = train(docs, labels, picked, examples)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "evidence")]
-    scored = docs.select(*kept, score(vector(whole(F.col("text")))).alias("scored_"))
+    scored = docs.select(*kept, score(whole(F.col("text"))).alias("scored_"))
     return scored.select(*kept, "scored_.score", "scored_.evidence")
-
-

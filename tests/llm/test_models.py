@@ -158,6 +158,52 @@ def test_block_max_finds_the_exact_nearest():
         assert i not in index.ids[without]
 
 
+def test_nearest_with_dense_columns_is_exact():
+    """Frequent terms as dense columns, many blocks, copies: ids and cosines as by brute force."""
+    rng = np.random.default_rng(8)
+    share = 1 / (1 + np.arange(400)) ** 0.8
+    rows = []
+    for i in range(3000):
+        terms = np.flatnonzero(rng.random(400) < share)
+        rows.append((i, int(i % 2), terms, rng.integers(1, 4, len(terms))) if i % 7 or not rows else (i, 0, *rows[-1][2:]))
+    weight = rng.random(400).astype(np.float32) + 0.2
+    index = toxicity.BlockMax(list(rows), weight)
+    assert index.dense.shape[1] > 5 and index.blocks > 2 * toxicity.FIRST_BLOCKS
+    every = np.zeros((len(index.ids), 400))
+    at = {r[0]: r for r in rows}
+    for e, i in enumerate(index.ids.tolist()):
+        every[e, at[i][2]] = index.weigh(*at[i][2:])
+    for i, _, terms, counts in rows[:150]:
+        if not len(terms):
+            continue
+        for skip in (None, i):
+            cosine = every[:, terms] @ index.weigh(terms, counts)
+            if skip is not None:
+                cosine[index.ids == skip] = 0
+            want = np.sort(cosine)[::-1][:15]
+            best, found = index.nearest(terms, counts, 15, skip=skip)
+            assert np.allclose(found, want[want > 0], atol=2e-5) and np.allclose(cosine[best], found, atol=2e-5)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5, 0.9])
+def test_a_telling_word_counts_at_any_base_rate(spark, rate):
+    """Each label has its word; rare filler differs in every text. Copies of examples are their own first evidence."""
+    n = 200
+    rows = [(i, f"filler{i} {'nasty' if i < rate * n else 'kind'} common text", int(i < rate * n)) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, "nasty words unseen"), (1001, "kind words unseen"), (1002, rows[7][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels, F.col("doc_id") % 5 != 0).collect()}
+    assert got[1000].score > 0.5 > got[1001].score
+    assert got[1002].evidence[0] == 7 and got[1002].score == got[7].score
+    assert {w for w in toxicity.vocabulary(docs.limit(2).select("text"))} >= {"common", "text", "filler0"}
+
+
+def test_document_frequencies_count_documents(spark, odd_docs):
+    terms = ["alpha", "one", "tie", "wort"]
+    assert toxicity.document_frequencies(odd_docs.select("doc_id", "text"), terms).tolist() == [2, 1, 3, 1]
+    assert toxicity.document_frequencies(odd_docs.limit(0), terms).tolist() == [0, 0, 0, 0]
+
+
 def test_filters_see_the_whole_text():
     assert bytenet.chunks(5000)[0] == (0, 1024) and bytenet.chunks(5000)[-1][1] == 5000
     covered = set()
