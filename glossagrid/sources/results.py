@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import LEGACY_RENAMES, RESULT_FILES, RESULT_RENAMES, VALIDATION_FILES
-from ..functions.checks import DataProblem, need_columns, null_if_nan
+from ..functions.checks import DataProblem, need_columns, null_if_nan, sure
 from ..functions.names import grid_of, method_of_run, source_of, table_folder, table_path
 from ..session import lookup_side, settle
 
@@ -22,13 +22,20 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _fields(record: Column) -> Column:
+    """Names of a header record; commas inside quotes belong to the name, a doubled quote is one."""
+    each = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    quoted = r'^"([\s\S]*)"$'
+    return F.transform(each, lambda c: F.replace(F.regexp_replace(F.trim(c), quoted, "$1"), F.lit('""'), F.lit('"')))
+
+
 def read_by_header(spark: SparkSession, path: str, patterns: Sequence[str] = RESULT_FILES) -> DataFrame:
     """All rows of the matching files as text columns, plus path, block and line.
 
     Spark binds CSV columns by position, so records are read once into numbered
     cells and each file's first record then names them; there is no limit on the number of
     layouts. Quoted line breaks belong to their cell: a file is one run and is
-    read by one task. (path, block, line) is the order of rows: later path, later row.
+    read by one task. A record with a value beyond its header fails the job. (path, block, line) is the order of rows: later path, later row.
     """
     # Hadoop globs accept alternatives in braces.
     pattern = patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
@@ -36,7 +43,7 @@ def read_by_header(spark: SparkSession, path: str, patterns: Sequence[str] = RES
     first = spark.read.options(**options).text(path).where(F.col("_metadata.file_block_start") == 0).select(
         "value", _decoded(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("line"))
     first = first.groupBy("path").agg(F.min_by("value", "line").alias("value"))
-    named = settle(first.select("path", F.transform(F.split("value", ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")).alias("header")))
+    named = settle(first.select("path", _fields(F.col("value")).alias("header")))
     widest = named.agg(F.max(F.size("header"))).first()[0]
     if widest is None:
         raise DataProblem(f"nothing named {' / '.join(patterns)} lies under {path}")
@@ -44,11 +51,15 @@ def read_by_header(spark: SparkSession, path: str, patterns: Sequence[str] = RES
     everything = [r[0] for r in named.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(
         F.min("at").alias("at")).orderBy("at", "name").select("name").collect()]
 
-    schema = ", ".join(f"c{i} string" for i in range(widest))
-    cells = spark.read.options(**options).option("multiLine", "true").schema(schema).csv(path).select(
-        F.array(*[f"c{i}" for i in range(widest)]).alias("cells"), _decoded(F.col("_metadata.file_path")).alias("path"),
+    # A cell more than the widest header shows records that are too long.
+    schema = ", ".join(f"c{i} string" for i in range(widest + 1))
+    cells = spark.read.options(**options).option("multiLine", "true").option("escape", '"').schema(schema).csv(path).select(
+        F.array(*[f"c{i}" for i in range(widest + 1)]).alias("cells"), _decoded(F.col("_metadata.file_path")).alias("path"),
         F.lit(0).cast("bigint").alias("block")).withColumn("line", F.monotonically_increasing_id())
     rows = cells.join(lookup_side(named), "path")
+    beyond = F.exists(F.slice("cells", F.size("header") + 1, widest + 1), lambda c: c.isNotNull())
+    too_long = F.concat(F.lit("a record has values beyond the header of "), F.col("path"))
+    rows = rows.withColumn("cells", sure(F.col("cells"), ~beyond, too_long, "array<string>"))
     own = F.slice("cells", F.lit(1), F.size("header"))
     is_header = F.transform(own, lambda c: F.trim(F.coalesce(c, F.lit("")))) == F.col("header")
     rows = rows.where(~is_header & F.exists("cells", lambda c: c.isNotNull()))

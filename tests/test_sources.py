@@ -30,6 +30,18 @@ def test_results_bind_by_name_over_differing_headers(spark, tmp_path):
     assert T.has_seed_axis(rows) and T.pool_folds(rows).count() == 3
 
 
+def test_headers_with_quotes_and_records_that_are_too_long(spark, tmp_path):
+    _write(tmp_path / "a" / "test.csv", '"method","note, long","say ""n""",n\nxpe,"x, ""y""",2,3\nspt,,,\n')
+    _write(tmp_path / "b" / "test.csv", "method,n\ndual,4\n")
+    rows = R.read_by_header(spark, str(tmp_path))
+    assert set(rows.columns) == {"method", "note, long", 'say "n"', "n", "path", "block", "line"}
+    got = {r["method"]: (r["note, long"], r['say "n"'], r["n"]) for r in rows.collect()}
+    assert got == {"xpe": ('x, "y"', "2", "3"), "spt": (None, None, None), "dual": (None, None, "4")}
+    _write(tmp_path / "b" / "test.csv", "method,n\ndual,4,5\n")
+    with pytest.raises(Exception, match="beyond the header"):
+        R.read_by_header(spark, str(tmp_path)).collect()
+
+
 def test_missing_files_columns_and_backbone(spark, tmp_path):
     with pytest.raises(DataProblem, match="nothing named separate_test"):
         R.collect_results(spark, str(tmp_path))
@@ -83,6 +95,31 @@ def test_write_verify_discover_and_prune(spark, tmp_path):
         D.discover_partitions(spark, str(tmp_path / "absent"))
 
 
+def test_the_rows_are_computed_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    rows = _dataset(spark).withColumn("x", counted.asNondeterministic()("x"))
+    report = D.write_verified(rows, str(tmp_path / "data"))
+    assert report.where("ok").count() == 12 and report.agg(F.sum("n_expected")).first()[0] == 120
+    assert calls.value == 120
+
+
+def test_observed_counts_name_a_partition_that_lost_a_file(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    root, seen = tmp_path / "data", Observation()
+    D.write_partitioned(_dataset(spark), str(root), observed=seen)
+    for lost in (root / "lang=fr" / "fold=1" / "split=train").glob("*.parquet"):
+        lost.unlink()
+    bad = D.verify_observed(_dataset(spark), str(root), seen).where("not ok").collect()
+    assert [(r["lang"], r["fold"], r["split"], r["n_written"]) for r in bad] == [("fr", "1", "train", 0)]
+
+
 def test_verification_reports_lost_rows(spark, tmp_path):
     root = str(tmp_path / "data")
     D.write_partitioned(_dataset(spark, 119), root)
