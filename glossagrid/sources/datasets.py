@@ -13,9 +13,6 @@ from ..session import lookup_side, settle
 
 PARTS = ("lang", "fold", "split")
 
-# Row counts observed while writing are kept for so many hash buckets of partitions.
-COUNTERS = 256
-
 
 def write_partitioned(rows: DataFrame, path: str, parts: Sequence[str] = PARTS, *, mode: str = "overwrite",
                       rows_per_file: int = 1_000_000, observed: Observation | None = None) -> None:
@@ -28,7 +25,7 @@ def write_partitioned(rows: DataFrame, path: str, parts: Sequence[str] = PARTS,
     """
     laid = rows.hint("rebalance", *parts)
     if observed is not None:
-        laid = laid.observe(observed, *[F.count_if(_counter(parts) == i).alias(f"n{i}") for i in range(COUNTERS)])
+        laid = laid.observe(observed, *_sums(parts, F.lit(1)))
     laid.write.mode(mode).partitionBy(*parts).option(
         "maxRecordsPerFile", rows_per_file).parquet(path)
 
@@ -47,22 +44,23 @@ def verify_written(rows: DataFrame, path: str, parts: Sequence[str] = PARTS) ->
     return both.withColumns(counts).withColumn("ok", F.col("n_expected") == F.col("n_written"))
 
 
-def _counter(parts: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(p).cast("string") for p in parts]), F.lit(COUNTERS))
+def _sums(parts: Sequence[str], times: Column) -> list[Column]:
+    """The number of rows and two sums of a hash of their partition, for rows that stand for `times` rows."""
+    texts = [F.col(p).cast("string") for p in parts]
+    hashes = [F.shiftright(F.xxhash64(F.lit(seed), *texts), 32).cast("decimal(20,0)") for seed in ("one", "two")]
+    return [F.sum(h * times.cast("decimal(18,0)")).alias(n) for h, n in zip([F.lit(1).cast("decimal(20,0)"), *hashes], ("n", "one", "two"))]
 
 
 def verify_observed(rows: DataFrame, path: str, observed: Observation, parts: Sequence[str] = PARTS) -> DataFrame:
-    """The report of `verify_written` from the counts observed while writing.
+    """The report of `verify_written` from sums observed while writing.
 
-    Where the partitions of a bucket hold together as many rows as were written into it,
-    each holds what it should, and the rows are not computed again. Only if a
-    bucket differs are they, to name the partition.
+    Each row adds two hashes of its partition, so rows that are lost, doubled or in another
+    partition change the sums; where they agree each partition holds what it should
+    and the rows are not computed again. Only if they differ are they, to name the partition.
     """
-    expected = rows.sparkSession.createDataFrame([(i, observed.get[f"n{i}"]) for i in range(COUNTERS)], "counter int, n_counted long")
     found = settle(partition_counts(rows.sparkSession.read.parquet(path), parts))
-    sums = found.groupBy(_counter(parts).cast("int").alias("counter")).agg(F.sum("n_rows").alias("n_found"))
-    differ = F.broadcast(expected).join(F.broadcast(sums), "counter", "left").where(F.col("n_counted") != F.coalesce("n_found", F.lit(0)))
-    if not differ.isEmpty():
+    written = found.agg(*_sums(parts, F.col("n_rows"))).first().asDict()
+    if written != observed.get:
         return verify_written(rows, path, parts)
     return found.select(*parts, F.col("n_rows").alias("n_expected"), F.col("n_rows").alias("n_written"), F.lit(True).alias("ok"))
 
