@@ -224,3 +224,52 @@ def test_odd_rows_in_classifiers(spark, odd_docs, no_docs, module, label):
     assert len({r.score for r in rows if r.doc_id in (2, 3)}) == 1
     assert module.score_documents(no_docs, labels, train).count() == 0
     assert {r.score for r in module.score_documents(odd_docs, labels.limit(0), train).collect()} == {0.5}
+
+
+def brute_logit(params, chunk_lists):
+    """Convolution as a dense product over one-hot symbols, in float64."""
+    table, bias, out, offset = (p.astype(np.float64) for p in params)
+    pooled = []
+    for held in chunk_lists:
+        hot = np.eye(512)[held]
+        places = range(0, len(held) - bytenet.WIDTH + 1, bytenet.STRIDE)
+        pooled.append(np.max([np.einsum("ks,ksf->f", hot[p:p + bytenet.WIDTH], table) for p in places], axis=0))
+    pooled = np.maximum(np.array(pooled) + bias, 0)
+    return float(np.concatenate([pooled.max(0), pooled.mean(0)]) @ out + offset[0])
+
+
+@pytest.mark.parametrize("text", ["", "short", None, "The quick brown fox. " * 9, "é😀 data " * 200])
+def test_scores_equal_a_dense_convolution(text):
+    net = bytenet.ByteNet()
+    net.bias += np.linspace(-0.2, 0.2, len(net.bias)).astype(np.float32)
+    held = bytenet.symbols(text)
+    logit = brute_logit([net.table, net.bias, net.out, net.offset], [held[a:z] for a, z in bytenet.chunks(len(held))])
+    assert abs(net.score(text) - 1 / (1 + math.exp(-logit))) < 1e-5
+
+
+def test_the_first_step_goes_against_finite_differences():
+    """The first step of Adam has the sign of the gradient, wherever that is not near zero."""
+    texts, labels = ["alpha beta gamma delta " * 3, "one two three four five"], [1, 0]
+    held = [bytenet.training_chunks(t) for t in texts]
+    net = bytenet.ByteNet()
+    before = [p.copy() for p in (net.table, net.bias, net.out, net.offset)]
+    net.fit(held, labels, epochs=1)
+    after = [net.table, net.bias, net.out, net.offset]
+
+    def loss(params):
+        z = [brute_logit(params, h) for h in held]
+        return np.mean([math.log1p(math.exp(-x if y else x)) for x, y in zip(z, labels)]) + 0.5e-4 * float((params[2].astype(np.float64) ** 2).sum())
+
+    rng, checked = np.random.default_rng(1), 0
+    seen = [(0, (k, int(held[i][0][k]), f)) for i in (0, 1) for k in range(bytenet.WIDTH) for f in range(4)]
+    places = seen + [(1, (int(f),)) for f in rng.choice(len(net.bias), 8, replace=False)] + [(2, (int(f),)) for f in rng.choice(len(net.out), 8, replace=False)]
+    for which, at in places:
+        wide = [p.astype(np.float64) for p in before]
+        wide[which][at] += 1e-5
+        up = loss(wide)
+        wide[which][at] -= 2e-5
+        slope = (up - loss(wide)) / 2e-5
+        if abs(slope) > 1e-3:
+            checked += 1
+            assert np.sign(after[which][at] - before[which][at]) == -np.sign(slope)
+    assert checked >= 8
