@@ -6,7 +6,7 @@ contrast: how far it shifts the odds of the label in the sample, shrunk towards
 none for rare words, never below a floor, so every word counts and an exact copy
 of an example has cosine 1 with it. The sample's vectors form an inverted index in blocks of
 examples: per word and block, the largest weight. Words of many examples are kept
-as dense columns beside it, bounded by their norms. A text reads the blocks of the
+as dense columns beside it, multiplied for many texts at once. A text reads the blocks of the
 highest upper bounds, then only those whose bound reaches its k-th best cosine so far, so the k nearest
 examples are exact. Their votes, weighted by a power of the cosine and smoothed
 by the base rate, become a probability by a logistic curve fitted on the
@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,12 @@ SHRINK = 10.0  # pseudo-count of a word's odds
 CHANCE = 20.0  # chi-squared at which half of a word's shift counts
 FLOOR = 0.02  # least contrast
 NEAREST = 15
-BLOCK = 64
-FIRST_BLOCKS = 8
+BLOCK = 128
+FIRST_BLOCKS = 4
 DENSE_SHARE = 1 / 16  # words of more examples may be dense columns
 DENSE_TERMS = 1024
+TEXTS_AT_ONCE = 64
+SLACK = 2e-5  # more than rounding can move a cosine
 POWER = 2
 SMOOTH = 0.5
 
@@ -63,7 +66,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
 def vector_of(place: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The vocabulary words a text holds, by number, and how often."""
     held = Counter(words(text))
-    terms = np.fromiter((place.get(w, -1) for w in held), np.int64, len(held))
+    terms = np.fromiter(map(place.get, held, repeat(-1)), np.int64, len(held))
     counts = np.fromiter(held.values(), np.int64, len(held))
     order = np.argsort(terms)[np.count_nonzero(terms < 0):]
     return terms[order], counts[order]
@@ -137,9 +140,7 @@ class BlockMax:
         apart = self.column[term] >= 0
         self.dense = np.zeros((n, len(often)), np.float32)
         self.dense[example[apart], self.column[term[apart]]] = weight[apart]
-        # No dense part of a cosine exceeds the product of the norms.
-        self.norm = np.sqrt((self.dense.astype(np.float64) ** 2).sum(1))
-        self.block_norm = np.maximum.reduceat(self.norm, np.arange(0, n, BLOCK)) if n else np.zeros(0)
+        self.columns = np.ascontiguousarray(self.dense.T)
 
         order = np.lexsort((example[~apart], term[~apart]))
         term, example, self.weight = (x[~apart][order] for x in (term, example, weight))
@@ -161,60 +162,66 @@ class BlockMax:
         at = spans(begin, end - begin)
         return np.bincount(self.example.take(at), np.repeat(query, end - begin) * self.weight.take(at), len(self.ids))
 
-    def nearest(self, terms, counts, k: int = NEAREST, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def dense_parts(self, texts: list[tuple]) -> np.ndarray:
+        """Each text's share of the cosine with every example that the dense columns give, all in one product."""
+        query = np.zeros((len(texts), len(self.columns)), np.float32)
+        for row, (terms, counts) in zip(query, texts):
+            column = self.column[np.asarray(terms, np.int64)]
+            row[column[column >= 0]] = self.weigh(terms, counts)[column >= 0]
+        return query @ self.columns
+
+    def nearest_of(self, texts: list[tuple], k: int = NEAREST, skips: list | None = None) -> list[tuple]:
+        """`nearest` of each (terms, counts)."""
+        found = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[at:at + TEXTS_AT_ONCE]
+            left = skips[at:at + TEXTS_AT_ONCE] if skips else [None] * len(some)
+            found += [self.nearest(*text, k, skip, dense) for text, skip, dense in zip(some, left, self.dense_parts(some))]
+        return found
+
+    def nearest(self, terms, counts, k: int = NEAREST, skip: int | None = None, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine; ties go to the earlier example.
 
-        The blocks of the highest bounds come first; then only those whose bound
-        reaches the k-th best cosine so far can hold a nearer example. Without its dense
-        columns a cosine is too low by at most the product of the norms.
+        `dense` is the row of `dense_parts`. The blocks of the highest bounds are read first;
+        then only those whose bound reaches the k-th best cosine so far can hold a nearer example.
         """
         if not len(terms) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
+        dense = self.dense_parts([(terms, counts)])[0] if dense is None else dense
         query, terms = self.weigh(terms, counts), np.asarray(terms, np.int64)
         column = self.column[terms]
         common, columns = query[column >= 0], column[column >= 0]
-        rest = math.sqrt(float(common @ common)) * (1 + 1e-5)
         terms, query = terms[column < 0], query[column < 0]
         begin, end = self.term_begin[terms], self.term_begin[terms + 1]
-        terms, query, begin, end = (x[end > begin] for x in (terms, query, begin, end))
         pairs, each = spans(begin, end - begin), np.repeat(query, end - begin)
         block = self.pair_block.take(pairs)
-        bound = np.bincount(block, each * self.pair_most.take(pairs), self.blocks) + rest * self.block_norm
-
-        def best_of(found, cosine):
-            if skip is not None:
-                found, cosine = found[self.ids[found] != skip], cosine[self.ids[found] != skip]
-            if rest:
-                cosine = cosine + self.dense[found[:, None], columns] @ common
-            found, cosine = found[cosine > 0], cosine[cosine > 0]
-            nearest = np.lexsort((found, -np.round(cosine, 5)))[:k]
-            return found[nearest], cosine[nearest]
+        bound = np.bincount(block, each * self.pair_most.take(pairs), self.blocks) + np.maximum.reduceat(dense, np.arange(0, len(dense), BLOCK))
 
         def read(blocks):
-            """Partial cosines of the blocks' examples; other examples get less than theirs, or none."""
-            if 4 * np.count_nonzero(blocks) > self.blocks:
-                return self._partial(self.pair_begin[begin], self.pair_begin[end], query)
-            kept = np.flatnonzero(blocks[block])
-            held = pairs[kept]
-            return self._partial(self.pair_begin[held], self.pair_begin[held + 1], each[kept])
-
-        least = 0.0
+            """Cosines of the blocks' examples without their dense part; nothing for others."""
+            held = np.flatnonzero(blocks[block])
+            at = pairs[held]
+            return self._partial(self.pair_begin[at], self.pair_begin[at + 1], each[held])
+
+        def kth(cosine):
+            return np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+
+        apart = None if skip is None else self.ids == skip
+        seen, partial, least = np.zeros(self.blocks, bool), np.zeros(len(dense)), 0.0
         if self.blocks > 2 * FIRST_BLOCKS:
-            first = np.zeros(self.blocks, bool)
-            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
-            partial = read(first)
-            found = np.flatnonzero(partial)
-            found = found[np.argsort(-partial[found])[:2 * k]]
-            found, cosine = best_of(found, partial[found])
-            least = cosine[-1] - 2e-5 if len(found) == k else 0.0
-        partial = read(bound >= least)
-        most = partial + rest * self.norm
-        found = np.flatnonzero(most >= max(least, 1e-12))
-        if len(found) > 4 * k:
-            likely = found[np.argpartition(-most[found], 4 * k)[:4 * k]]
-            _, cosine = best_of(likely, partial[likely])
-            found = found[most[found] >= cosine[-1] - 2e-5] if len(cosine) == k else found
-        return best_of(found, partial[found])
+            seen[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
+            partial = read(seen)
+            lower = partial + dense  # no example's cosine is less
+            least = kth(lower if apart is None else lower[~apart]) - SLACK
+        partial = partial + read((bound >= least) & ~seen)
+        cosine = partial + dense
+        if apart is not None:
+            cosine[apart] = 0
+        found = np.flatnonzero(cosine >= max(kth(cosine) - SLACK, 1e-12))
+        # The product's last digits depend on the texts beside this one; the final cosines don't.
+        cosine = partial[found] + self.dense[found[:, None], columns] @ common
+        nearest = np.lexsort((found, -np.round(cosine, 5)))[:k]
+        return found[nearest], cosine[nearest]
 
 
 def votes(index: BlockMax, base: float, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -264,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EX
 
     @F.pandas_udf("double")
     def without_own_vote(doc_id: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([votes(index, base, *index.nearest(*vector_of(place, t), skip=i)) for i, t in zip(doc_id, text)], dtype="float64")
+        found = index.nearest_of([vector_of(place, t) for t in text], skips=doc_id.tolist())
+        return pd.Series([votes(index, base, *f) for f in found], dtype="float64")
 
     slope, offset = 1.0, 0.0
     if 0 < base < 1 and len(lone) < len(rows):
@@ -273,8 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EX
         own = sorted((r["doc_id"], r["raw"], r["label"]) for r in own if r["doc_id"] in kept)
         slope, offset = calibrate(np.array([x for _, x, _ in own]), np.array([y for _, _, y in own], float))
 
-    def score_of(text):
-        best, cosine = index.nearest(*vector_of(place, text))
+    def score_of(best, cosine):
         raw = votes(index, base, best, cosine)
         if not len(best):
             return bare, []
@@ -285,10 +292,11 @@ def train(docs: DataFrame, labels: DataFrame, picked: Column, examples: int = EX
 
     @F.pandas_udf("score double, evidence array<bigint>")
     def score(text: pd.Series) -> pd.DataFrame:
-        known: dict = {}
-        for t in text:
-            if t not in known:
-                known[t] = score_of(t)
+        distinct = list(dict.fromkeys(text))
+        known = {}
+        for at in range(0, len(distinct), TEXTS_AT_ONCE):
+            some = distinct[at:at + TEXTS_AT_ONCE]
+            known.update(zip(some, (score_of(*f) for f in index.nearest_of([vector_of(place, t) for t in some]))))
         return pd.DataFrame({"score": [known[t][0] for t in text], "evidence": [known[t][1] for t in text]})
 
     return score
