@@ -3,10 +3,9 @@
 Every word has a context restaurant for what follows it; all of them share one
 parent restaurant, whose base is uniform over the known words and one unknown.
 Customers are the training tokens; a table of a context is a customer of the
-parent. Seating starts from the Chinese-restaurant process and is resampled by
-Gibbs: a random customer of every dish leaves and sits down again. The
-probabilities are averaged over the kept samples: they are linear in the numbers of
-tables, so the averages of these enter.
+parent. Chinese-restaurant seatings are sampled by Gibbs: in each sweep all customers of a
+dish leave and sit down again, given the other dishes. The probabilities are averaged over
+the kept samples: they are linear in the numbers of tables, so the averages of these enter.
 
 Contexts are dealt into buckets by a hash, so a restaurant is wholly in one bucket and
 can be sampled there; contexts found to be frequent in a bounded sample are
@@ -44,6 +43,8 @@ LEAST_BUCKETS = 64
 SAMPLE_ROWS = 2000
 MOST_WORD_BITS = 20
 BURN, SAMPLES, THIN = 6, 3, 2
+LARGE = 512  # customers up to which the ways of seating are counted one by one
+NIL = 1e-9
 TOP_DISCOUNT, TOP_STRENGTH = 0.6, 10.0
 DISCOUNTS, STRENGTHS = (0.3, 0.5, 0.7, 0.85, 0.95), (0.1, 1.0, 10.0, 100.0)
 
@@ -211,93 +212,105 @@ def dishes(u, w, count, n: int):
 
 
 def fitted(u, c, p1, cu, tu) -> tuple[float, float]:
-    """Discount and strength with the best leave-one-out likelihood of the counts."""
-    pick = np.flatnonzero(c > 0)[:: max(1, int((c > 0).sum()) // 200_000)]
+    """Discount and strength with the best leave-one-out likelihood of all counts.
+
+    A context's only customer is predicted by the parent at any discount, so such dishes are left out.
+    """
     best = (-math.inf, 0.7, 1.0)
+    pick = np.flatnonzero((c > 0) & (cu[u] > 1))
     if not len(pick):
         return best[1:]
-    n, of, p = c[pick], cu[u[pick]], p1[pick]
-    t = tu[u[pick]] - (n == 1)
-    for d in DISCOUNTS:
-        for s in STRENGTHS:
-            q = (np.maximum(n - 1 - d, 0) + (s + d * t) * p) / (s + of - 1)
-            value = float((n * np.log(np.where(of > 1, q, p))).sum())
+    n, of, p = c[pick].astype(np.float32), cu[u[pick]], p1[pick].astype(np.float32)
+    t = (tu[u[pick]] - (n == 1)).astype(np.float32)
+    rest = n - np.float32(1)
+    contexts = np.flatnonzero(cu > 1)
+    for s in STRENGTHS:
+        under = float(cu[contexts] @ np.log(s + cu[contexts] - 1))
+        for d in DISCOUNTS:
+            q = np.maximum(rest - np.float32(d), 0) + (np.float32(s) + np.float32(d) * t) * p
+            value = float(np.sum(n * np.log(q), dtype=np.float64)) - under
             best = max(best, (value, d, s))
     return best[1:]
 
 
+class Seatings:
+    """How the number of ways to seat n customers changes from k tables to k + 1, at one discount.
+
+    Exact from the recursion S(n + 1, k) = S(n, k - 1) + (n - d k) S(n, k) below LARGE
+    customers. Beyond, S(n, k) (k - 1)! d^(k - 1) / S(n, 1) depends on (k - 1) / n^d only, up to terms
+    that vanish with n, so it is read from the last exact row.
+    """
+
+    def __init__(self, d: float):
+        self.d, k = d, np.arange(LARGE + 2)
+        row = np.full(LARGE + 2, -np.inf)
+        row[1] = 0.0
+        self.grow = np.zeros((LARGE + 1, LARGE + 1))
+        for n in range(1, LARGE + 1):
+            ways = row[1:n + 1]
+            self.grow[n, 1:n] = np.exp(np.diff(ways))
+            stay = row + np.log(np.maximum(n - k * d, 1e-300))
+            stay[n + 1:] = -np.inf
+            if n < LARGE:
+                row = np.logaddexp(np.concatenate([[-np.inf], row[:-1]]), stay)
+        self.at = np.arange(LARGE)
+        self.shape = row[1:LARGE + 1] - row[1] + np.cumsum(np.log(np.maximum(self.at * d, d) * (self.at > 0) + (self.at == 0)))
+
+    def ratio(self, n: np.ndarray, k: int) -> np.ndarray:
+        few = n <= LARGE
+        out = np.zeros(len(n))
+        if k <= LARGE:
+            out[few] = self.grow[n[few], k]
+        if not few.all():
+            share = (n[~few] / LARGE) ** -self.d
+            grown = np.interp(k * share, self.at, self.shape) - np.interp((k - 1) * share, self.at, self.shape)
+            out[~few] = np.where(k * share < LARGE - 1, np.exp(grown) / (self.d * k), 0.0)
+        return out
+
+    def draw(self, n, p, others, s: float, rng) -> np.ndarray:
+        """Table numbers of dishes of n customers each, given the tables of the others in the restaurant.
+
+        The weights of 1, 2, ... tables are gone through once; each is taken with its share of the
+        weights so far, until what follows has a share below NIL.
+        """
+        k, live, at = np.ones(len(n), np.int64), np.arange(len(n)), 1
+        share = np.ones(len(n))
+        while len(live):
+            weight = share * (s + self.d * (others + at)) * p * self.ratio(n, at)
+            share, at = weight / (1 + weight), at + 1
+            k[live[rng.random(len(live)) < share]] = at
+            on = (share > NIL) & (n > at)
+            live, share, n, p, others = live[on], share[on], n[on], p[on], others[on]
+        return k
+
+
 def seat(group, c, p1, groups: int, d: float, s: float, scale: np.ndarray, rng, steps=(BURN, SAMPLES, THIN)):
     """Tables per dish: the mean over the kept samples, and the last sample.
 
     `group` is the restaurant of each dish; `scale` multiplies the tables of a restaurant of
-    which only a share is here.
+    which only a share is here. In a sweep all customers of every other dish leave and sit down
+    again given the rest of the restaurant, then those of the dishes between. Who shares a table
+    with whom within a dish never enters a probability, so only the number of tables is drawn,
+    from its exact conditional, whatever the count.
     """
     many = np.flatnonzero(c > 1)
     tables = (c > 0).astype(np.int64)
+    averaged = tables.astype(float)
     if not len(many):
-        return tables.astype(float), tables
-    of, n, p, k = group[many], c[many], p1[many], tables[many]
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-    seats = np.zeros(int(n.sum()), np.int32)  # table of each customer, numbered within its dish
-    sizes = np.zeros(len(seats), np.int64)
-    sizes[begin] = 1
+        return averaged, tables
+    averaged[many] = 0.0
+    ways = Seatings(d)
     total = np.bincount(group, tables, groups)
-    done = np.ones(len(n), np.int64)
-    while True:  # sequential seating; later customers of large dishes sit down in blocks
-        live = np.flatnonzero(done < n)
-        if not len(live):
-            break
-        block = np.minimum(np.maximum(done[live] // 8, 1), n[live] - done[live])
-        new = (s + d * total[of[live]] * scale[of[live]]) * p[live]
-        opened = rng.binomial(block, new / (new + np.maximum(done[live] - d * k[live], 1e-9)))
-        who = np.repeat(live, block)
-        nth = np.arange(len(who)) - np.repeat(np.cumsum(block) - block, block)
-        fresh = nth < np.repeat(opened, block)
-        where = begin[who] + done[who] + nth
-        copied = seats[begin[who] + (rng.random(len(who)) * done[who]).astype(np.int64)]
-        seats[where] = np.where(fresh, k[who] + nth, copied)
-        np.add.at(sizes, begin[who] + seats[where], 1)
-        k[live] += opened
-        total += np.bincount(of[live], opened, groups)
-        done[live] += block
-    mean = np.zeros(len(n))
-    free = k.copy()  # next table number of a dish; numbers of left tables are reused through `sizes`
+    halves = [(at, group[at], c[at], p1[at]) for at in (many[::2], many[1::2])]
     for step in range(steps[0] + steps[1] * steps[2]):
-        who = begin + (rng.random(len(n)) * n).astype(np.int64)
-        table = begin + seats[who]
-        sizes[table] -= 1
-        closed = sizes[table] == 0
-        k -= closed
-        new = (s + d * np.maximum(total[of] - closed, 0) * scale[of]) * p
-        opens = (rng.random(len(n)) * (new + n - 1 - d * k) < new) | (k == 0)
-        target = np.where(closed, table, begin + np.minimum(free, n - 1))
-        full = opens & (sizes[target] > 0)
-        spent = np.flatnonzero(full)  # all numbers were given out: the first one whose table was left
-        if len(spent):
-            ends = np.cumsum(n[spent])
-            place = np.repeat(begin[spent] - (ends - n[spent]), n[spent]) + np.arange(ends[-1])
-            target[spent] = np.minimum.reduceat(np.where(sizes[place] == 0, place, len(sizes)), ends - n[spent])
-        left = np.flatnonzero(~opens)
-        while len(left):  # an occupied table in proportion to size - d
-            other = begin[left] + (rng.random(len(left)) * n[left]).astype(np.int64)
-            at = begin[left] + seats[other]
-            size = sizes[at]
-            fits = (other != who[left]) & (size > 0)
-            fits &= rng.random(len(left)) * np.maximum(size, 1) < size - d
-            target[left[fits]] = at[fits]
-            left = left[~fits]
-        free = np.where(opens & ~closed & ~full, free + 1, free)
-        seats[who] = (target - begin).astype(np.int32)
-        sizes[target] += 1
-        k += opens
-        total += np.bincount(of, opens.astype(np.int64) - closed, groups).astype(np.int64)
+        for at, of, n, p in halves:
+            others = np.maximum(total[of] * scale[of] - tables[at], 0)
+            drawn = ways.draw(n, p, others, s, rng)
+            total += np.bincount(of, drawn - tables[at], groups)
+            tables[at] = drawn
         if step >= steps[0] and (step - steps[0]) % steps[2] == steps[2] - 1:
-            mean += k / steps[1]
-    last = tables.copy()
-    last[many] = k
-    averaged = tables.astype(float)
-    averaged[many] = mean
-    return averaged, last
+            averaged[many] += tables[many] / steps[1]
+    return averaged, tables
 
 
 class Bucket:
@@ -370,7 +383,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         one = np.zeros(len(words), np.int64)
         base = np.full(len(words), 1 / max(int((k > 0).sum()) * n, 1))
         rng = np.random.default_rng([13, int(key[0])])
-        mean, _ = seat(one, np.minimum(k, 1000), base, 1, TOP_DISCOUNT, TOP_STRENGTH, np.array([float(n)]), rng)
+        mean, _ = seat(one, k, base, 1, TOP_DISCOUNT, TOP_STRENGTH, np.array([float(n)]), rng)
         weight = (k - TOP_DISCOUNT * mean).astype(np.float32)
         rows = [(int(b), int(key[0]), pack([narrow(c[at]), weight[at]]), None, None, None, None, None, None, None)
                 for b, at in zip(frame["bucket"], places)]

@@ -102,6 +102,49 @@ def test_gibbs_agrees_with_enumeration():
     assert abs(mean.mean() - 1 - apart) < 0.02
 
 
+def _expected_tables(n, p, d, s):
+    """Mean number of tables of n customers of one dish alone in a restaurant, over all seatings."""
+    ways = np.full(n + 1, -np.inf)
+    ways[1] = 0.0
+    k = np.arange(n + 1)
+    for held in range(1, n):
+        joined = np.where(k <= held, ways + np.log(np.maximum(held - k * d, 1e-300)), -np.inf)
+        ways = np.logaddexp(np.concatenate([[-np.inf], ways[:-1]]), joined)
+    weight = ways[1:] + np.cumsum(np.log(s + d * np.arange(n))) + k[1:] * np.log(p)
+    weight = np.exp(weight - weight.max())
+    return float(weight @ k[1:] / weight.sum())
+
+
+@pytest.mark.parametrize("n,p,d,s", [(7, 0.4, 0.8, 0.5), (300, 0.05, 0.7, 1.0), (512, 0.3, 0.5, 10.0), (3000, 0.3, 0.5, 10.0), (3000, 0.6, 0.85, 100.0), (4000, 0.2, 0.3, 10.0)])
+def test_gibbs_agrees_with_the_exact_expectation_of_a_large_dish(n, p, d, s):
+    m = 2000
+    mean, last = pitmanyor.seat(np.arange(m), np.full(m, n), np.full(m, p), m, d, s, np.ones(m), np.random.default_rng(5), (60, 10, 2))
+    assert abs(mean.mean() / _expected_tables(n, p, d, s) - 1) < 0.04
+    assert last.min() >= 1 and last.max() <= n
+
+
+def test_two_dishes_of_a_restaurant_agree_with_enumeration():
+    """Each dish opens tables by what the other holds: the chain meets the joint distribution."""
+    d, s, n, p = 0.6, 2.0, (4, 5), (0.3, 0.2)
+    ways = pitmanyor.Seatings(d)
+    weight = {}
+    for i in range(1, n[0] + 1):
+        for j in range(1, n[1] + 1):
+            own = [np.prod([ways.ratio(np.array([m]), t)[0] for t in range(1, k)]) for m, k in zip(n, (i, j))]
+            weight[i, j] = own[0] * own[1] * np.prod(s + d * np.arange(i + j)) * p[0] ** i * p[1] ** j
+    norm = sum(weight.values())
+    m = 4000
+    mean, _ = pitmanyor.seat(np.repeat(np.arange(m), 2), np.tile(n, m), np.tile(p, m), m, d, s, np.ones(m), np.random.default_rng(6))
+    for at in (0, 1):
+        exact = sum(w * key[at] for key, w in weight.items()) / norm
+        assert abs(mean[at::2].mean() - exact) < 0.02
+
+
+def test_words_with_many_tables_are_seated_whole():
+    mean, last = pitmanyor.seat(np.zeros(2, int), np.array([50, 10**9]), np.array([0.5, 0.5]), 1, 0.6, 10.0, np.ones(1), np.random.default_rng(7))
+    assert np.isfinite(mean).all() and 1 <= last[0] <= 50 and last[1] > last[0]
+
+
 def test_blobs_round_trip():
     words = np.sort(np.random.default_rng(3).integers(0, 1 << 56, 100, dtype=np.uint64))
     arrays = [pitmanyor.hash_bytes(words), np.arange(5, dtype=np.uint16), np.zeros(0, np.int64), np.ones(3, np.float32)]
