@@ -40,7 +40,7 @@ def drop_unparallel(items: DataFrame, report: DataFrame, lang: str = "lang") ->
 def _split_of(r: Column, f: Column, train: Column, val: Column, test: Column) -> Column:
     rest = r - F.when(r >= (f + 1) * test, test).otherwise(F.lit(0))
     return (
-        F.when(F.floor(r / test) == f, "test").when(rest < val, "val").when(rest < val + train, "train"))
+        F.when((r >= f * test) & (r < (f + 1) * test), "test").when(rest < val, "val").when(rest < val + train, "train"))
 
 
 def fold_plan(
@@ -48,11 +48,13 @@ def fold_plan(
     train: int | None = None, val: int | None = None, test: int | None = None,
     val_share: int | None = None, seed=FOLD_SEED,
 ) -> DataFrame:
-    """(key, places): the (fold, split) pairs of each item; test blocks tile the item set.
+    """(key, places): the (fold, split) pairs of each item; test blocks are disjoint.
 
     Items are ranked by digest of (seed, key), so the result depends neither on
-    input order nor on language. Give the three sizes, or `val_share` (validation
-    takes 1/val_share of all items, train the rest).
+    input order nor on language. Give the three sizes, whose test blocks must tile the
+    item set, or `val_share`: a test block is 1/n_splits of all items and validation
+    1/val_share, both rounded down, and train the rest. Fewer than n_splits items
+    are then left over; they are in no test block.
     """
     distinct = keys.select(*key).distinct()
     ranked = digest_rank(distinct, key, seed=seed, rank="_r", total="_n")
@@ -64,7 +66,7 @@ def fold_plan(
     else:
         te, va = F.floor(n / n_splits), F.floor(n / val_share)
         tr = n - te - va
-    fits = (te * n_splits == n) & (tr + va + te == n)
+    fits = (te * n_splits == n) & (tr + va + te == n) if val_share is None else tr >= 0
     message = F.concat_ws(" ", F.lit("fold sizes do not fit the number of items:"), n, F.lit("items, test"), te,
                           F.lit("train"), tr, F.lit("val"), va)
     ranked = ranked.withColumn("_r", sure(F.col("_r"), fits, message, "bigint"))

@@ -92,6 +92,17 @@ def test_folds_tile_and_are_disjoint(spark):
     assert len(set().union(*(by[(f, "test")] for f in range(3)))) == 900
 
 
+def test_shares_of_a_number_of_items_that_no_fold_divides(spark):
+    for n in (52, 3):
+        got = folds.assign_fold_splits(spark.range(n), ["id"], n_splits=5, val_share=10, seed=11).collect()
+        test, val = n // 5, n // 10
+        for f in range(5):
+            of = {s: {r.id for r in got if (r.fold, r.split) == (f, s)} for s in ("test", "validation", "train")}
+            assert [len(of[s]) for s in ("test", "validation", "train")] == [test, val, n - test - val]
+        tested = [r.id for r in got if r.split == "test"]
+        assert len(tested) == len(set(tested)) == 5 * test
+
+
 def test_folds_do_not_depend_on_order_copies_or_partitions(spark):
     keys = _keys(spark)
     a = sorted(map(tuple, folds.assign_fold_splits(keys).collect()))
