@@ -7,10 +7,11 @@ has no row, which is written <absent> in reports.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
@@ -43,6 +44,8 @@ def _scientific(value: float) -> str:
 
 def _number(text: str, alone: bool) -> str:
     """Decimals without needless zeros; alone, one without fraction keeps its point, so 0.0 and 0 stay apart."""
+    if len(text) < 19 and text.isdigit():
+        return str(int(text))
     figures = sum(c.isdigit() for c in text)
     if "e" in text or "E" in text or "." in text and figures > 38 or figures > 39:
         return _scientific(float(text))
@@ -53,15 +56,22 @@ def _number(text: str, alone: bool) -> str:
     return plain + ".0" if alone and "." not in plain else plain
 
 
+_CONSTANTS = {True: "true", False: "false", None: "null"}
+_text = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def _json(value, alone: bool = False) -> str:
     """Compact JSON text with sorted keys."""
-    if isinstance(value, _Number):
+    kind = type(value)
+    if kind is str:
+        return _text(value)
+    if kind is _Number:
         return _number(value, alone)
-    if isinstance(value, dict):
+    if kind is dict:
         return "{" + ",".join(f"{_json(k)}:{_json(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
+    if kind is list:
         return "[" + ",".join(map(_json, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return _text(value) if kind is float else _CONSTANTS[value]
 
 
 def _unique(pairs: list) -> dict:
@@ -71,11 +81,16 @@ def _unique(pairs: list) -> dict:
     return found
 
 
-def _walk(text: str | None, depth: int | None, sections: Sequence[str] | None) -> list[dict]:
+def _parser() -> Callable[[str], object]:
+    """Reads JSON text; one serves many documents, as json.loads with options makes a new one each time."""
+    return json.JSONDecoder(parse_int=_Number, parse_float=_Number, object_pairs_hook=_unique).decode
+
+
+def _walk(text: str | None, depth: int | None, sections: Sequence[str] | None, parse: Callable | None = None) -> list[dict]:
     """The entries of one document: maps open into theirs, all else is a value."""
     if text is None:
         return [] if sections is not None else [{"key": "", "value": None}]
-    out, stack = [], [("", json.loads(text, parse_int=_Number, parse_float=_Number, object_pairs_hook=_unique), 0)]
+    out, stack = [], [("", (parse or _parser())(text), 0)]
     while stack:
         key, value, level = stack.pop()
         if isinstance(value, dict) and value:
@@ -97,9 +112,13 @@ def flatten_documents(docs: DataFrame, *, ids: Sequence[str], document: str = "d
     """
     chosen = None if sections is None else list(sections)
 
-    @F.pandas_udf("array<struct<key:string,value:string>>")
-    def walk(texts: pd.Series) -> pd.Series:
-        return pd.Series([_walk(t, depth, chosen) for t in texts])
+    @F.arrow_udf("array<struct<key:string,value:string>>")
+    def walk(texts: pa.Array) -> pa.Array:
+        parse = _parser()
+        found = [_walk(t, depth, chosen, parse) for t in texts.to_pylist()]
+        ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        columns = [pa.array([e[c] for entries in found for e in entries], pa.string()) for c in ("key", "value")]
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["key", "value"]))
 
     spread_docs = spread(docs.select(*ids, F.col(document).alias("_doc")))
     return spread_docs.select(*ids, F.explode(walk("_doc")).alias("e")).select(*ids, "e.key", "e.value")
@@ -117,6 +136,7 @@ def config_view(flat: DataFrame, *, ids: Sequence[str]) -> DataFrame:
     renamed = key
     for old, new in CONFIG_RENAMES.items():
         renamed = F.regexp_replace(renamed, _prefix(old), new)
+    renamed = F.when(key.rlike(_prefix(*CONFIG_RENAMES)), renamed).otherwise(key)
     rows = rows.withColumn("key", renamed).where(~key.rlike(_prefix(*CONFIG_IGNORED)))
     old, new = LENGTH_GROUPING_KEY
     unset = value.isin("false", "null", "0", "0.0", '""')

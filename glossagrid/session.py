@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions
 
 # Measured size up to which a lookup side may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of one task of heavy work.
+SPREAD_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -99,9 +101,14 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> GroupedData:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input on all cores, for work that is heavy per row.
+    """Rows on all cores and in tasks of bounded length, for work that is heavy per row.
 
-    Inputs with at least as many splits as cores (any large table) pass through.
+    The rows of each partition are counted, as the splits of a file may be empty or hold
+    a large part of the rows each. Rows that already lie evenly pass through.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    held = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    rows = held.rows or 0
+    if not rows or held.most <= min(SPREAD_ROWS, -(-2 * rows // cores)):
+        return df
+    return df.repartition(max(cores, -(-rows // SPREAD_ROWS)))

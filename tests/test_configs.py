@@ -160,3 +160,15 @@ def test_odd_documents(spark):
             raise AssertionError(bad)
         except Exception as error:
             assert not isinstance(error, AssertionError)
+
+
+def test_heavy_rows_go_into_tasks_of_bounded_length(spark, monkeypatch):
+    """One partition that holds most rows counts, not the number of partitions."""
+    from glossagrid import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    rows = spark.range(2000).repartition(8, F.lit(1))
+    most, total = session.spread(rows).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert most <= 150 and total == 2000
+    even = spark.range(0, 800, 1, 8)
+    assert session.spread(even) is even and session.spread(spark.range(0)).count() == 0
