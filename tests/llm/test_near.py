@@ -128,6 +128,23 @@ def test_boilerplate_without_links_lists_few_pairs(spark, monkeypatch):
     assert listed and sum(listed) < 20 * len(texts)
 
 
+def test_differences_of_one_component_make_no_join_rows(spark, monkeypatch):
+    """200 texts that share two thirds and no links: each has 45 words of its own, which meet nothing."""
+    texts = [" ".join([*(f"c{k}" for k in range(90)), *(f"{k}o{i}" for i in range(45))]) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, join = [], type(df).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, list) and on == ["hub", "e"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", counted)
+    assert all(r.component_id == r.doc_id for r in lshforest.near_duplicates(df).collect())
+    assert made and sum(made) < len(texts)
+
+
 def test_sets_meet_beyond_the_hub(spark):
     """Sub-groups of a crowded run that share what its hub lacks, and smaller sets that need nothing beyond it."""
     rng = random.Random(11)
