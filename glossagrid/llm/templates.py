@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.joins import match_keys
-from ..session import BROADCAST_BYTES, settle
+from ..session import BROADCAST_BYTES, lookup_side, settle
 from .base import whole
 
 WINDOW = 8
@@ -191,39 +191,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, width: in
     def anchored(words: Column) -> Column:
         return F.filter(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h, j: F.when(anchor(h), j)), lambda j: j.isNotNull())
 
-    def hits(words: Column, at: Column, way: int, wide: int) -> Column:
-        def named(i: Column) -> Column:
-            hashed = F.xxhash64(F.lit(wide + 1000 * way), *[_shape(F.get(words, i + k)) for k in range(wide)])
-            if way == PLAINLY:
-                values = F.xxhash64(F.lit(wide + 1000 * way), *[F.xxhash64(F.get(words, i + k)) for k in range(wide)])
-                hashed = F.when(_plain(words, i, wide) >= min(PLAIN, wide), hashed).otherwise(values)
-            return F.struct(i.alias("pos"), hashed.alias("hash"))
+    def hits(read: Column) -> Column:
+        """Of one reading (way, words, at). Every set is named once for all widths and ways, as each mention is a copy in the plan."""
+        way, words, at = (read[x] for x in ("way", "words", "at"))
 
-        last = F.size(words) - wide
-        starts = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(j - (wide - 1), j)))), lambda i: (i >= 0) & (i <= last))
-        picked = F.filter(F.transform(starts, named), lambda x: window(x["hash"]))
-        return F.transform(picked, lambda x: F.struct(F.lit(way).alias("way"), F.lit(wide).alias("wide"), x["pos"].alias("pos"), x["hash"].alias("hash"),
-                                                      slots(words, x["pos"], wide).alias("doc_slots")))
+        def named(wide: int):
+            def one(i: Column) -> Column:
+                shapes = F.xxhash64(F.lit(wide) + 1000 * way, *[_shape(F.get(words, i + k)) for k in range(wide)])
+                values = F.xxhash64(F.lit(wide) + 1000 * way, *[F.xxhash64(F.get(words, i + k)) for k in range(wide)])
+                hashed = F.when((way == NAMED) | (_plain(words, i, wide) >= min(PLAIN, wide)), shapes).otherwise(values)
+                return F.struct(F.lit(wide).alias("wide"), i.alias("pos"), hashed.alias("hash"))
 
-    none = F.array().cast(_HITS)
+            return one
+
+        def around(wide: int) -> Column:
+            last = F.size(words) - wide
+            starts = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(j - (wide - 1), j)))), lambda i: (i >= 0) & (i <= last))
+            return F.transform(starts, named(wide))
 
-    def both(x: Column, at: Column, way: int) -> Column:
-        return F.concat(none, *[hits(x, at, way, w) for w in sorted(widths)])
+        picked = F.filter(F.concat(*[around(w) for w in sorted(widths)]) if widths else F.array().cast("array<struct<wide:int,pos:int,hash:bigint>>"), lambda x: window(x["hash"]))
+        return F.transform(picked, lambda x: F.struct(way.alias("way"), x["wide"].alias("wide"), x["pos"].alias("pos"), x["hash"].alias("hash"),
+                                                      slots(words, x["pos"], x["wide"]).alias("doc_slots")))
+
+    none = F.array().cast(_HITS)
 
     def matched(words: Column) -> Column:
         """An anchor of either way stands among the tokens, as a word of a name perhaps."""
+        def pair(plain: Column, one: Column, at: Column, on: Column) -> Column:
+            return F.array(*[F.struct(F.lit(way).alias("way"), held.alias("words"), places.alias("at")) for way, held, places in ((PLAINLY, plain, at), (NAMED, one, on))])
+
         def around(at: Column) -> Column:
             named = F.exists(words, lambda w: w.startswith(f"{MARK}p"))
-            plain = _let(reading(words, PLAINLY), lambda x: both(x, at, PLAINLY))
-            one = _let(reading(words, NAMED), lambda x: _let(anchored(x), lambda on: both(x, on, NAMED)))
-            return F.when(F.size(at) == 0, none).when(named, F.concat(plain, one)).otherwise(F.concat(both(words, at, PLAINLY), both(words, at, NAMED)))
+            apart = _let(reading(words, NAMED), lambda x: pair(reading(words, PLAINLY), x, at, anchored(x)))
+            found = F.flatten(F.transform(F.when(named, apart).otherwise(pair(words, words, at, at)), hits))
+            return F.when(F.size(at) == 0, none).otherwise(F.concat(none, found))
 
         return _let(anchored(words), around)
 
-    # Outer, as an inner explode would become a filter below it and read the texts twice.
+    # Outer, as an inner explode would become a filter below it and read the texts twice. The hits are written on their own, so
+    # that the sets are in the plan of one step without a shuffle; then only item windows that were hit need be broadcast.
     each = docs.select("doc_id", F.explode_outer(_let(tokens(whole(F.col("text"))), matched)).alias("h")).select("doc_id", "h.*")
+    each = settle(each.where("hash IS NOT NULL"))
     own = listed.drop("tokens").withColumnRenamed("width", "wide")
-    hit = each.join(F.broadcast(own) if small else own, ["hash", "wide", "way"]).select(
+    met = lookup_side(own.join(lookup_side(each.select("hash", "wide", "way").distinct(), 48), ["hash", "wide", "way"], "left_semi"))
+    hit = each.join(met, ["hash", "wide", "way"]).select(
         "doc_id", "item_id", "way", "wpos", (F.col("pos") - F.col("wpos")).alias("diagonal"), "item_slots", "doc_slots")
 
     # Windows on one diagonal are at most those of the item, so these groups are small.

@@ -74,3 +74,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = templates.without_leaks(odd_docs, bench)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 2
     assert templates.leaks(no_docs, bench).count() == 0 and templates.leaks(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_sets_of_hashes_stay_out_of_the_shuffled_plan(spark):
+    """Spark writes a plan anew with every stage that ends; the sets as literals made it hundreds of thousands of characters."""
+    docs, bench = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    plan = templates.leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000
